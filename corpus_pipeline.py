@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelwright.llm import quality_classifier, simhash_dedup
+from panelwright.llm import decontamination, line_dedup, quality_classifier, simhash_dedup, source_mixing
 from panelwright.llm.common import materialize, table
 
 
@@ -13,12 +13,33 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line leave the texts; every document stays."""
+    return line_dedup.dedup_lines(docs).drop("n_dropped")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
     return simhash_dedup.keep_one_per_group(docs)
 
 
-STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates)]
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document (doc_id, source, size, source_size, target, taken); those that it leaves out go."""
+    return source_mixing.mix(docs).where("taken > 0")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("source mixing", mixing),
+]
 
 #: Model scores and link components have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

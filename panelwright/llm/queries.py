@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_classifier, simhash_dedup
+from . import decontamination, line_dedup, quality_classifier, simhash_dedup, source_mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +14,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_decontamination": decontamination.op1,
+        "op2_line_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents")),
         "op7_simhash_near_dedup": lambda s, d: simhash_dedup.op7(table(s, d, "documents")),
+        "op9_source_mixing": lambda s, d: source_mixing.op9(table(s, d, "documents")),
         "op10_quality_classifier": quality_classifier.op10,
     }
 
