@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, line_dedup, quality_classifier, simhash_dedup, source_mixing
+from . import decontamination, license_scan, line_dedup, quality_classifier, quality_rules, simhash_dedup, source_mixing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,11 +16,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1,
         "op2_line_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents")),
+        "op6_license_scan": lambda s, d: license_scan.op6(table(s, d, "documents")),
         "op7_simhash_near_dedup": lambda s, d: simhash_dedup.op7(table(s, d, "documents")),
+        "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")),
         "op9_source_mixing": lambda s, d: source_mixing.op9(table(s, d, "documents")),
         "op10_quality_classifier": quality_classifier.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_quality_rules": quality_rules.op8_sql()}
