@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, license_scan, line_dedup, quality_classifier, quality_rules, simhash_dedup, source_mixing
+from . import chat_format, decontamination, license_scan, line_dedup, quality_classifier, quality_rules, simhash_dedup, source_mixing, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1,
         "op2_line_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents")),
+        "op4_url_filter": url_filter.op4,
+        "op5_chat_format": chat_format.op5,
         "op6_license_scan": lambda s, d: license_scan.op6(table(s, d, "documents")),
         "op7_simhash_near_dedup": lambda s, d: simhash_dedup.op7(table(s, d, "documents")),
         "op8_quality_rules": lambda s, d: quality_rules.op8(table(s, d, "documents")),
@@ -25,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.op8_sql()}
+    return {"op4_url_filter": url_filter.op4_sql(), "op5_chat_format": chat_format.op5_sql(), "op8_quality_rules": quality_rules.op8_sql()}
