@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontamination, license_scan, line_dedup, quality_classifier, quality_rules, simhash_dedup, source_mixing, url_filter
+from . import chat_format, decontamination, license_scan, line_dedup, lm_scoring, quality_classifier, quality_rules, simhash_dedup, source_mixing, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_decontamination": decontamination.op1,
         "op2_line_dedup": lambda s, d: line_dedup.op2(table(s, d, "documents")),
+        "op3_lm_scoring": lambda s, d: lm_scoring.op3(table(s, d, "documents")),
         "op4_url_filter": url_filter.op4,
         "op5_chat_format": chat_format.op5,
         "op6_license_scan": lambda s, d: license_scan.op6(table(s, d, "documents")),
