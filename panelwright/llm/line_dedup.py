@@ -7,7 +7,8 @@ least five words a line, that keeps to a similarity of 0.8.
 Distinct lines are found first. Two lines one edit apart agree on their first or their last words, so
 only lines that share such a half with another line emit their neighbourhood: the line itself and all
 its variants with one word left out, as hashed keys. Equal keys are joined through aggregates (the
-earliest line of each key), never as pairs, and every find is verified on the words.
+earliest line of each key), never as pairs, and every find is verified on the words. The joins ask for
+a merge, as sizes estimated before lines are split and variants made are far too low for a broadcast.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .common import materialize
@@ -109,7 +111,7 @@ def _variant_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield out
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one_edit(x.split(b" "), y.split(b" ")) for x, y in zip(a, b)], dtype=bool)
 
@@ -121,7 +123,7 @@ def _near(docs: DataFrame, forms: DataFrame) -> DataFrame:
     """First lines of their form with an earlier line one edit away: (doc_key, line_no, partner)."""
     keys = forms.select(*PLACE, F.explode(F.array_distinct("halves")).alias("half"))
     shared = keys.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    chosen = keys.join(shared, "half", "left_semi").groupBy("doc_key").agg(F.collect_list("line_no").alias("line_nos"))
+    chosen = keys.join(shared.hint("merge"), "half", "left_semi").groupBy("doc_key").agg(F.collect_list("line_no").alias("line_nos"))
     chosen = materialize(chosen, "chosen")
     small = chosen.agg(F.coalesce(F.sum(F.size("line_nos")), F.lit(0))).first()[0] <= BROADCAST_KEYS
     texts = docs.select("doc_id", "text", "doc_key").join(F.broadcast(chosen) if small else chosen, "doc_key")
@@ -130,12 +132,12 @@ def _near(docs: DataFrame, forms: DataFrame) -> DataFrame:
 
     variants = lines.mapInPandas(_variant_batches, "key long, slot int, doc_id long, doc_key long, line_no int")
     several = variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    shared = materialize(variants.join(several, "key", "left_semi").select("key", "slot", F.struct(*PLACE).alias("place")), "variants")
+    shared = materialize(variants.join(several.hint("merge"), "key", "left_semi").select("key", "slot", F.struct(*PLACE).alias("place")), "variants")
     by_slot = shared.groupBy("key", "slot").agg(F.min("place").alias("same"))
     by_key = by_slot.groupBy("key").agg(
         F.min(F.when(F.col("slot") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("slot") > 0, F.col("same"))).alias("shorter")
     )
-    found = shared.join(by_slot, ["key", "slot"]).join(by_key, "key")
+    found = shared.join(by_slot.hint("merge"), ["key", "slot"]).join(by_key.hint("merge"), "key")
     partners = F.when(F.col("slot") == 0, F.array("shorter")).otherwise(F.array("same", "whole"))
     pairs = found.select("place", F.explode(partners).alias("partner")).where("partner < place").distinct()
     words = lines.select(F.col("doc_key").alias("k"), F.col("line_no").alias("no"), "words")
@@ -167,13 +169,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = _near(docs, forms).select(F.col("place.doc_key").alias("k"), F.col("place.line_no").alias("no"), "partner")
     firsts = forms.join(near, (F.col("doc_key") == F.col("k")) & (F.col("line_no") == F.col("no")), "left")
     firsts = firsts.select("h1", "h2", F.struct(*PLACE).alias("place"), "partner")
-    gone = rows.select("h1", "h2", *PLACE).join(firsts, ["h1", "h2"])
+    gone = rows.select("h1", "h2", *PLACE).join(firsts.hint("merge"), ["h1", "h2"])
     later = (F.col("doc_key") != F.col("place.doc_key")) | (F.col("line_no") != F.col("place.line_no"))
     kept = F.coalesce("partner", "place")
     return gone.where(later | F.col("partner").isNotNull()).select(*PLACE, kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _without(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for batch, gone in texts:
         out = []
@@ -192,7 +194,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     names = docs.columns
     gone = repeated_lines(docs, min_words).groupBy("doc_key").agg(F.collect_set("line_no").alias("dropped_lines"))
-    joined = with_key(docs).join(gone, "doc_key", "left")
+    joined = with_key(docs).join(gone.hint("merge"), "doc_key", "left")
     out = joined.withColumn("text", _without("text", "dropped_lines"))
     return out.withColumn("n_dropped", F.coalesce(F.size("dropped_lines"), F.lit(0))).select(*names, "n_dropped")
 

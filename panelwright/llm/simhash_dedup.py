@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .common import materialize
@@ -50,7 +51,7 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.int64)[0])
 
 
-@pandas_udf("long")
+@pandas_udf(T.LongType())
 def fingerprint_udf(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([fingerprint(x) for x in batch], dtype="int64")
