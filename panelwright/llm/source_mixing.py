@@ -19,7 +19,7 @@ MAX_REPEAT = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 1 << 16
 #: Rows that one window or generator call handles.
-BUCKET_DOCS, CHUNK_SLOTS = 20_000, 1 << 16
+BUCKET_DOCS, CHUNK_SLOTS = 4_000, 1 << 14
 SEED = 9
 ROUNDS = 8
 
@@ -97,7 +97,9 @@ def _slots(sources: DataFrame) -> DataFrame:
     total = sources.agg(F.coalesce(F.sum("n_slots"), F.lit(0))).first()[0]
     begin = F.col("chunk") * CHUNK_SLOTS
     last = F.least(begin + CHUNK_SLOTS, F.col("n_slots")) - 1
-    slots = chunks.repartition("source_no", "chunk").select("source_no", "n_blocks", F.explode(F.sequence(begin, last)).alias("slot"))
+    # a given number of partitions keeps the generator spread out, however small its input is
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = chunks.repartition(tasks, "source_no", "chunk").select("source_no", "n_blocks", F.explode(F.sequence(begin, last)).alias("slot"))
     shard = F.pmod(F.xxhash64(F.lit(SEED), "source_no", "slot"), F.lit(max(1, -(-total // SHARD_SLOTS))))
     block = permuted(F.pmod("slot", "n_blocks"), F.col("n_blocks"), F.col("source_no"))
     return slots.select("source_no", "slot", shard.alias("shard"), block.alias("block"))
@@ -118,7 +120,8 @@ def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
 def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself: (shard, source_no, slot, block, doc_id, first_word, words), a row for each piece of a slot."""
     placed, sources = _placed(docs, block_words)
-    return _slots(sources).join(_pieces(placed, block_words).drop("offset"), ["source_no", "block"])
+    # slots and pieces come from generators, whose size Spark underrates: ask for a merge, not a broadcast
+    return _slots(sources).hint("merge").join(_pieces(placed, block_words).drop("offset"), ["source_no", "block"])
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -131,9 +134,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """
     placed, sources = _placed(docs, block_words)
     times = _slots(sources).groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = _pieces(placed, block_words).join(times, ["source_no", "block"])
+    taken = _pieces(placed, block_words).join(times.hint("merge"), ["source_no", "block"])
     taken = taken.groupBy("source_no", "offset").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = placed.alias("d").join(taken.alias("t"), F.expr("d.size > 0 and d.source_no = t.source_no and d.offset = t.offset"), "left")
+    out = placed.alias("d").join(taken.hint("merge").alias("t"), F.expr("d.size > 0 and d.source_no = t.source_no and d.offset = t.offset"), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
