@@ -40,6 +40,8 @@ GRAM = 3
 DIAGONAL_GAP = 3
 #: Share of a template's words that its span must hold in order.
 COVER = 0.8
+#: k-grams of these words alone are no evidence of a license and cast no vote.
+COMMON = frozenset("a all an and any are as at be by do for from has if in is it may no not of on or that the this to under use was which with you".split())
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -47,20 +49,25 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
+def voting_grams(wording: str) -> list[tuple[int, list[str]]]:
+    """(place, words) of the k-grams of a template that hold a word that is not common."""
+    found = wording.split()
+    grams = [(i, found[i : i + GRAM]) for i in range(len(found) - GRAM + 1)]
+    return [(i, g) for i, g in grams if not COMMON.issuperset(g)]
+
+
 def _anchors() -> list[str]:
-    """Words of which every template k-gram and every phrase holds at least one: its longest."""
-    grams = [p.split() for p, _ in PHRASES]
-    for _, wording in TEMPLATES:
-        found = wording.split()
-        grams += [found[i : i + GRAM] for i in range(len(found) - GRAM + 1)]
-    return sorted({max(g, key=len) for g in grams})
+    """Words of which every voting k-gram and every phrase holds at least one: its longest that is not common."""
+    grams = [p.split() for p, _ in PHRASES] + [g for _, wording in TEMPLATES for _, g in voting_grams(wording)]
+    return sorted({max((w for w in g if w not in COMMON), key=len) for g in grams})
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
     """(template, label, size, at, gram): a few hundred rows, fixed by TEMPLATES."""
-    rows = spark.createDataFrame([(i, a, b.split()) for i, (a, b) in enumerate(TEMPLATES)], "template int, label string, wording array<string>")
-    grams = F.posexplode(_grams(F.col("wording"))).alias("at", "gram")
-    return rows.select("template", "label", "wording", F.size("wording").alias("size"), grams)
+    rows = [(t, label, wording.split(), len(voting_grams(wording)), at, g) for t, (label, wording) in enumerate(TEMPLATES) for at, g in voting_grams(wording)]
+    table = spark.createDataFrame(rows, "template int, label string, wording array<string>, n_grams int, at int, gram array<string>")
+    gram = F.xxhash64(*[F.get("gram", k) for k in range(GRAM)])
+    return table.select("template", "label", "wording", "n_grams", F.size("wording").alias("size"), "at", gram.alias("gram"))
 
 
 def _grams(found: Column) -> Column:
@@ -92,14 +99,14 @@ def license_spans(marked: DataFrame) -> DataFrame:
     hits = marked.select("row", F.posexplode(_grams(F.col("words"))).alias("place", "gram"))
     hits = hits.join(F.broadcast(template_grams(marked.sparkSession)), "gram")
     diagonal = F.col("place") - F.col("at")
-    votes = hits.groupBy("row", "template", "label", "size", "wording", diagonal.alias("diagonal")).agg(F.count("*").alias("votes"))
+    votes = hits.groupBy("row", "template", "label", "size", "n_grams", "wording", diagonal.alias("diagonal")).agg(F.count("*").alias("votes"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
     votes = votes.withColumn("copy", F.sum(F.when(gap <= DIAGONAL_GAP, 0).otherwise(1)).over(order))
-    copies = votes.groupBy("row", "template", "label", "size", "wording", "copy").agg(
+    copies = votes.groupBy("row", "template", "label", "size", "n_grams", "wording", "copy").agg(
         F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes")
     )
-    copies = copies.where(F.col("votes") >= F.ceil((F.col("size") - GRAM + 1) * 0.4))
+    copies = copies.where(F.col("votes") >= F.ceil(F.col("n_grams") * 0.4))
     spans = copies.join(marked, "row")
     begin = F.greatest(F.col("low"), F.lit(0))
     length = F.col("high") + F.col("size") - begin
