@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from panelwright.plans import metrics
+
+MODULES = (metrics,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in MODULES for name, q in m.oracle_sql().items()}
