@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import metrics
+from panelwright.plans import metrics, quality, states
 
-MODULES = (metrics,)
+MODULES = (metrics, states, quality)
 
 
 def queries() -> dict:

@@ -49,7 +49,7 @@ def exclusive_layer(nested: DataFrame, dimensions: list[str]) -> DataFrame:
     return nested.withColumn("layer", label)
 
 
-def nesting_violations(nested: DataFrame, n: int) -> Column:
+def nesting_violations(n: int) -> Column:
     """Whether some state is true though the one before it is not."""
     bad = F.lit(False)
     for k in range(2, n + 1):
