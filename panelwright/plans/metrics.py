@@ -104,17 +104,22 @@ select security_id, trading_date, value, ok and n = {window} as eligible,
   case when ok and n = {window} then 'valid_no_blocker' when ok then 'insufficient_strict_past_history' else 'raw_metric_not_valid,' || reason_codes end as reason_codes,
   case when ok then n else 0 end as reference_count, case when ok then f end as reference_start, case when ok then t end as reference_end
 from (select *, coalesce(list(value) over p, []) as past, count(*) over p as n, min(trading_date) over p as f, max(trading_date) over p as t
-  from (select *, value is not null and validity_status = 'valid' as ok from rm_{metric})
+  from (select * replace (round(value, 10) as value), value is not null and validity_status = 'valid' as ok from rm_{metric})
   window p as (partition by security_id, ok order by trading_date rows between {window} preceding and 1 preceding))""",
     )
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """Values to ten places, so that engines that add a window's rows in another order find the same ties."""
+    return df.withColumn("value", F.round("value", 10))
+
+
 def long_scores(spark, d: str, window: int = WINDOW) -> DataFrame:
     """Scores of all eight metrics with their dimension."""
     panel, out = prices(spark, d), None
     for dimension, names in DIMENSIONS.items():
         for name in names:
-            one = S.strict_past_percentile(M.METRICS[name](panel), window).withColumns({"dimension": F.lit(dimension), "indicator": F.lit(name)})
+            one = S.strict_past_percentile(steady(M.METRICS[name](panel)), window).withColumns({"dimension": F.lit(dimension), "indicator": F.lit(name)})
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -190,8 +195,8 @@ def queries() -> dict:
     out = {f"{_RM_IDS[name]}_{name}": (lambda s, d, f=f: tidy(f(prices(s, d)))) for name, f in M.METRICS.items()}
     out |= {
         "rm15_market_features": _features,
-        "sc01_strict_past_percentile": lambda s, d: _score_out(S.strict_past_percentile(M.log_range(prices(s, d)), WINDOW)),
-        "sc02_short_window": lambda s, d: _score_out(S.strict_past_percentile(M.log_range(prices(s, d)), 20)),
+        "sc01_strict_past_percentile": lambda s, d: _score_out(S.strict_past_percentile(steady(M.log_range(prices(s, d))), WINDOW)),
+        "sc02_short_window": lambda s, d: _score_out(S.strict_past_percentile(steady(M.log_range(prices(s, d))), 20)),
         "sc03_indicator_map": lambda s, d: S.map_indicator(long_scores(s, d).withColumnRenamed("indicator", "indicator_id"), {"natr14": "P1", "log_range20": "P2", "ma_spread": "C1"}).groupBy("indicator_id").agg(F.count_if("eligible").alias("n_eligible")),
         "sc04_dimension_scores": _dims,
         "sc05_common_sample": _common,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import metrics as M
 from panelwright.operators import scores as S
 from panelwright.operators import states as ST
-from panelwright.plans.metrics import DIMENSIONS, WINDOW, long_scores, prices
+from panelwright.plans.metrics import DIMENSIONS, WINDOW, long_scores, prices, steady
 from panelwright.plans.sql import query, step
 from panelwright.sources.panels import scan, user_spine
 
@@ -31,7 +31,7 @@ def text_dates(df: DataFrame) -> DataFrame:
 
 
 def low_range(spark, d: str) -> DataFrame:
-    return S.strict_past_percentile(M.log_range(prices(spark, d)), WINDOW)
+    return S.strict_past_percentile(steady(M.log_range(prices(spark, d))), WINDOW)
 
 
 def dim_scores(spark, d: str) -> DataFrame:
