@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import metrics, quality, states
+from panelwright.plans import metrics, quality, states, zones
 
-MODULES = (metrics, states, quality)
+MODULES = (metrics, states, quality, zones)
 
 
 def queries() -> dict:
