@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import metrics, quality, states, zones
+from panelwright.plans import metrics, quality, states, statistics, zones
 
-MODULES = (metrics, states, quality, zones)
+MODULES = (metrics, states, quality, zones, statistics)
 
 
 def queries() -> dict:
