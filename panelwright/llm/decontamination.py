@@ -208,7 +208,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = []
     for index in benchmark_slices(benchmark):
         found = docs.select("doc_id", F.explode(leaks_udf(index)("text")).alias("leak"))
-        ids = F.array(*[F.lit(i).cast("long") for i in index.ids]) if len(index.ids) <= 1000 else None
+        ids = F.array(*[F.lit(i).cast("long") for i in index.ids]).cast("array<bigint>") if len(index.ids) <= 1000 else None
         found = found.select("doc_id", F.col("leak.item_row").alias("item_row"), F.col("leak.distance").alias("distance"), F.col("leak.first_word").alias("first_word"))
         if ids is None:
             known = docs.sparkSession.createDataFrame(list(enumerate(index.ids)), "item_row int, item_id long")

@@ -192,11 +192,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     All rows and other columns stay; a document may be left with an empty text.
     """
-    names = docs.columns
     gone = repeated_lines(docs, min_words).groupBy("doc_key").agg(F.collect_set("line_no").alias("dropped_lines"))
-    joined = with_key(docs).join(gone.hint("merge"), "doc_key", "left")
-    out = joined.withColumn("text", _without("text", "dropped_lines"))
-    return out.withColumn("n_dropped", F.coalesce(F.size("dropped_lines"), F.lit(0))).select(*names, "n_dropped")
+    # the document's own columns stand in a struct, so none can clash with those of the join
+    whole = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
+    joined = whole.join(gone.hint("merge"), "doc_key", "left")
+    out = joined.select("row", _without("row.text", "dropped_lines").alias("text"), F.coalesce(F.size("dropped_lines"), F.lit(0)).alias("n_dropped"))
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_dropped"], "n_dropped")
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Net
 
     rows = chosen.mapInPandas(vector, "doc_id long, quality int, x binary").orderBy(F.xxhash64("doc_id"), "x").limit(2 * train_rows).collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64)
-    net = fit_network(x.reshape(len(rows), -1), np.array([float(r["quality"] == 1) for r in rows]))
+    net = fit_network(x if len(rows) else np.zeros((0, 0)), np.array([float(r["quality"] == 1) for r in rows]))
     net.vectors = vectors
     return net
 
