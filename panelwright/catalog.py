@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import metrics, quality, states, statistics, zones
+from panelwright.plans import metrics, quality, requests, states, statistics, streams, zones
 
-MODULES = (metrics, states, quality, zones, statistics)
+MODULES = (metrics, states, quality, zones, statistics, requests, streams)
 
 
 def queries() -> dict:
