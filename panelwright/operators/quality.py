@@ -12,7 +12,7 @@ KEYS = ["security_id", "trading_date"]
 
 def resolve_codes(df: DataFrame, column: str) -> DataFrame:
     """Exchange and symbol from codes such as 000123.SZ, sz.000123 or 000123; ``status`` tells what was found."""
-    code = F.upper(F.trim(F.col(column)))
+    code = F.upper(F.trim(F.coalesce(F.col(column), F.lit(""))))
     symbol = F.regexp_extract(code, r"(\d{6})", 1)
     named = F.regexp_extract(code, r"(?:^|\.)(SZ|SH)(?:\.|$)", 1)
     guess = F.when(F.substring(symbol, 1, 1).isin("6", "9"), "SH").when(symbol != "", "SZ")
