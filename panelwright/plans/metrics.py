@@ -10,6 +10,8 @@ from panelwright.operators import scores as S
 from panelwright.plans.sql import query, step
 from panelwright.sources.panels import daily_prices, scan
 
+#: Added before rounding: exact halves of the last place round alike in both engines.
+NUDGE = 1e-10
 _W = "partition by security_id order by trading_date"
 _AV = {n: f"ln(avg(adjusted_close) over (w rows between {n - 1} preceding and current row))" for n in M.MA_WINDOWS}
 
@@ -21,7 +23,7 @@ def prices(spark, d: str) -> DataFrame:
 def tidy(df: DataFrame) -> DataFrame:
     """Metric rows as they are compared: values to six places, dates and lists as text."""
     return df.select(
-        "security_id", F.col("trading_date").cast("string").alias("trading_date"), F.round("value", 6).alias("value"), "validity_status",
+        "security_id", F.col("trading_date").cast("string").alias("trading_date"), F.round(F.col("value") + NUDGE, 6).alias("value"), "validity_status",
         F.array_join("reason_codes", ",").alias("reason_codes"), F.col("window_start").cast("string").alias("window_start"),
         F.col("required_count").cast("long").alias("required_count"), F.col("actual_count").cast("long").alias("actual_count"),
     )
@@ -104,14 +106,14 @@ select security_id, trading_date, value, ok and n = {window} as eligible,
   case when ok and n = {window} then 'valid_no_blocker' when ok then 'insufficient_strict_past_history' else 'raw_metric_not_valid,' || reason_codes end as reason_codes,
   case when ok then n else 0 end as reference_count, case when ok then f end as reference_start, case when ok then t end as reference_end
 from (select *, coalesce(list(value) over p, []) as past, count(*) over p as n, min(trading_date) over p as f, max(trading_date) over p as t
-  from (select * replace (round(value, 10) as value), value is not null and validity_status = 'valid' as ok from rm_{metric})
+  from (select * replace (round(value + 1e-13, 10) as value), value is not null and validity_status = 'valid' as ok from rm_{metric})
   window p as (partition by security_id, ok order by trading_date rows between {window} preceding and 1 preceding))""",
     )
 
 
 def steady(df: DataFrame) -> DataFrame:
     """Values to ten places, so that engines that add a window's rows in another order find the same ties."""
-    return df.withColumn("value", F.round("value", 10))
+    return df.withColumn("value", F.round(F.col("value") + 1e-13, 10))
 
 
 def long_scores(spark, d: str, window: int = WINDOW) -> DataFrame:
@@ -141,7 +143,7 @@ from (select security_id, trading_date, dimension, avg(score) as mean, min(score
   from scores_long group by all)""",
 )
 
-_COLS = "security_id, cast(trading_date as varchar) as trading_date, round(value, 6) as value, validity_status, reason_codes, cast(window_start as varchar) as window_start, required_count, actual_count"
+_COLS = f"security_id, cast(trading_date as varchar) as trading_date, round(value + {NUDGE}, 6) as value, validity_status, reason_codes, cast(window_start as varchar) as window_start, required_count, actual_count"
 
 
 def _score_out(df: DataFrame) -> DataFrame:
@@ -153,7 +155,7 @@ def _score_out(df: DataFrame) -> DataFrame:
     )
 
 
-_SCORE_COLS = "security_id, cast(trading_date as varchar) as trading_date, eligible, round(percentile, 9) as percentile, round(score, 9) as score, validity_status, reason_codes, reference_count, cast(reference_start as varchar) as reference_start, cast(reference_end as varchar) as reference_end"
+_SCORE_COLS = f"security_id, cast(trading_date as varchar) as trading_date, eligible, round(percentile, 9) as percentile, round(score, 9) as score, validity_status, reason_codes, reference_count, cast(reference_start as varchar) as reference_start, cast(reference_end as varchar) as reference_end"
 _FEATURES = [f"ma{n}" for n in M.MA_WINDOWS] + [f"{c}_ma{n}" for c in ("volume", "amount", "turnover") for n in (20, 60)] + ["atr14", "range20", "previous_close"]
 _RM_IDS = dict(zip(M.METRICS, ("rm01", "rm02", "rm03", "rm04", "rm05", "rm06", "rm07", "rm08", "rm09", "rm10", "rm11")))
 
@@ -164,12 +166,12 @@ def _features_sql() -> str:
     cols += [f"avg({c}) over {rows(n)} as {name}_ma{n}" for c, name in (("volume_shares", "volume"), ("amount_yuan", "amount"), ("turnover_float", "turnover")) for n in (20, 60)]
     cols += [f"avg({_TR}) over {rows(14)} as atr14", f"max(adjusted_high) over {rows(20)} - min(adjusted_low) over {rows(20)} as range20", "before as previous_close"]
     inner = f"select security_id, trading_date, row_number() over w - 1 as sequence, {', '.join(cols)} from (select *, lag(adjusted_close) over ({_W}) as before from pday) window w as ({_W})"
-    return f"select security_id, cast(trading_date as varchar) as trading_date, sequence, {', '.join(f'round({c}, 6) as {c}' for c in _FEATURES)} from ({inner})"
+    return f"select security_id, cast(trading_date as varchar) as trading_date, sequence, {', '.join(f'round({c} + {NUDGE}, 6) as {c}' for c in _FEATURES)} from ({inner})"
 
 
 def _features(spark, d):
     out = M.market_features(prices(spark, d))
-    return out.select("security_id", F.col("trading_date").cast("string").alias("trading_date"), F.col("sequence").cast("long").alias("sequence"), *[F.round(c, 6).alias(c) for c in _FEATURES])
+    return out.select("security_id", F.col("trading_date").cast("string").alias("trading_date"), F.col("sequence").cast("long").alias("sequence"), *[F.round(F.col(c) + NUDGE, 6).alias(c) for c in _FEATURES])
 
 
 def _dims(spark, d):

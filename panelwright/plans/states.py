@@ -99,7 +99,7 @@ select security_id, k, row_number() over (partition by security_id, k order by r
   case when nx is not null then last_date end as interval_end_date, coalesce(nx, last_date) as last_observed_date, duration_raw_days, duration_confirmed_days, nx is null as is_open,
   case when nx is null then 'end_of_input_open' when nst <> 'valid' then 'state_' || nst when not ns then 'state_false' else 'state_unknown' end as termination_reason
 from (select security_id, k, run, min(trading_date) as raw_start_date, min(case when confirmed then trading_date end) as confirmation_date, max(trading_date) as last_date,
-    arg_max(n1, trading_date) as nx, arg_max(n2, trading_date) as ns, arg_max(n3, trading_date) as nst, count(*) as duration_raw_days, count(*) filter (confirmed) as duration_confirmed_days
+    arg_max(struct_pack(a := n1), trading_date).a as nx, arg_max(struct_pack(a := n2), trading_date).a as ns, arg_max(struct_pack(a := n3), trading_date).a as nst, count(*) as duration_raw_days, count(*) filter (confirmed) as duration_confirmed_days
   from (select *, lead(trading_date) over z as n1, lead(raw_state) over z as n2, lead(validity_status) over z as n3 from {name}_conf window z as (partition by security_id, k order by trading_date))
   where run is not null group by 1, 2, 3)
 where confirmation_date is not null""",

@@ -35,7 +35,7 @@ def metric_rows(spark, d: str) -> DataFrame:
     return steady(M.log_range(p)).withColumn("metric", F.lit("log_range20")).unionByName(steady(M.log_amount(p)).withColumn("metric", F.lit("log_amount20")))
 
 
-step("mrows", "select *, 'log_range20' as metric from (select * replace (round(value, 10) as value) from rm_log_range20) union all select *, 'log_amount20' from (select * replace (round(value, 10) as value) from rm_log_amount20)")
+step("mrows", "select *, 'log_range20' as metric from (select * replace (round(value + 1e-13, 10) as value) from rm_log_range20) union all select *, 'log_amount20' from (select * replace (round(value + 1e-13, 10) as value) from rm_log_amount20)")
 
 
 def _spread_sql(v: str) -> str:

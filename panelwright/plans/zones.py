@@ -38,7 +38,7 @@ select *, run is not null and streak >= {k} as confirmed from (
         f"""
 select *, qualification_date is not null as qualified from (
   select security_id, run, min(observation_sequence) as first_seq, max(observation_sequence) as last_seq, min(trading_date) as start_date, max(trading_date) as end_date, count(*) as n_confirmed,
-    case when arg_max(n1, trading_date) is null then 'sample_end' when arg_max(n2, trading_date) then 'quality' else 'natural' end as end_reason,
+    case when arg_max(struct_pack(a := n1), trading_date).a is null then 'sample_end' when arg_max(struct_pack(a := n2), trading_date).a then 'quality' else 'natural' end as end_reason,
     min(case when rn = {d} then trading_date end) as qualification_date
   from (select *, row_number() over (partition by security_id, run order by trading_date) as rn from (
       select *, lead(trading_date) over z as n1, lead(hard_break) over z as n2 from {n}_day window z as (partition by security_id order by trading_date)) where confirmed)
