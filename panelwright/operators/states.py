@@ -43,7 +43,7 @@ def nested_states(wide: DataFrame, dimensions: list[str]) -> DataFrame:
 def exclusive_layer(nested: DataFrame, dimensions: list[str]) -> DataFrame:
     """Longest true prefix of the chain as a label, NONE for a false first state, else UNKNOWN."""
     label = F.when(F.col("s1").isNull(), "UNKNOWN").when(~F.col("s1"), "NONE")
-    for k in range(len(dimensions), 0, -1):
+    for k in range(1, len(dimensions) + 1):  # the longest stands outermost
         name = "".join(dimensions[:k]) + ("_ONLY" if k == 1 else "")
         label = F.when(F.col(f"s{k}"), name).otherwise(label)
     return nested.withColumn("layer", label)
