@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import metrics, quality, requests, states, statistics, streams, zones
+from panelwright.plans import metrics, quality, requests, states, statistics, streams, studies, zones
 
-MODULES = (metrics, states, quality, zones, statistics, requests, streams)
+MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies)
 
 
 def queries() -> dict:
