@@ -5,9 +5,10 @@ number of output buckets: the most frequent words and the end mark have one each
 to buckets by their ending, within which they keep their corpus counts. A word's probability is that of
 its bucket's class, of the bucket within the class, and of the word within the bucket.
 
-The network learns from a bounded sample of training documents by backpropagation through windows of
-a few steps. Scoring carries the hidden state across windows, so each text is scored from its first
-token to its end mark.
+The network learns from all training documents, in whole texts, by backpropagation through windows of
+a few steps. The documents are dealt to slices, and those of a slice to units of about equal size; each
+unit trains a copy of the network in Spark, and the copies' average begins the next slice. Scoring
+carries the hidden state across windows, so each text is scored from its first token to its end mark.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,11 @@ from .common import crc_mod, materialize
 CLASSES = MEMBERS = 32
 OWN = 703
 TAIL = CLASSES * MEMBERS - 1 - OWN
-HIDDEN, WINDOW, LANES, EPOCHS = 24, 16, 64, 5
-#: The network is fitted to so many tokens of training documents at most (documented bound of the sample).
-SAMPLE_TOKENS, SAMPLE_DOCS = 250_000, 1_500
+HIDDEN, WINDOW, LANES, EPOCHS = 24, 16, 192, 5
+#: Tokens of a unit, and slices of a corpus that fills more than one unit; every slice holds more units as the corpus grows.
+UNIT_TOKENS, SLICES = 1_000_000, 8
+#: A corpus of fewer tokens is gone through several times, up to EPOCHS.
+PASS_TOKENS = 1_250_000
 #: Documents and characters that one task scores together.
 CHUNK_DOCS, CHUNK_CHARS = 4096, 16_000_000
 HELD_OUT = 2  # crc32(doc_id) mod 7 of the documents that the model never sees
@@ -131,52 +134,77 @@ def _streams(texts: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarra
     return x, y, of
 
 
-def train(model: Model, texts: list[np.ndarray], epochs: int = EPOCHS, lanes: int = LANES, window: int = WINDOW) -> None:
-    """Adam over windows of the lanes; states pass from window to window, gradients don't."""
-    texts = [t for t in texts if len(t)]
-    if not texts:
-        return
-    lanes = min(lanes, len(texts))
+NAMES = ("wx", "urz", "un", "wc", "bc", "wm", "bm")
+
+
+def weights(model: Model) -> np.ndarray:
+    return np.concatenate([getattr(model, n).ravel() for n in NAMES])
+
+
+def with_weights(model: Model, flat: np.ndarray) -> Model:
+    """The model with its arrays as views of ``flat``."""
+    return replace(model, **_views(model, flat))
+
+
+def _views(model: Model, flat: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for n in NAMES:
+        shape, size = getattr(model, n).shape, getattr(model, n).size
+        out[n] = flat[at : at + size].reshape(shape)
+        at += size
+    return out
+
+
+def train(model: Model, texts: list[np.ndarray], rate: float, lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
+    """Weights after one pass of Adam over windows of the lanes; states pass from window to window, gradients don't."""
+    lengths = np.array([len(t) for t in texts])
+    # few enough lanes that the longest text fills no more than its share, and that a small corpus still has many updates
+    lanes = int(np.clip(min(lengths.sum() // lengths.max(), lengths.sum() // (200 * window)), 1, min(lanes, len(texts))))
+    window = max(window, min(128, LANES * WINDOW // lanes))  # fewer lanes, longer windows
     x, y, of = _streams(texts, lanes)
     begins = np.vstack([np.ones((1, lanes), bool), of[1:] != of[:-1]])
-    names = ("wx", "urz", "un", "wc", "bc", "wm", "bm")
-    moments = {n: [np.zeros_like(getattr(model, n)), np.zeros_like(getattr(model, n))] for n in names}
-    size, count = model.urz.shape[0], 0
-    for epoch in range(epochs):
-        h = np.zeros((lanes, size), np.float32)
-        rate = 0.006 * 0.6**epoch
-        for at in range(0, len(x), window):
-            past, states = [], []
-            for t in range(at, min(at + window, len(x))):
-                h = np.where(begins[t][:, None], np.float32(0), h)
-                new, r, z, n, held = model.step(x[t], h)
-                past.append((h, r, z, n, held))
-                states.append(new)
-                h = new
-            steps = len(states)
-            grads = {n: np.zeros_like(getattr(model, n)) for n in names}
-            flat, target = np.concatenate(states), y[at : at + steps].ravel()
-            real = (of[at : at + steps].ravel() >= 0).astype(np.float32) / (steps * lanes)
-            back = _output_gradient(model, flat, target, real, grads).reshape(steps, lanes, size)
-            d = np.zeros((lanes, size), np.float32)
-            for t in range(steps - 1, -1, -1):
-                prev, r, z, n, held = past[t]
-                d = d + back[t]
-                dn = d * (1 - z) * (1 - n * n)
-                dz = d * (prev - n) * z * (1 - z)
-                dheld = dn @ model.un.T
-                drz = np.hstack([dheld * prev * r * (1 - r), dz])
-                np.add.at(grads["wx"], x[at + t], np.hstack([drz, dn]))
-                grads["un"] += held.T @ dn
-                grads["urz"] += prev.T @ drz
-                d = (d * z + dheld * r + drz @ model.urz.T) * ~begins[at + t][:, None]
-            count += 1
-            for name in names:
-                g, (a, b) = grads[name], moments[name]
-                a += 0.1 * (g - a)
-                b += 0.001 * (g * g - b)
-                scale = np.sqrt(b / (1 - 0.999**count)) + 1e-8
-                setattr(model, name, (getattr(model, name) - rate * (a / (1 - 0.9**count)) / scale).astype(np.float32))
+    starts, stays = begins.any(axis=1), (~begins).astype(np.float32)[:, :, None]
+    flat = weights(model)
+    model, grad = with_weights(model, flat), np.zeros_like(flat)
+    first, second, grads = np.zeros_like(flat), np.zeros_like(flat), _views(model, grad)
+    size, h = model.urz.shape[0], np.zeros((lanes, model.urz.shape[0]), np.float32)
+    for count, at in enumerate(range(0, len(x), window), 1):
+        steps = min(window, len(x) - at)
+        past, states = [], []
+        for t in range(at, at + steps):
+            if starts[t]:
+                h = h * stays[t]
+            new, r, z, n, held = model.step(x[t], h)
+            past.append((h, r, z, n, held))
+            states.append(new)
+            h = new
+        grad[:] = 0
+        real = (of[at : at + steps].ravel() >= 0).astype(np.float32) / (steps * lanes)
+        back = _output_gradient(model, np.concatenate(states), y[at : at + steps].ravel(), real, grads).reshape(steps, lanes, size)
+        d, gates = np.zeros((lanes, size), np.float32), np.empty((steps, lanes, 3 * size), np.float32)
+        for t in range(steps - 1, -1, -1):
+            prev, r, z, n, held = past[t]
+            d = d + back[t]
+            dn = d * (1 - z) * (1 - n * n)
+            dheld = dn @ model.un.T
+            gates[t, :, :size] = dheld * prev * r * (1 - r)
+            gates[t, :, size : 2 * size] = d * (prev - n) * z * (1 - z)
+            gates[t, :, 2 * size :] = dn
+            d = d * z + dheld * r + gates[t, :, : 2 * size] @ model.urz.T
+            if starts[at + t]:
+                d = d * stays[at + t]
+        gates = gates.reshape(-1, 3 * size)
+        grads["un"] += np.concatenate([p[4] for p in past]).T @ gates[:, 2 * size :]
+        grads["urz"] += np.concatenate([p[0] for p in past]).T @ gates[:, : 2 * size]
+        inputs = x[at : at + steps].ravel()
+        order = np.argsort(inputs, kind="stable")
+        cuts = np.flatnonzero(np.diff(inputs[order], prepend=-1))
+        grads["wx"][inputs[order[cuts]]] = np.add.reduceat(gates[order], cuts, axis=0)
+        first += np.float32(0.1) * (grad - first)
+        second += np.float32(0.001) * (grad * grad - second)
+        scale = np.sqrt(second / np.float32(1 - 0.999**count)) + np.float32(1e-8)
+        flat -= np.float32(rate / (1 - 0.9**count)) * first / scale
+    return flat
 
 
 def _output_gradient(model: Model, h: np.ndarray, y: np.ndarray, weight: np.ndarray, grads: dict) -> np.ndarray:
@@ -313,15 +341,71 @@ def fit(docs: DataFrame, counts: DataFrame, corpus: Corpus) -> Model:
         word = bytes(r["token"])
         mass[own[word]] += r["c"]
         mass[tail_bucket(word)] -= r["c"] + 1
-    model = new_model(own, mass)
-    some = docs.where(~F.col("held_out")).select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE_DOCS)
-    texts, total = [], 0
-    for row in some.toLocalIterator():
-        text = np.array([*map(model.bucket, tokens(row["text"])), 0], np.int64)
-        if total + len(text) <= SAMPLE_TOKENS:
-            texts.append(text)
-            total += len(text)
-    train(model, texts)
+    return fit_network(new_model(own, mass), docs, corpus)
+
+
+def _code_batches(own: dict[bytes, int]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes = [np.array([*(own.get(w) or tail_bucket(w) for w in tokens(text)), 0], np.int16).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"place": batch["place"], "codes": codes})
+
+    return run
+
+
+def _unit_batches(model: Model, rate: float):
+    """(unit, n, weights): the weights that a unit's texts make of the model's; a unit's rows follow each other."""
+
+    def trained(unit: int, texts: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"unit": [unit], "n": [sum(map(len, texts))], "weights": [train(model, texts, rate).tobytes()]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unit, texts = None, []
+        for batch in batches:
+            for now, codes in zip(batch["unit"], batch["codes"]):
+                if now != unit and texts:
+                    yield trained(unit, texts)
+                    texts = []
+                unit = now
+                texts.append(np.frombuffer(codes, np.int16))
+        if texts:
+            yield trained(unit, texts)
+
+    return run
+
+
+def _summed(part: pd.DataFrame) -> pd.DataFrame:
+    """The sum of the weights of a group of units, each by its tokens."""
+    part, total = part.sort_values("unit"), 0
+    for n, held in zip(part["n"], part["weights"]):
+        total = total + n * np.frombuffer(held, np.float32).astype(np.float64)
+    return pd.DataFrame({"group": [part["group"].iloc[0]], "n": [part["n"].sum()], "weights": [total.tobytes()]})
+
+
+def fit_network(model: Model, docs: DataFrame, corpus: Corpus) -> Model:
+    """The model after all training documents: in each pass, every text is in one slice and one unit of it.
+
+    Slices and units are dealt by a hash of the row, so neither depends on partitions. Sums of weights
+    meet in groups, as many as the root of the units' number.
+    """
+    if not corpus.n_docs:
+        return model
+    slices = min(SLICES, -(-corpus.n // UNIT_TOKENS))
+    units = -(-corpus.n // (slices * UNIT_TOKENS))
+    passes = min(EPOCHS, -(-PASS_TOKENS // corpus.n))
+    codes = docs.where(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("place"), "text")
+    codes = materialize(codes.mapInPandas(_code_batches(model.own), "place long, codes binary"), "codes")
+    deal = F.pmod(F.col("place"), F.lit(slices * units))
+    codes = codes.select("place", "codes", (deal % slices).alias("slice"), F.floor(deal / slices).alias("unit"))
+    for k in range(passes * slices):
+        part = codes.where(F.col("slice") == k % slices).repartition(4 * units, "unit").sortWithinPartitions("unit", "place")
+        rate = 0.006 * 0.6 ** (EPOCHS * k / (passes * slices))
+        trained = part.select("unit", "codes").mapInPandas(_unit_batches(model, rate), "unit long, n long, weights binary")
+        grouped = trained.withColumn("group", F.pmod(F.xxhash64("unit"), F.lit(int(units**0.5) + 1))).groupBy("group")
+        sums = sorted(grouped.applyInPandas(_summed, "group long, n long, weights binary").collect(), key=lambda r: r["group"])
+        if sums:
+            total = sum(np.frombuffer(r["weights"], np.float64) for r in sums) / sum(r["n"] for r in sums)
+            model = with_weights(model, total.astype(np.float32))
     return model
 
 
