@@ -2,7 +2,8 @@
 
 Lines are compared as sequences of words (white space and the case of A-Z don't count). Two lines are
 near copies if one word edit (substitution, insertion, deletion) turns one into the other. With at
-least five words a line, that keeps to a similarity of 0.8.
+least five words a line, that keeps to a similarity of 0.8; longer lines may differ by one edit only,
+too. Equal lines need no such floor: ``exact_words`` says from how many words on they are compared.
 
 Distinct lines are found first. Two lines one edit apart agree on their first or their last words, so
 only lines that share such a half with another line emit their neighbourhood: the line itself and all
@@ -65,15 +66,15 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[at + (len(a) == len(b)) :] == b[at + 1 :]
 
 
-def _line_batches(min_words: int):
+def _line_batches(min_words: int, exact_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch["doc_id"].astype(object), batch["doc_key"], batch["text"]):
                 for no, found in enumerate(split_lines(text)):
-                    if len(found) >= min_words:
+                    if len(found) >= exact_words:
                         line = b" ".join(found)
-                        rows.append((doc_id, key, no, _hash(line, 0), _hash(line, 1), halves(found)))
+                        rows.append((doc_id, key, no, _hash(line, 0), _hash(line, 1), halves(found) if len(found) >= min_words else []))
             out = pd.DataFrame(rows, columns=["doc_id", "doc_key", "line_no", "h1", "h2", "halves"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
@@ -151,17 +152,18 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """Lines to drop: (doc_id, doc_key, line_no, kept_doc_id, kept_line_no).
 
     Places are ordered by doc_id (null first), by a hash that tells rows with one id apart, and by
     line. Every place of a line but its form's first goes; the first goes too if a line one word edit
-    away stands earlier. Lines under ``min_words`` words always stay. Rows that repeat both id and
-    text count as one document. Null and empty texts have no lines to compare.
+    away stands earlier. Lines under ``min_words`` words have no near copies, and lines under
+    ``exact_words`` (the same, if not given; blank lines have none) always stay. Rows that repeat both
+    id and text count as one document. Null and empty texts have no lines to compare.
     """
     docs = with_key(docs)
     rows = docs.select("doc_id", "doc_key", "text").mapInPandas(
-        _line_batches(min_words), "doc_id long, doc_key long, line_no int, h1 long, h2 long, halves array<long>"
+        _line_batches(min_words, min_words if exact_words is None else max(1, exact_words)), "doc_id long, doc_key long, line_no int, h1 long, h2 long, halves array<long>"
     )
     rows = materialize(rows, "line-keys")
     forms = rows.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), F.first("halves").alias("halves"))
@@ -187,12 +189,12 @@ def _without(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series(out, dtype=object)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
     """The documents with their repeated lines taken out of ``text``, and ``n_dropped``, the number of lines taken.
 
     All rows and other columns stay; a document may be left with an empty text.
     """
-    gone = repeated_lines(docs, min_words).groupBy("doc_key").agg(F.collect_set("line_no").alias("dropped_lines"))
+    gone = repeated_lines(docs, min_words, exact_words).groupBy("doc_key").agg(F.collect_set("line_no").alias("dropped_lines"))
     # the document's own columns stand in a struct, so none can clash with those of the join
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
     joined = whole.join(gone.hint("merge"), "doc_key", "left")
@@ -203,5 +205,5 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def op2(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines (of the text as given), n_dropped, and the text that remains."""
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    out = dedup_lines(docs.select("doc_id", "text").withColumn("n_lines", lines.cast("long")))
+    out = dedup_lines(docs.select("doc_id", "text").withColumn("n_lines", lines.cast("long")), exact_words=1)
     return out.select("doc_id", "n_lines", F.col("n_dropped").cast("long").alias("n_dropped"), "text")

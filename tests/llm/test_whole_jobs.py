@@ -2,7 +2,7 @@
 
 import random
 
-from panelwright.llm import lm_scoring
+from panelwright.llm import line_dedup, lm_scoring
 
 
 def test_language_model_learns_from_a_text_of_any_length(spark, monkeypatch):
@@ -31,3 +31,10 @@ def test_slices_and_units_train_on_every_training_token(spark, monkeypatch):
     monkeypatch.setattr(type(frame), "collect", spy)
     got = lm_scoring.op3(frame).collect()
     assert sum(seen) == got[0].train_tokens == sum(r.n_tokens for r in got if not r.held_out) and len(seen) > 8
+
+
+def test_short_lines_that_repeat_exactly_go(spark):
+    texts = [(1, "enststung ench.\nその行\n\nfour words stand here"), (2, "Enststung  ench.\nその行\n\nfour words stood here\nnew"), (3, "new\nnew\n \nenststung ench")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.op2(frame).collect()}
+    assert got == {1: (texts[0][1], 0), 2: ("\nfour words stood here\nnew", 2), 3: (" \nenststung ench", 2)}
