@@ -1,12 +1,13 @@
-"""Benchmark decontamination: CGK embeddings, bit-sampling LSH over item-sized windows, exact edit checks.
+"""Benchmark decontamination: pigeonhole seeds and exact edit checks; for item-sized windows CGK embeddings and bit-sampling LSH.
 
-An item of n words is leaked where a window of n consecutive words of a document is within
-floor(0.2 n) word edits of it. CGK's random walk embeds a window so that a small edit distance becomes
-a small Hamming distance; each repetition draws its own walk and samples a few places of the embedding,
-and a window that agrees with its item in all of them is a candidate. Candidates are verified exactly.
+An item of n words is leaked where consecutive words of a document, however many (n - k to n + k can
+qualify), are within k = floor(0.2 n) word edits of it. Of k + 1 equal parts of an item, one is
+untouched by k edits, so a qualifying window begins within k words of where such a part puts it. One
+dynamic program over that stretch of the document gives the exact distances of all its windows.
 
-Windows are proposed where they can qualify at all: of k + 1 equal parts of an item, one is untouched
-by k edits, so a qualifying window begins within k words of where such a part puts it.
+Without ``any_length``, only windows of n words count. CGK's random walk embeds such a window so that a
+small edit distance becomes a small Hamming distance; each repetition draws its own walk and samples a
+few places of the embedding, and a window that agrees with its item in all of them is verified exactly.
 """
 
 from __future__ import annotations
@@ -45,15 +46,13 @@ class Index:
     codes: dict[bytes, int]
     items: list[np.ndarray]
     bounds: list[int]
-    seeds: np.ndarray  # sorted codes of seed word triples
-    seed_item: np.ndarray
-    seed_offset: np.ndarray
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # words of a seed -> sorted codes, items and offsets of the seeds
     short: dict[tuple[int, ...], list[int]]  # items too short for a seed
 
 
 def build_index(rows: list[tuple[int, str | None]], similarity: float = SIMILARITY) -> Index:
     codes: dict[bytes, int] = {}
-    ids, items, bounds, seeds, short = [], [], [], [], {}
+    ids, items, bounds, seeds, short = [], [], [], {}, {}
     for item_id, text in rows:
         found = benchmark_words(text)
         if not found:
@@ -64,15 +63,24 @@ def build_index(rows: list[tuple[int, str | None]], similarity: float = SIMILARI
         items.append(item)
         bounds.append(k)
         part = n // (k + 1)
-        if part < SEED_WORDS:
-            # under four words no edit is allowed, so such an item is looked up as it is
+        if part < SEED_WORDS and not k:
             short.setdefault(tuple(item.tolist()), []).append(len(items) - 1)
             continue
-        seeds += [(*item[at : at + SEED_WORDS].tolist(), len(items) - 1, at) for at in range(0, part * (k + 1), part)]
-    width = len(codes) + 1
-    coded = np.array([(a * width + b) * width + c for a, b, c, _, _ in seeds], np.int64)
-    order = np.argsort(coded, kind="stable")
-    return Index(ids, codes, items, bounds, coded[order], np.array([s[3] for s in seeds], np.int64)[order], np.array([s[4] for s in seeds], np.int64)[order], short)
+        size = min(part, SEED_WORDS)
+        seeds.setdefault(size, []).extend((item[at : at + size], len(items) - 1, at) for at in range(0, part * (k + 1), part))
+    coded = {}
+    for size, found in seeds.items():
+        keys = _seed_codes(np.array([s[0] for s in found], np.int64).T, len(codes) + 1)
+        order = np.argsort(keys, kind="stable")
+        coded[size] = keys[order], np.array([s[1] for s in found], np.int64)[order], np.array([s[2] for s in found], np.int64)[order]
+    return Index(ids, codes, items, bounds, coded, short)
+
+
+def _seed_codes(columns, width: int) -> np.ndarray:
+    out = 0
+    for column in columns:
+        out = out * width + column
+    return out
 
 
 def cgk(windows: np.ndarray, walk: int, places: np.ndarray) -> np.ndarray:
@@ -123,7 +131,43 @@ def edit_distances(windows: np.ndarray, items: np.ndarray) -> np.ndarray:
     return row[:, -1]
 
 
-def leaks(texts: list[str | None], index: Index) -> list[list[tuple[int, int, int]]]:
+def nearest_windows(stretches: np.ndarray, items: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row: least word edit distance of any window of the stretch to the item, and where the first such window begins.
+
+    ``lead`` words of a stretch stand before the document; no window begins there. The program runs from
+    the end, with the windows' ends free, so its last row holds the distance for each beginning.
+    """
+    (count, width), n = stretches.shape, items.shape[1]
+    steps = np.arange(width + 1, dtype=np.int16 if n + width < 1 << 14 else np.int64)
+    back, row = np.ascontiguousarray(stretches[:, ::-1]), np.zeros((count, width + 1), steps.dtype)
+    for i in range(n):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, 1:] + 1, row[:, :-1] + (items[:, n - 1 - i : n - i] != back), out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+    row = row[:, ::-1].copy()
+    row[steps < lead[:, None]] = n + 1
+    first = row.argmin(axis=1)
+    return row[np.arange(count), first], first
+
+
+def _nearest(coded: list[np.ndarray], index: Index, rows: list[tuple[int, int, int]], n: int) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, distance, first word) of the stretches round the beginnings ``rows`` of items of n words."""
+    k = index.bounds[rows[0][1]]
+    around, at_once = np.arange(-k, n + k), max(1, 500_000 // (n + 2 * k))
+    for at in range(0, len(rows), at_once):
+        part = rows[at : at + at_once]
+        stretches = np.full((len(part), n + 2 * k), -1, np.int64)
+        for out, (t, _, start) in zip(stretches, part):
+            lo, hi = max(0, start - k), min(len(coded[t]), start + n + k)
+            out[lo - start + k : hi - start + k] = coded[t][lo:hi]
+        starts = np.array([start for _, _, start in part])
+        distances, first = nearest_windows(stretches, np.array([index.items[item] for _, item, _ in part]), np.maximum(0, k - starts))
+        for (t, item, _), d, place in zip(part, distances.tolist(), (starts + around[np.minimum(first, n + 2 * k - 1)]).tolist()):
+            yield t, item, d, place
+
+
+def leaks(texts: list[str | None], index: Index, any_length: bool = False) -> list[list[tuple[int, int, int]]]:
     """For each text its leaked items: (item row, least distance, first window with that distance)."""
     found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     width = len(index.codes) + 1
@@ -140,25 +184,32 @@ def leaks(texts: list[str | None], index: Index) -> list[list[tuple[int, int, in
                     same &= codes[j : len(codes) - len(key) + 1 + j] == code
                 if same.any():
                     found[t] += [(r, 0, int(np.argmax(same))) for r in rows]
-        if len(codes) < SEED_WORDS or not len(index.seeds):
-            continue
-        a, b, c = codes[:-2], codes[1:-1], codes[2:]
-        places = np.flatnonzero((a >= 0) & (b >= 0) & (c >= 0))
-        triples = (a[places] * width + b[places]) * width + c[places]
-        lo, hi = np.searchsorted(index.seeds, triples, "left"), np.searchsorted(index.seeds, triples, "right")
         windows = set()
-        for p in np.flatnonzero(hi > lo):
-            for s in range(lo[p], hi[p]):
-                item = int(index.seed_item[s])
-                k, n = index.bounds[item], len(index.items[item])
-                start = int(places[p] - index.seed_offset[s])
-                windows |= {(item, x) for x in range(max(0, start - k), min(start + k, len(codes) - n) + 1)}
+        for size, (seeds, seed_item, seed_offset) in index.seeds.items():
+            if len(codes) < size:
+                continue
+            columns = [codes[j : len(codes) - size + 1 + j] for j in range(size)]
+            places = np.flatnonzero(np.all([c >= 0 for c in columns], axis=0))
+            keys = _seed_codes([c[places] for c in columns], width)
+            lo, hi = np.searchsorted(seeds, keys, "left"), np.searchsorted(seeds, keys, "right")
+            for p in np.flatnonzero(hi > lo):
+                for s in range(lo[p], hi[p]):
+                    item = int(seed_item[s])
+                    k, n = index.bounds[item], len(index.items[item])
+                    start = int(places[p] - seed_offset[s])
+                    if any_length:
+                        windows.add((item, start))
+                    else:
+                        windows |= {(item, x) for x in range(max(0, start - k), min(start + k, len(codes) - n) + 1)}
         for item, start in windows:
             wanted.setdefault(len(index.items[item]), []).append((t, item, start))
     for n, rows in sorted(wanted.items()):
         rows.sort()
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for at in range(0, len(rows), 20_000):
+        for t, item, d, start in _nearest(coded, index, rows, n) if any_length else ():
+            if d <= index.bounds[item]:
+                best[t, item] = min(best.get((t, item), (n, 0)), (d, start))
+        for at in range(0, 0 if any_length else len(rows), 20_000):
             part = rows[at : at + 20_000]
             windows = np.array([coded[t][start : start + n] for t, _, start in part])
             items = np.array([index.items[item] for _, item, _ in part])
@@ -185,29 +236,29 @@ def benchmark_slices(benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -
 LEAK_TYPE = "array<struct<item_row:int,distance:int,first_word:long>>"
 
 
-def leaks_udf(index: Index):
+def leaks_udf(index: Index, any_length: bool = False):
     @pandas_udf(LEAK_TYPE)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             out = []
             for at in range(0, len(batch), 2000):
-                for rows in leaks(batch[at : at + 2000].tolist(), index):
+                for rows in leaks(batch[at : at + 2000].tolist(), index, any_length):
                     out.append([{"item_row": i, "distance": d, "first_word": s} for i, d, s in sorted(rows)])
             yield pd.Series(out, dtype=object)
 
     return run
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, any_length: bool = False) -> DataFrame:
     """documents, benchmark -> (doc_id, item_id, distance, first_word), a row for each document and leaked item.
 
     ``distance`` is the least word edit distance of a window to the item, ``first_word`` the first
-    such window's place. Texts and items without words match nothing; items with a null id keep it.
+    such window's place; windows have the item's length, or ``any_length``. Texts and items without words match nothing; items with a null id keep it.
     Repeated documents and items give a row each.
     """
     parts = []
     for index in benchmark_slices(benchmark):
-        found = docs.select("doc_id", F.explode(leaks_udf(index)("text")).alias("leak"))
+        found = docs.select("doc_id", F.explode(leaks_udf(index, any_length)("text")).alias("leak"))
         ids = F.array(*[F.lit(i).cast("long") for i in index.ids]).cast("array<bigint>") if len(index.ids) <= 1000 else None
         found = found.select("doc_id", F.col("leak.item_row").alias("item_row"), F.col("leak.distance").alias("distance"), F.col("leak.first_word").alias("first_word"))
         if ids is None:
@@ -221,12 +272,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, any_length: bool = False) -> DataFrame:
     """The documents in which no benchmark item is leaked."""
     for index in benchmark_slices(benchmark):
-        docs = docs.where(F.size(leaks_udf(index)("text")) == 0)
+        docs = docs.where(F.size(leaks_udf(index, any_length)("text")) == 0)
     return docs
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), any_length=True)

@@ -2,7 +2,7 @@
 
 import random
 
-from panelwright.llm import line_dedup, lm_scoring
+from panelwright.llm import decontamination, line_dedup, lm_scoring
 
 
 def test_language_model_learns_from_a_text_of_any_length(spark, monkeypatch):
@@ -38,3 +38,45 @@ def test_short_lines_that_repeat_exactly_go(spark):
     frame = spark.createDataFrame(texts, "doc_id long, text string")
     got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.op2(frame).collect()}
     assert got == {1: (texts[0][1], 0), 2: ("\nfour words stood here\nnew", 2), 3: (" \nenststung ench", 2)}
+
+
+def _nearest(t, item):
+    found = [(_levenshtein(t[i:j], item), i) for i in range(len(t)) for j in range(i + 1, len(t) + 1) if abs(j - i - len(item)) <= len(item) // 5 + 1]
+    return min(found, default=(len(item), 0))
+
+
+def _levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_leaks_of_any_length(spark):
+    rng = random.Random(5)
+    items = [[f"item{k}w{i % 7 if k == 1 else i}" for i in range(n)] for k, n in enumerate((20, 16, 9, 5, 4, 2))]
+    texts, want = [], {}
+    for k in range(150):
+        item = k % len(items)
+        w = list(items[item])
+        for _ in range(rng.randrange(0, len(w) // 4 + 2)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = ["edit"] * rng.randrange(2)
+        side = rng.choice([0, 0, 12])  # documents that are the passage alone, and longer ones
+        t = [f"x{i}" for i in range(side)] + w + [f"y{i}" for i in range(side)]
+        texts.append((k, " ".join(t)))
+        for j, words in enumerate(items):
+            d, first = _nearest(t, words)
+            if d <= len(words) // 5:
+                want[k, j] = (d, first)
+    texts += [(1000, " ".join(items[0][:9] + items[0][10:])), (1001, " ".join(["x"] * 30 + items[0][:8] + items[0][11:] + ["y"] * 30)), (1002, " ".join([*items[3][:2], "z", *items[3][3:]]))]
+    want |= {(1000, 0): (1, 0), (1001, 0): (3, 30), (1002, 3): (1, 0)}
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.distance, r.first_word) for r in decontamination.contaminations(frame, bench, any_length=True).collect()}
+    assert got == want
+    kept = {r.doc_id for r in decontamination.drop_contaminated(frame, bench, any_length=True).collect()}
+    assert kept == {k for k, _ in texts} - {d for d, _ in want}
