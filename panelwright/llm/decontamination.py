@@ -1,13 +1,17 @@
-"""Benchmark decontamination: pigeonhole seeds and exact edit checks; for item-sized windows CGK embeddings and bit-sampling LSH.
+"""Benchmark decontamination: CGK embeddings, repeated bit-sampling LSH, exact edit verification.
 
 An item of n words is leaked where consecutive words of a document, however many (n - k to n + k can
-qualify), are within k = floor(0.2 n) word edits of it. Of k + 1 equal parts of an item, one is
-untouched by k edits, so a qualifying window begins within k words of where such a part puts it. One
-dynamic program over that stretch of the document gives the exact distances of all its windows.
-
-Without ``any_length``, only windows of n words count. CGK's random walk embeds such a window so that a
-small edit distance becomes a small Hamming distance; each repetition draws its own walk and samples a
-few places of the embedding, and a window that agrees with its item in all of them is verified exactly.
+qualify), are within k = floor(0.2 n) word edits of it. CGK's random walk reads a window from its first
+word on: each step gives the word it stands on, and a hash of step and word decides whether it moves on.
+Two walks with the same hashes that an edit has driven apart soon meet again, so a small edit distance
+becomes a small Hamming distance. The first places of the walk of an item-sized window depend on nothing
+behind it; one walk from each word of a document therefore serves the windows of all lengths at once.
+
+Each repetition draws its own walk and samples places of it; a window whose sampled places equal those
+of an item, or of the item from one of its anchors on, is a candidate. Equal windows are found for
+certain. For windows at the full k edits, recall grows with the repetitions (``tests/llm`` measure it
+against brute force). One dynamic program over the stretch round a candidate then gives the exact
+distances of all its windows.
 """
 
 from __future__ import annotations
@@ -24,11 +28,21 @@ from pyspark.sql.functions import pandas_udf
 from .common import table
 
 SIMILARITY = 0.8
-#: LSH: each repetition samples so many places of an embedding of its own walk.
-REPETITIONS, SAMPLED = 40, 2
+#: LSH: walks, and from how many words on an item takes which samples of a walk's places (those that fit into it).
+WALKS = 6
+SAMPLES = (
+    (20, ((0, 2, 4, 6, 8), (2, 4, 6, 8, 10), (4, 6, 8, 10, 12), (6, 8, 10, 12, 14))),
+    (12, ((0, 2, 4, 6), (1, 3, 5, 7), (3, 5, 7, 9), (5, 7, 9, 11), (7, 9, 11, 13), (8, 10, 12, 14))),
+    (1, ((0, 2), (1, 3), (2, 4), (0, 3), (1, 4), (3, 5))),
+)
+STEPS = max(p[-1] for _, samples in SAMPLES for p in samples) + 1
+PLACES = max(len(p) for _, samples in SAMPLES for p in samples)
+#: Words between an item's anchors.
+ANCHOR_WORDS = 9
 #: Items sent to the executors at once; a larger benchmark takes several passes over the documents.
 ITEMS_AT_ONCE, CHARS_AT_ONCE = 20_000, 8_000_000
-SEED_WORDS = 3
+#: Words of a batch that are embedded together.
+WORDS_AT_ONCE = 1 << 18
 
 _CLEAN = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -38,84 +52,134 @@ def benchmark_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_CLEAN).split()
 
 
+@dataclass
+class Table:
+    """Keys of one repetition in order, each with its item and anchor, and which low bits of a key occur."""
+
+    keys: np.ndarray
+    item: np.ndarray
+    anchor: np.ndarray
+    occurs: np.ndarray
+
+
 @dataclass
 class Index:
     """What a task needs to find the items of one slice of the benchmark."""
 
-    ids: list
+    ids: list[list]  # of each distinct item: the ids that have its text
     codes: dict[bytes, int]
     items: list[np.ndarray]
     bounds: list[int]
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # words of a seed -> sorted codes, items and offsets of the seeds
-    short: dict[tuple[int, ...], list[int]]  # items too short for a seed
+    members: np.ndarray  # (item, low byte of a code) -> whether the item has such a word
+    tables: dict[int, dict[tuple[int, ...], Table]]  # walk -> sampled places -> table
 
 
-def build_index(rows: list[tuple[int, str | None]], similarity: float = SIMILARITY) -> Index:
+def build_index(rows: list[tuple[int, str | None]], similarity: float = SIMILARITY, walks: int = WALKS) -> Index:
+    """Items with the same words are kept once, with all their ids; items without words match nothing."""
     codes: dict[bytes, int] = {}
-    ids, items, bounds, seeds, short = [], [], [], {}, {}
+    same: dict[tuple[int, ...], list] = {}
     for item_id, text in rows:
         found = benchmark_words(text)
-        if not found:
-            continue
-        item = np.array([codes.setdefault(w, len(codes)) for w in found], np.int64)
-        k, n = int((1 - similarity) * len(item) + 1e-9), len(item)
-        ids.append(item_id)
-        items.append(item)
-        bounds.append(k)
-        part = n // (k + 1)
-        if part < SEED_WORDS and not k:
-            short.setdefault(tuple(item.tolist()), []).append(len(items) - 1)
-            continue
-        size = min(part, SEED_WORDS)
-        seeds.setdefault(size, []).extend((item[at : at + size], len(items) - 1, at) for at in range(0, part * (k + 1), part))
-    coded = {}
-    for size, found in seeds.items():
-        keys = _seed_codes(np.array([s[0] for s in found], np.int64).T, len(codes) + 1)
-        order = np.argsort(keys, kind="stable")
-        coded[size] = keys[order], np.array([s[1] for s in found], np.int64)[order], np.array([s[2] for s in found], np.int64)[order]
-    return Index(ids, codes, items, bounds, coded, short)
-
-
-def _seed_codes(columns, width: int) -> np.ndarray:
-    out = 0
-    for column in columns:
-        out = out * width + column
+        if found:
+            same.setdefault(tuple(codes.setdefault(w, len(codes)) for w in found), []).append(item_id)
+    items = [np.array(item, np.int32) for item in same]
+    bounds = [int((1 - similarity) * len(item) + 1e-9) for item in items]
+    members = np.zeros((len(items), 256), bool)
+    keys: dict[int, dict[tuple[int, ...], list[tuple[int, int, int]]]] = {}
+    drawn = {walk: draws(walk, len(codes) + 1) for walk in range(walks)}
+    for row, (item, k) in enumerate(zip(items, bounds)):
+        n = len(item)
+        members[row, item & 255] = True
+        # sampled places lie within the item, so that no walk leaves its window; an exact item needs one key
+        samples = [p for p in next(p for least, p in SAMPLES if n >= least) if p[-1] < n] or [tuple(range(n))]
+        anchors = range(0, max(1, n - ANCHOR_WORDS), ANCHOR_WORDS) if k else (0,)
+        for walk in range(walks if k else 1):
+            for anchor in anchors:
+                fitting = [p for p in (samples if k else samples[:1]) if anchor + p[-1] < n]
+                read = cgk(item, np.array([anchor]), drawn[walk][0], max((p[-1] for p in fitting), default=0) + 1)
+                for places in fitting:
+                    held = int(_key([read[p] for p in places], drawn[walk][1])[0])
+                    keys.setdefault(walk, {}).setdefault(places, []).append((held, row, anchor))
+    tables = {walk: {places: _table(found) for places, found in of_walk.items()} for walk, of_walk in keys.items()}
+    return Index(list(same.values()), codes, items, bounds, members, tables)
+
+
+def _table(found: list[tuple[int, int, int]]) -> Table:
+    keys, item, anchor = (np.array(column, t) for column, t in zip(zip(*sorted(found)), (np.uint32, np.int64, np.int64)))
+    occurs = np.zeros(1 << max(16, min(26, len(keys).bit_length() + 4)), bool)
+    occurs[keys & np.uint32(len(occurs) - 1)] = True
+    return Table(keys, item, anchor, occurs)
+
+
+def draws(walk: int, codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(step, code) -> whether the walk moves on, and (place of a sample, code) -> hash; the last code is that of all words that no item has."""
+    rng = np.random.default_rng((walk, 17))
+    return rng.integers(0, 2, (STEPS, codes), np.int32), rng.integers(0, 1 << 32, (PLACES, codes), np.uint32)
+
+
+def cgk(words: np.ndarray, starts: np.ndarray, bits: np.ndarray, steps: int) -> list[np.ndarray]:
+    """For each step of the walk from each start: the word it reads. Past the end of ``words`` it reads the last."""
+    at, out = starts.astype(np.int32), []
+    for step in range(steps):
+        sign = words.take(at, mode="clip")
+        out.append(sign)
+        at = at + bits[step].take(sign)
     return out
 
 
-def cgk(windows: np.ndarray, walk: int, places: np.ndarray) -> np.ndarray:
-    """Signs of the CGK embeddings (rows) at the given places; past its end a window gives -2."""
-    count, n = windows.shape
-    padded = np.hstack([windows, np.full((count, 1), -2, windows.dtype)])
-    at, rows, out = np.zeros(count, np.int64), np.arange(count), np.empty((count, len(places)), windows.dtype)
-    wanted = {int(p): i for i, p in enumerate(places)}
-    for step in range(int(places[-1]) + 1):
-        sign = padded[rows, at]
-        if step in wanted:
-            out[:, wanted[step]] = sign
-        x = (sign.astype(np.uint64) + np.uint64(2)) * np.uint64(0x9E3779B97F4A7C15)
-        x += np.uint64((step + walk * 100_003 + 1) * 0xD1B54A32D192ED03 & (1 << 64) - 1)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        at = np.minimum(at + ((x >> np.uint64(43)) & np.uint64(1)).astype(np.int64), n)
+def _key(columns: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    out = hashes[0].take(columns[0])
+    for place, column in enumerate(columns[1:], 1):
+        out ^= hashes[place].take(column)
     return out
 
 
-def lsh_candidates(windows: np.ndarray, items: np.ndarray, repetitions: int = REPETITIONS, sampled: int = SAMPLED) -> np.ndarray:
-    """Which windows agree with their item (same row) in all sampled places of at least one repetition.
+def candidates(words: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(item, first word) of the windows of ``words`` that agree with an item in a repetition.
 
-    All rows have one length n; places are drawn among the 3 n of an embedding. With a share f of
-    differing places, recall is 1 - (1 - (1 - f)**sampled)**repetitions: 0.97 even at f = 0.7.
+    Codes below 0 belong to no item, and no window begins there. Of a window within k edits of an item, at
+    least n - k words are words of the item; windows round which there are fewer such words are left out at once.
     """
-    n = windows.shape[1]
-    hit, rng = np.zeros(len(windows), bool), np.random.default_rng(n)
-    for walk in range(repetitions):
-        places = np.sort(rng.choice(3 * n, min(sampled, 3 * n), replace=False))
-        left = np.flatnonzero(~hit)
-        if not len(left):
-            break
-        hit[left] = (cgk(windows[left], walk, places) == cgk(items[left], walk, places)).all(axis=1)
-    return hit
+    unknown, found = len(index.codes), []
+    starts = np.flatnonzero(words >= 0)
+    low, known = (words & 255).astype(np.uint8), words >= 0
+    read_words = np.where(known, words, unknown).astype(np.int32)
+    sizes, bounds = np.array([len(i) for i in index.items], np.int64), np.array(index.bounds, np.int64)
+    for walk, tables in index.tables.items():
+        bits, hashes = draws(walk, unknown + 1)
+        for at in range(0, len(starts), WORDS_AT_ONCE):
+            part = starts[at : at + WORDS_AT_ONCE]
+            read = cgk(read_words, part, bits, max(p[-1] for p in tables) + 1)
+            for places, table in tables.items():
+                held = _key([read[p] for p in places], hashes)
+                hit = np.flatnonzero(table.occurs.take(held & np.uint32(len(table.occurs) - 1)))
+                held = held[hit]
+                lo, hi = np.searchsorted(table.keys, held), np.searchsorted(table.keys, held, "right")
+                times = hi - lo
+                row = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+                item, begin = table.item[row], np.repeat(part[hit], times) - table.anchor[row]
+                if len(item):
+                    keep = _enough_words(low, known, item, begin, index, sizes, bounds)
+                    found.append(begin[keep] * len(index.items) + item[keep])
+    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    return pairs % max(1, len(index.items)), pairs // max(1, len(index.items))
+
+
+def _enough_words(low: np.ndarray, known: np.ndarray, item: np.ndarray, begin: np.ndarray, index: Index, sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Whether n - k words of the stretch that holds a candidate's windows can be words of its item."""
+    out = np.empty(len(item), bool)
+    order = np.argsort(sizes[item], kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(sizes[item[order]])) + 1).tolist(), len(order)]
+    for a, b in zip(cuts, cuts[1:]):
+        n, k = int(sizes[item[order[a]]]), int(bounds[item[order[a]]])
+        step = max(1, 2_000_000 // (n + 2 * k))
+        for at in range(a, b, step):
+            rows = order[at : min(at + step, b)]
+            places = begin[rows, None] + np.arange(-k, n + k)
+            np.clip(places, 0, len(low) - 1, out=places)
+            held = index.members[item[rows, None], low[places]] & known[places]
+            out[rows] = np.count_nonzero(held, axis=1) >= n - k
+    return out
 
 
 def edit_distances(windows: np.ndarray, items: np.ndarray) -> np.ndarray:
@@ -151,76 +215,60 @@ def nearest_windows(stretches: np.ndarray, items: np.ndarray, lead: np.ndarray)
     return row[np.arange(count), first], first
 
 
-def _nearest(coded: list[np.ndarray], index: Index, rows: list[tuple[int, int, int]], n: int) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, distance, first word) of the stretches round the beginnings ``rows`` of items of n words."""
-    k = index.bounds[rows[0][1]]
+def _nearest(words: np.ndarray, index: Index, rows: np.ndarray, starts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(row, distance, first word) of the nearest windows round the beginnings ``starts`` of the items ``rows`` of one length.
+
+    ``begins`` and ``ends`` are those of the texts, which stand in ``words`` one after the other.
+    """
+    n, k = len(index.items[rows[0]]), index.bounds[rows[0]]
     around, at_once = np.arange(-k, n + k), max(1, 500_000 // (n + 2 * k))
     for at in range(0, len(rows), at_once):
-        part = rows[at : at + at_once]
-        stretches = np.full((len(part), n + 2 * k), -1, np.int64)
-        for out, (t, _, start) in zip(stretches, part):
-            lo, hi = max(0, start - k), min(len(coded[t]), start + n + k)
-            out[lo - start + k : hi - start + k] = coded[t][lo:hi]
-        starts = np.array([start for _, _, start in part])
-        distances, first = nearest_windows(stretches, np.array([index.items[item] for _, item, _ in part]), np.maximum(0, k - starts))
-        for (t, item, _), d, place in zip(part, distances.tolist(), (starts + around[np.minimum(first, n + 2 * k - 1)]).tolist()):
-            yield t, item, d, place
+        part, begin = rows[at : at + at_once], starts[at : at + at_once]
+        places = begin[:, None] + around
+        stretches = np.where((places >= 0) & (places < ends[at : at + at_once, None]), words[np.clip(places, 0, len(words) - 1)], -1)
+        lead = np.maximum(0, begins[at : at + at_once] - (begin - k))
+        distances, first = nearest_windows(stretches, np.array([index.items[i] for i in part]), lead)
+        for j, (d, place) in enumerate(zip(distances.tolist(), (begin + around[np.minimum(first, n + 2 * k - 1)]).tolist())):
+            yield at + j, d, place
+
+
+def _fixed(words: np.ndarray, index: Index, rows: np.ndarray, starts: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The same of windows of the item's length alone."""
+    n, k = len(index.items[rows[0]]), index.bounds[rows[0]]
+    for row in range(len(rows)):
+        places = np.arange(max(begins[row], starts[row] - k), min(starts[row] + k, ends[row] - n) + 1)
+        if len(places):
+            distances = edit_distances(words[places[:, None] + np.arange(n)], np.tile(index.items[rows[row]], (len(places), 1)))
+            best = int(distances.argmin())
+            yield row, int(distances[best]), int(places[best])
 
 
 def leaks(texts: list[str | None], index: Index, any_length: bool = False) -> list[list[tuple[int, int, int]]]:
     """For each text its leaked items: (item row, least distance, first window with that distance)."""
-    found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    width = len(index.codes) + 1
-    wanted: dict[int, list[tuple[int, int, int]]] = {}  # item length -> (text, item, start)
-    coded: list[np.ndarray] = []
-    for t, text in enumerate(texts):
-        get = index.codes.get
-        codes = np.array([get(w, -1) for w in benchmark_words(text)], np.int64)
-        coded.append(codes)
-        for key, rows in index.short.items():
-            if len(codes) >= len(key):
-                same = np.ones(len(codes) - len(key) + 1, bool)
-                for j, code in enumerate(key):
-                    same &= codes[j : len(codes) - len(key) + 1 + j] == code
-                if same.any():
-                    found[t] += [(r, 0, int(np.argmax(same))) for r in rows]
-        windows = set()
-        for size, (seeds, seed_item, seed_offset) in index.seeds.items():
-            if len(codes) < size:
-                continue
-            columns = [codes[j : len(codes) - size + 1 + j] for j in range(size)]
-            places = np.flatnonzero(np.all([c >= 0 for c in columns], axis=0))
-            keys = _seed_codes([c[places] for c in columns], width)
-            lo, hi = np.searchsorted(seeds, keys, "left"), np.searchsorted(seeds, keys, "right")
-            for p in np.flatnonzero(hi > lo):
-                for s in range(lo[p], hi[p]):
-                    item = int(seed_item[s])
-                    k, n = index.bounds[item], len(index.items[item])
-                    start = int(places[p] - seed_offset[s])
-                    if any_length:
-                        windows.add((item, start))
-                    else:
-                        windows |= {(item, x) for x in range(max(0, start - k), min(start + k, len(codes) - n) + 1)}
-        for item, start in windows:
-            wanted.setdefault(len(index.items[item]), []).append((t, item, start))
-    for n, rows in sorted(wanted.items()):
-        rows.sort()
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for t, item, d, start in _nearest(coded, index, rows, n) if any_length else ():
+    found: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+    get, room = index.codes.get, max([3 * len(i) for i in index.items], default=0)
+    pieces, begins, ends, at = [], [], [], room
+    gap = np.full(room, -1, np.int32)
+    for text in texts:  # texts one after the other, further apart than any window reaches
+        codes = np.array([get(w, -1) for w in benchmark_words(text)], np.int32)
+        pieces += [gap, codes]
+        begins.append(at)
+        ends.append(at + len(codes))
+        at += len(codes) + room
+    words, begins, ends = np.concatenate([*pieces, gap]), np.array(begins), np.array(ends)
+    rows, starts = candidates(words, index)
+    # a window begins in the text that holds the words it was found by
+    text_of = np.clip(np.searchsorted(begins - room // 2, starts, "right") - 1, 0, len(texts) - 1)
+    size = np.array([len(i) for i in index.items], np.int64)[rows]
+    for n in np.unique(size):
+        mine = np.flatnonzero(size == n)
+        t = text_of[mine]
+        for j, d, place in (_nearest if any_length else _fixed)(words, index, rows[mine], starts[mine], begins[t], ends[t]):
+            item, text = int(rows[mine[j]]), int(t[j])
             if d <= index.bounds[item]:
-                best[t, item] = min(best.get((t, item), (n, 0)), (d, start))
-        for at in range(0, 0 if any_length else len(rows), 20_000):
-            part = rows[at : at + 20_000]
-            windows = np.array([coded[t][start : start + n] for t, _, start in part])
-            items = np.array([index.items[item] for _, item, _ in part])
-            hits = np.flatnonzero(lsh_candidates(windows, items))
-            for h, d in zip(hits, edit_distances(windows[hits], items[hits])):
-                t, item, start = part[h]
-                if d <= index.bounds[item]:
-                    best[t, item] = min(best.get((t, item), (n, 0)), (int(d), start))
-        for (t, item), (d, start) in best.items():
-            found[t].append((item, d, start))
-    return found
+                here = (d, int(place - begins[text]))
+                found[text][item] = min(found[text].get(item, here), here)
+    return [[(item, *best) for item, best in one.items()] for one in found]
 
 
 def benchmark_slices(benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> Iterator[Index]:
@@ -230,7 +278,7 @@ def benchmark_slices(benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -
     slices = max(1, -(-size["n"] // items_at_once), -(-size["chars"] // CHARS_AT_ONCE))
     for k in range(slices):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        yield build_index(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r)))
+        yield build_index(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
 
 
 LEAK_TYPE = "array<struct<item_row:int,distance:int,first_word:long>>"
@@ -253,27 +301,27 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, any_length: bool = Fal
     """documents, benchmark -> (doc_id, item_id, distance, first_word), a row for each document and leaked item.
 
     ``distance`` is the least word edit distance of a window to the item, ``first_word`` the first
-    such window's place; windows have the item's length, or ``any_length``. Texts and items without words match nothing; items with a null id keep it.
-    Repeated documents and items give a row each.
+    such window's place; windows have the item's length, or ``any_length``. Null and empty texts, and items
+    without words, match nothing; a null doc_id or item_id stays null. Repeated documents and items give a
+    row each, equal items the same distance. Very long texts are read whole. Empty tables give no rows.
     """
-    parts = []
+    out = None
     for index in benchmark_slices(benchmark):
         found = docs.select("doc_id", F.explode(leaks_udf(index, any_length)("text")).alias("leak"))
-        ids = F.array(*[F.lit(i).cast("long") for i in index.ids]).cast("array<bigint>") if len(index.ids) <= 1000 else None
         found = found.select("doc_id", F.col("leak.item_row").alias("item_row"), F.col("leak.distance").alias("distance"), F.col("leak.first_word").alias("first_word"))
-        if ids is None:
-            known = docs.sparkSession.createDataFrame(list(enumerate(index.ids)), "item_row int, item_id long")
-            parts.append(found.join(F.broadcast(known), "item_row").select("doc_id", "item_id", "distance", "first_word"))
-        else:
-            parts.append(found.select("doc_id", F.get(ids, F.col("item_row")).alias("item_id"), "distance", "first_word"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
+        # a slice has at most ITEMS_AT_ONCE rows
+        known = docs.sparkSession.createDataFrame([(row, i) for row, ids in enumerate(index.ids) for i in ids], "item_row int, item_id long")
+        part = found.join(F.broadcast(known), "item_row").select("doc_id", "item_id", "distance", "first_word")
+        out = part if out is None else out.union(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, any_length: bool = False) -> DataFrame:
-    """The documents in which no benchmark item is leaked."""
+    """The documents in which no benchmark item is leaked, with all their columns.
+
+    Decided by each row's text alone: null and empty texts stay, rows that repeat an id or a text are judged each
+    by itself. Without items nothing goes; an empty table stays empty.
+    """
     for index in benchmark_slices(benchmark):
         docs = docs.where(F.size(leaks_udf(index, any_length)("text")) == 0)
     return docs
