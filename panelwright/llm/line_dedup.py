@@ -152,15 +152,8 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_key", F.xxhash64("doc_id", "text"))
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
-    """Lines to drop: (doc_id, doc_key, line_no, kept_doc_id, kept_line_no).
-
-    Places are ordered by doc_id (null first), by a hash that tells rows with one id apart, and by
-    line. Every place of a line but its form's first goes; the first goes too if a line one word edit
-    away stands earlier. Lines under ``min_words`` words have no near copies, and lines under
-    ``exact_words`` (the same, if not given; blank lines have none) always stay. Rows that repeat both
-    id and text count as one document. Null and empty texts have no lines to compare.
-    """
+def _repeats(docs: DataFrame, min_words: int, exact_words: int | None) -> tuple[DataFrame, DataFrame]:
+    """Lines to drop (place, form's first place, partner of the form), and (place, partner) of the forms that go as near copies."""
     docs = with_key(docs)
     rows = docs.select("doc_id", "doc_key", "text").mapInPandas(
         _line_batches(min_words, min_words if exact_words is None else max(1, exact_words)), "doc_id long, doc_key long, line_no int, h1 long, h2 long, halves array<long>"
@@ -168,13 +161,46 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int
     rows = materialize(rows, "line-keys")
     forms = rows.groupBy("h1", "h2").agg(F.min(F.struct(*PLACE)).alias("place"), F.first("halves").alias("halves"))
     forms = materialize(forms.select("h1", "h2", "place.*", "halves"), "forms")
-    near = _near(docs, forms).select(F.col("place.doc_key").alias("k"), F.col("place.line_no").alias("no"), "partner")
-    firsts = forms.join(near, (F.col("doc_key") == F.col("k")) & (F.col("line_no") == F.col("no")), "left")
+    near = _near(docs, forms)
+    keyed = near.select(F.col("place.doc_key").alias("k"), F.col("place.line_no").alias("no"), "partner")
+    firsts = forms.join(keyed, (F.col("doc_key") == F.col("k")) & (F.col("line_no") == F.col("no")), "left")
     firsts = firsts.select("h1", "h2", F.struct(*PLACE).alias("place"), "partner")
     gone = rows.select("h1", "h2", *PLACE).join(firsts.hint("merge"), ["h1", "h2"])
     later = (F.col("doc_key") != F.col("place.doc_key")) | (F.col("line_no") != F.col("place.line_no"))
-    kept = F.coalesce("partner", "place")
-    return gone.where(later | F.col("partner").isNotNull()).select(*PLACE, kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"))
+    return gone.where(later | F.col("partner").isNotNull()).select(*PLACE, "place", "partner"), near
+
+
+def _followed(near: DataFrame) -> DataFrame:
+    """(place, partner) with each partner replaced by the line at the end of its chain, which stays.
+
+    A partner stands before its line, so chains end; a round of this join halves what is left of each.
+    """
+    near = materialize(near, "chain")
+    while True:
+        onward = near.select(F.col("place.doc_key").alias("k"), F.col("place.line_no").alias("no"), F.col("partner").alias("onward"))
+        held = (F.col("partner.doc_key") == F.col("k")) & (F.col("partner.line_no") == F.col("no"))
+        step = near.select("place", "partner").join(onward, held, "left").select("place", F.coalesce("onward", "partner").alias("partner"), F.col("onward").isNotNull().alias("moved"))
+        near = materialize(step, "chain")
+        if not near.where("moved").head(1):
+            return near.select("place", "partner")
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
+    """Lines to drop: (doc_id, doc_key, line_no, kept_doc_id, kept_line_no).
+
+    Places are ordered by doc_id (null first), by a hash that tells rows with one id apart, and by
+    line. Every place of a line but its form's first goes; the first goes too if a line one word edit
+    away stands earlier, whether that one stays or goes itself. ``kept_`` names a line that stays: the one
+    at the end of the chain of such earlier lines. Lines under ``min_words`` words have no near copies, and lines under
+    ``exact_words`` (the same, if not given; blank lines have none) always stay. Rows that repeat both
+    id and text count as one document. Null and empty texts have no lines to compare; very long texts are
+    read whole; an empty table gives no rows; other columns play no part.
+    """
+    gone, near = _repeats(docs, min_words, exact_words)
+    ends = _followed(near).select(F.col("place.doc_key").alias("k"), F.col("place.line_no").alias("no"), F.col("partner").alias("end"))
+    gone = gone.join(ends, (F.col("place.doc_key") == F.col("k")) & (F.col("place.line_no") == F.col("no")), "left")
+    kept = F.coalesce("end", "place")
+    return gone.select(*PLACE, kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"))
 
 
 @pandas_udf(T.StringType())
@@ -189,17 +215,19 @@ def _without(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series(out, dtype=object)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None) -> DataFrame:
-    """The documents with their repeated lines taken out of ``text``, and ``n_dropped``, the number of lines taken.
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, exact_words: int | None = None, count: str | None = "n_dropped") -> DataFrame:
+    """The documents with their repeated lines taken out of ``text``, and the number of lines taken as ``count`` (None: not at all).
 
-    All rows and other columns stay; a document may be left with an empty text.
+    All rows and other columns stay, an own column named like ``count`` as ``own_<count>``; a document may be
+    left with an empty text, and a null text stays null. Rows that repeat both id and text lose the same lines.
     """
-    gone = repeated_lines(docs, min_words, exact_words).groupBy("doc_key").agg(F.collect_set("line_no").alias("dropped_lines"))
+    gone = _repeats(docs, min_words, exact_words)[0].groupBy("doc_key").agg(F.collect_set("line_no").alias("dropped_lines"))
     # the document's own columns stand in a struct, so none can clash with those of the join
     whole = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("doc_key"))
     joined = whole.join(gone.hint("merge"), "doc_key", "left")
-    out = joined.select("row", _without("row.text", "dropped_lines").alias("text"), F.coalesce(F.size("dropped_lines"), F.lit(0)).alias("n_dropped"))
-    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c != "n_dropped"], "n_dropped")
+    out = joined.select("row", _without("row.text", "dropped_lines").alias("_text"), F.coalesce(F.size("dropped_lines"), F.lit(0)).alias("_n"))
+    own = [F.col("_text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(f"own_{c}" if c == count else c) for c in docs.columns]
+    return out.select(*own, *([F.col("_n").alias(count)] if count else []))
 
 
 def op2(docs: DataFrame) -> DataFrame:
