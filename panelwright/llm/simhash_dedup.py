@@ -155,30 +155,54 @@ def fingerprint_links(reps: DataFrame, radius: int = RADIUS, shard_rows: int = S
     return dealt.select("key", "fp").mapInPandas(_link_batches(radius), "a long, b long")
 
 
+def _rooted(fps: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """(fp, root) of all distinct fingerprints of ``fps``; equal roots are one component."""
+    reps = materialize(fps.select("fp").distinct(), "representatives")
+    roots = connected_components(fingerprint_links(reps, radius, shard_rows))
+    return materialize(reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def simhash_groups(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """documents -> (doc_id, fp, component_id): component_id is the smallest doc_id reachable over links.
 
     Null and word-free texts share fingerprint 0 and one component. Rows with the same text or id
     are each returned. A null doc_id gets the component of its fingerprint's group, and null where
-    no member of the group has an id. An empty table gives an empty result.
+    no member of the group has an id. An empty table gives an empty result; texts are read whole.
     """
     prints = materialize(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "fingerprints")
-    reps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "representatives")
-    roots = connected_components(fingerprint_links(reps.select("fp"), radius, shard_rows))
-    rooted = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "roots")
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = rooted.join(least, "root").select("fp", "component_id")
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    rooted = _rooted(prints, radius, shard_rows)
+    least = materialize(rooted.join(least, "fp"), "least")
+    classes = least.join(least.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The documents that stand for their group: those whose doc_id is their component_id.
+def keep_one_per_group(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """One row of each group of near copies, with all its columns.
 
-    Rows with a null doc_id stay; of rows that repeat a kept doc_id all stay, as they cannot be told apart.
+    The row with the smallest doc_id stays (null last), of rows with one id the one whose text has the
+    smallest hash, and of rows that repeat id and text the one whose columns have the smallest hash. Rows are told
+    apart by id and text, so an id that repeats with a text of its own is judged by that text. Null
+    and word-free texts are one group. An empty table stays empty; texts are read whole.
     """
-    gone = simhash_groups(docs, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
+    prints = materialize(docs.select(*key, fingerprint_udf("text").alias("fp")), "fingerprints")
+    keys = prints.groupBy("doc_id", "text_hash").agg(F.first("fp").alias("fp"), F.count("*").alias("n_rows"))
+    members = materialize(keys.join(_rooted(prints, radius, shard_rows), "fp").select("root", "n_rows", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash").alias("who")), "members")
+    kept = members.groupBy("root").agg(F.min("who").alias("kept"), F.min_by("n_rows", "who").alias("n_rows"))
+    gone = members.select("root", "who").join(kept.select("root", "kept"), "root").where(~F.col("who").eqNullSafe(F.col("kept"))).select("who.*")
+    rows = docs.select(F.struct("*").alias("row"), *key)
+
+    def named(who: DataFrame):
+        w = who.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
+        return w, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_hash") == F.col("k_hash"))
+
+    out = rows.join(*named(gone), "left_anti")
+    again = materialize(kept.where("n_rows > 1").select("kept.*"), "again")
+    if again.head(1):
+        first = out.join(*named(again), "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.join(*named(again), "left_anti").select("row").unionByName(first.select("row"))
+    return out.select("row.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:
