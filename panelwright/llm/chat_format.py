@@ -11,7 +11,7 @@ unescaping gives the text back exactly.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
@@ -42,18 +42,24 @@ def examples(conversations: DataFrame, target_role: str = TARGET_ROLE) -> DataFr
     Turns stand in order of turn (null first), then role and text, so equal turn numbers have a fixed
     order and repeated rows are turns of their own. Null roles and texts count as empty; rows with a
     null conv_id make one conversation. A conversation is the unit of an example, and its examples
-    together are quadratic in its turns, which is what the expansion asks for.
+    together are quadratic in its turns, which is what the expansion asks for; memory holds the pieces
+    of a conversation once and one example at a time. Very long texts stand whole in their examples. An
+    empty table gives no rows; other columns play no part.
     """
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    header, body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE)), escape(F.col("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turns = turns.withColumns({"piece": F.concat(header, body, F.lit(CLOSE)), "body_chars": F.length(body)})
-    turns = turns.withColumns({"example": F.row_number().over(order), "last": F.lead(F.lit(False), 1, True).over(order), "pieces": F.collect_list("piece").over(so_far)})
-    own = F.col("role") == target_role
-    out = turns.where(own | F.col("last")).withColumn("formatted", F.array_join("pieces", ""))
+    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    # the turns without a number stand first, which the order of structs puts first, too
+    header = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(MIDDLE))
+    whole = whole.select(
+        "conv_id", F.transform("turns", lambda t: F.concat(header(t), escape(t["text"]), F.lit(CLOSE))).alias("pieces"),
+        F.transform("turns", lambda t: F.when(t["role"] == target_role, F.length(escape(t["text"])))).alias("own_chars"),
+    )
+    # one example at a time leaves the generator, as a slice of the conversation's pieces
+    wanted = F.filter(F.sequence(F.lit(1), F.size("pieces")), lambda i: F.get("own_chars", i - 1).isNotNull() | (i == F.size("pieces")))
+    out = whole.select("conv_id", "pieces", "own_chars", F.explode(wanted).alias("example"))
+    out = out.withColumn("formatted", F.array_join(F.slice("pieces", F.lit(1), F.col("example")), ""))
     end = F.length("formatted") - len(CLOSE)
-    return out.select("conv_id", "example", "formatted", F.when(own, end - F.col("body_chars")).otherwise(end).alias("loss_begin"), end.alias("loss_end"))
+    return out.select("conv_id", "example", "formatted", (end - F.coalesce(F.get("own_chars", F.col("example") - 1), F.lit(0))).alias("loss_begin"), end.alias("loss_end"))
 
 
 def read_turns(formatted: Column) -> Column:
