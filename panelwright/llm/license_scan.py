@@ -8,6 +8,8 @@ they mark is verified word by word against the template.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,10 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
 )
 GRAM = 3
-#: Neighbouring diagonals at most so far apart belong to one copy.
+#: Neighbouring diagonals at most so far apart, or a fifth of the template's words if that is more, belong to one copy.
 DIAGONAL_GAP = 3
 #: Share of a template's words that its span must hold in order.
 COVER = 0.8
-#: k-grams of these words alone are no evidence of a license and cast no vote.
-COMMON = frozenset("a all an and any are as at be by do for from has if in is it may no not of on or that the this to under use was which with you".split())
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -49,25 +49,37 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def voting_grams(wording: str) -> list[tuple[int, list[str]]]:
-    """(place, words) of the k-grams of a template that hold a word that is not common."""
-    found = wording.split()
-    grams = [(i, found[i : i + GRAM]) for i in range(len(found) - GRAM + 1)]
-    return [(i, g) for i, g in grams if not COMMON.issuperset(g)]
+def spared(size: int) -> int:
+    """Words of a template that a copy may lack."""
+    return size - math.ceil(COVER * size - 1e-9)
 
 
 def _anchors() -> list[str]:
-    """Words of which every voting k-gram and every phrase holds at least one: its longest that is not common."""
-    grams = [p.split() for p, _ in PHRASES] + [g for _, wording in TEMPLATES for _, g in voting_grams(wording)]
-    return sorted({max((w for w in g if w not in COMMON), key=len) for g in grams})
+    """Words of which every copy and every phrase holds at least one.
+
+    A copy lacks at most ``spared`` words of its template, so one more of them, the longest, can't all be missing.
+    """
+    found = {max(p.split(), key=len) for p, _ in PHRASES}
+    for _, wording in TEMPLATES:
+        longest = sorted(wording.split(), key=len, reverse=True)
+        found.update(longest[: spared(len(longest)) + 1])
+    return sorted(found)
 
 
 def template_grams(spark: SparkSession) -> DataFrame:
-    """(template, label, size, at, gram): a few hundred rows, fixed by TEMPLATES."""
-    rows = [(t, label, wording.split(), len(voting_grams(wording)), at, g) for t, (label, wording) in enumerate(TEMPLATES) for at, g in voting_grams(wording)]
-    table = spark.createDataFrame(rows, "template int, label string, wording array<string>, n_grams int, at int, gram array<string>")
+    """(template, label, wording, size, least_votes, reach, at, gram): a few hundred rows, all k-grams of TEMPLATES.
+
+    Each word that a copy lacks spoils at most k of its k-grams, which gives the least number of votes.
+    """
+    rows = []
+    for t, (label, wording) in enumerate(TEMPLATES):
+        found = wording.split()
+        n = len(found)
+        least, reach = max(1, n - GRAM + 1 - GRAM * spared(n)), max(DIAGONAL_GAP, n // 5)
+        rows += [(t, label, found, least, reach, at, found[at : at + GRAM]) for at in range(n - GRAM + 1)]
+    table = spark.createDataFrame(rows, "template int, label string, wording array<string>, least_votes int, reach int, at int, gram array<string>")
     gram = F.xxhash64(*[F.get("gram", k) for k in range(GRAM)])
-    return table.select("template", "label", "wording", "n_grams", F.size("wording").alias("size"), "at", gram.alias("gram"))
+    return table.select("template", "label", "wording", "least_votes", "reach", F.size("wording").alias("size"), "at", gram.alias("gram"))
 
 
 def _grams(found: Column) -> Column:
@@ -99,14 +111,13 @@ def license_spans(marked: DataFrame) -> DataFrame:
     hits = marked.select("row", F.posexplode(_grams(F.col("words"))).alias("place", "gram"))
     hits = hits.join(F.broadcast(template_grams(marked.sparkSession)), "gram")
     diagonal = F.col("place") - F.col("at")
-    votes = hits.groupBy("row", "template", "label", "size", "n_grams", "wording", diagonal.alias("diagonal")).agg(F.count("*").alias("votes"))
+    of = ["row", "template", "label", "size", "least_votes", "reach", "wording"]
+    votes = hits.groupBy(*of, diagonal.alias("diagonal")).agg(F.count("*").alias("votes"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     gap = F.col("diagonal") - F.lag("diagonal").over(order)
-    votes = votes.withColumn("copy", F.sum(F.when(gap <= DIAGONAL_GAP, 0).otherwise(1)).over(order))
-    copies = votes.groupBy("row", "template", "label", "size", "n_grams", "wording", "copy").agg(
-        F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes")
-    )
-    copies = copies.where(F.col("votes") >= F.ceil(F.col("n_grams") * 0.4))
+    votes = votes.withColumn("copy", F.sum(F.when(gap <= F.col("reach"), 0).otherwise(1)).over(order))
+    copies = votes.groupBy(*of, "copy").agg(F.min("diagonal").alias("low"), F.max("diagonal").alias("high"), F.sum("votes").alias("votes"))
+    copies = copies.where(F.col("votes") >= F.col("least_votes"))
     spans = copies.join(marked, "row")
     begin = F.greatest(F.col("low"), F.lit(0))
     length = F.col("high") + F.col("size") - begin
@@ -127,7 +138,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``score`` is 1 for a text with a base phrase, else the best cover of a template (0: none). Null and
     empty texts have no words, no labels (empty strings) and null places. Rows that repeat an id are
-    scanned each by itself.
+    scanned each by itself. Very long texts are scanned whole; an empty table gives no rows; other columns
+    play no part.
     """
     found = docs.select("doc_id", license_words(F.col("text")).alias("words"))
     anchors = F.array(*[F.lit(w) for w in _anchors()])
