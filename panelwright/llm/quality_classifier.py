@@ -203,7 +203,9 @@ def fit_network(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Network:
     """Fit the classifier. Labels count only where crc32(doc_id) mod 5 is not 0; of these the
-    ``train_rows`` first by a hash of the id are used. Null labels and ids are passed over."""
+    ``train_rows`` first by a hash of the id are used. Null labels and ids are passed over. An id with several
+    labels has the greatest, and one with several texts is learned from the text whose vector comes first, so
+    at most ``train_rows`` vectors of fixed size reach the driver."""
     vectors = context_table(docs)
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 0))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -214,7 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Net
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "x": [pooled(t, vectors).tobytes() for t in b["text"]]})
 
-    rows = chosen.mapInPandas(vector, "doc_id long, quality int, x binary").orderBy(F.xxhash64("doc_id"), "x").limit(2 * train_rows).collect()
+    rows = chosen.mapInPandas(vector, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).astype(np.float64)
     net = fit_network(x if len(rows) else np.zeros((0, 0)), np.array([float(r["quality"] == 1) for r in rows]))
     net.vectors = vectors
@@ -235,19 +238,30 @@ def score_udf(net: Network):
     return score
 
 
+RESULTS = ("held_out", "score", "predicted")
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """documents, labels -> the documents with ``held_out``, ``score`` and ``predicted``.
 
-    Null and empty texts have no units and get the score of the zero vector. Without usable labels
-    every score is 0.5. Repeated ids are scored row by row; ``score`` depends on the text alone.
+    A document's own columns of these names are kept as ``own_held_out`` and so on. Null and empty texts have no
+    units and get the score of the zero vector. Without usable labels every score is 0.5. Repeated ids are scored
+    row by row; ``score`` depends on the text alone, and very long texts are read whole. A null id counts
+    as the empty text for ``held_out``. An empty table gives no rows.
     """
     net = fit(docs, labels)
-    scored = docs.withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0).withColumn("score", score_udf(net)("text"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    own = [F.col(f"`{c}`").alias(f"own_{c}" if c in RESULTS else c) for c in docs.columns]
+    score = score_udf(net)("text")
+    out = docs.select(*own, (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns."""
+    """The documents that the classifier accepts, with their own columns.
+
+    Every row is judged by its text alone, so rows that repeat an id or a text fare alike. Null and empty texts
+    have the score of the zero vector. Without usable labels all rows stay; an empty table stays empty.
+    """
     net = fit(docs, labels)
     return docs.where(score_udf(net)("text") >= THRESHOLD)
 
