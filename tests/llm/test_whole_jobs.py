@@ -1,8 +1,12 @@
 """The corpus operators do their whole job: cases that a bound or a floor once left out."""
 
+import hashlib
+import math
 import random
 
-from panelwright.llm import decontamination, line_dedup, lm_scoring
+import pytest
+
+from panelwright.llm import chat_format, decontamination, license_scan, line_dedup, lm_scoring, simhash_dedup, source_mixing
 
 
 def test_language_model_learns_from_a_text_of_any_length(spark, monkeypatch):
@@ -80,3 +84,148 @@ def test_leaks_of_any_length(spark):
     assert got == want
     kept = {r.doc_id for r in decontamination.drop_contaminated(frame, bench, any_length=True).collect()}
     assert kept == {k for k, _ in texts} - {d for d, _ in want}
+
+
+def test_recall_of_the_search_by_item_length():
+    """Against every window: at least 0.9 of the leaks at the full number of edits are found, and all exact ones."""
+    rng = random.Random(17)
+    for n in [*range(1, 13), 16, 20, 33]:
+        items = [[f"i{k}w{rng.randrange(40)}" for _ in range(n)] for k in range(12)]
+        index, k = decontamination.build_index([(i, " ".join(w)) for i, w in enumerate(items)]), n // 5
+        texts, owner = [], []
+        for i, item in enumerate(items):
+            for edits in [0, *[k] * 8]:
+                w = list(item)
+                for _ in range(edits):
+                    at = rng.randrange(len(w))
+                    w[at : at + rng.randrange(2)] = ["edit"] * rng.randrange(2)
+                if w and _nearest(w, item)[0] <= k:
+                    texts.append(" ".join(["lead"] * 9 + w + ["tail"] * 9))
+                    owner.append((i, _nearest(w, item)[0]))
+        found = decontamination.leaks(texts, index, any_length=True)
+        hits = [any(row == i for row, _, _ in rows) for (i, _), rows in zip(owner, found)]
+        assert sum(hits) >= 0.9 * len(hits), n
+        assert all(h for h, (_, d) in zip(hits, owner) if d == 0)
+
+
+def test_benchmark_with_repeated_items(spark):
+    bench = spark.createDataFrame([(1, None), (1, "one two three four five"), (2, "ONE two, three four five"), (None, "x y"), (3, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(7, "a one two three four five b"), (7, "x y"), (None, "one two three 4 five"), (8, None), (9, "")], "doc_id long, text string")
+    got = sorted(decontamination.contaminations(docs, bench, any_length=True).collect(), key=str)
+    assert sorted((str(r.doc_id), str(r.item_id), r.distance) for r in got) == sorted([("7", "1", 0), ("7", "2", 0), ("7", "None", 0), ("None", "1", 1), ("None", "2", 1)])
+    assert sorted(str(r.doc_id) for r in decontamination.drop_contaminated(docs, bench, any_length=True).collect()) == ["8", "9"]
+
+
+def test_kept_line_stays_where_near_copies_chain(spark):
+    lines = ["a b c d e f", "a b c d e X", "a b c d Y X", "q r s t u v"]
+    docs = spark.createDataFrame([(i, t, "own") for i, t in enumerate(lines)] + [(9, "a b c d Y X", "own")], "doc_id long, text string, n_dropped string")
+    gone = {r.doc_id: r.kept_doc_id for r in line_dedup.repeated_lines(docs).collect()}
+    assert gone == {1: 0, 2: 0, 9: 0}
+    assert line_dedup.dedup_lines(docs).columns == ["doc_id", "text", "own_n_dropped", "n_dropped"]
+    plain = line_dedup.dedup_lines(docs, count=None)
+    assert plain.columns == docs.columns and {r.n_dropped for r in plain.collect()} == {"own"}
+
+
+def test_rows_of_one_id_are_judged_each_by_its_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (None, a, 4), (None, b, 5), (3, a, 6), (8, None, 7), (9, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.keep_one_per_group(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (8, None)], key=str)
+
+
+def test_classifier_forward_pass_and_odd_rows(spark):
+    from panelwright.llm import quality_classifier as Q
+
+    rng = random.Random(6)
+    good, bad = "calm river stone light".split(), "buy cheap now click".split()
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) + str(rng.randrange(5)) for _ in range(30)), "mine") for i in range(300)]
+    rows += [(300, None, "x"), (301, "", "x"), (None, rows[0][1], "x"), rows[1], (302, "long " * 200_000, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    net = Q.fit(docs, labels)
+
+    def forward(text):
+        words, n = (text or "").encode().lower().split(), 0
+        x = [0.0] * (3 * net.vectors.shape[1] + 2)
+        if words:
+            n, x = len(words), []
+            shapes = [w[-3:] for w in (text or "").encode().translate(Q.SHAPE).split()]
+            import zlib
+
+            kinds = [[zlib.crc32(w) % Q.BUCKETS for w in words], [zlib.crc32(w[-3:], 1) % Q.BUCKETS for w in words], [zlib.crc32(w, 2) % Q.BUCKETS for w in shapes]]
+            for units in kinds:
+                for j in range(net.vectors.shape[1]):
+                    x.append(sum(float(net.vectors[u, j]) for u in units) / n)
+            x += [math.log1p(n) / 8, len(set(kinds[0])) / n]
+        z = [(v - m) / s for v, m, s in zip(x, net.mean, net.scale)]
+        hidden = [math.tanh(sum(v * net.w1[i][h] for i, v in enumerate(z)) + net.b1[h]) for h in range(len(net.b1))]
+        return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(hidden, net.w2)) + net.b2) / net.temperature))
+
+    got = Q.classify(docs, labels)
+    assert got.columns == ["doc_id", "text", "own_score", "held_out", "score", "predicted"]
+    out = got.collect()
+    assert len(out) == len(rows)
+    for r in out[:20] + out[300:304]:
+        assert r.score == pytest.approx(forward(r.text), abs=1e-4) and r.predicted == (r.score >= 0.3)
+    assert len({r.score for r in out if r.text == rows[1][1]}) == 1
+    kept = Q.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in out)
+    assert Q.classify(docs.where("doc_id > 999"), labels).count() == 0 and {r.score for r in Q.classify(docs, labels.where("doc_id > 999")).collect()} == {0.5}
+
+
+def test_votes_find_every_copy_with_enough_words(spark):
+    """Against brute force: a text with one edited template is found where the longest common subsequence covers it."""
+    rng, rows, want = random.Random(2), [], {}
+    for k in range(80):
+        label, wording = license_scan.TEMPLATES[rng.randrange(len(license_scan.TEMPLATES))]
+        w = wording.split()
+        lost = rng.sample(range(len(w)), rng.randrange(0, license_scan.spared(len(w)) + 2))
+        rows.append((k, " ".join(["lead"] * 4 + ["other" if i in lost else x for i, x in enumerate(w)] + ["end"] * 4)))
+        want[k] = label if len(w) - len(lost) >= license_scan.COVER * len(w) - 1e-9 else None
+    got = {r.doc_id: r for r in license_scan.op6(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in want.items():
+        assert label is None or label in got[k].labels.split(","), (rows[k], got[k])
+        assert got[k].score >= 0.8 or label is None
+
+
+def test_shard_draws_follow_the_targets(spark):
+    sources = spark.createDataFrame([(1, 70_000.4), (2, 59_999.3), (3, 0.0), (4, 1_000.3)], "source_no long, slots double")
+    counts = source_mixing.shard_counts(sources).collect()
+    shards = {r.shard for r in counts}
+    assert len(shards) == 2 and sum(r.n for r in counts) == 131_000
+    for shard in shards:
+        n = {r.source_no: r.n for r in counts if r.shard == shard}
+        for no, slots in ((1, 70_000.4), (2, 59_999.3), (3, 0.0), (4, 1_000.3)):
+            assert slots / 2 - 1 <= n.get(no, 0) <= slots / 2 + 4
+        assert n.get(3, 0) == 0
+    again = source_mixing.shard_counts(sources.repartition(3)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, counts))
+
+
+def test_many_equal_rows_are_mixed_as_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "one two three", "a")] * 50 + [(None, None, None)] * 5 + [(2, "x", None)], "doc_id long, text string, source string")
+    got = source_mixing.mix(docs, 4).collect()
+    assert len(got) == 56 and {r.source_size for r in got if r.source == "a"} == {150}
+    taken = sum(r.taken for r in got if r.source == "a")
+    assert abs(taken - got[0].target if got[0].source == "a" else 0) <= 8 and all(0 <= r.taken <= 3 * r["size"] for r in got)
+
+
+def test_chat_turns_without_a_number_and_long_texts(spark):
+    rows = [(1, 2, "assistant", "b" * 300_000, "z"), (1, None, "user", "a", "z"), (1, 2, "assistant", "a", "z"), (2, 1, "user", "u", "z")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, example string")
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.examples(frame)).collect()}
+    assert got[1].loss_chars == 300_001 and got[1].loss_sha256 == hashlib.sha256(("a" + "b" * 300_000).encode()).hexdigest()
+    assert got[1].turns_sha256 == hashlib.sha256(("user\na\nassistant\na\nassistant\n" + "b" * 300_000 + "\n").encode()).hexdigest()
+    assert (got[2].n_examples, got[2].loss_chars) == (0, 0) and chat_format.examples(frame.where("conv_id > 9")).count() == 0
+
+
+def test_stages_on_odd_tables(spark):
+    import corpus_pipeline as P
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "", None, None, None), (1, "a b c\na b c", "en", "s", 9), (2, "a b c\na b c", "en", "s", 9)], columns)
+    for name, stage in P.STAGES:
+        out = stage(spark, odd, "/root/testdata/sf0.001")
+        assert out.count() <= 4 and (name == P.STAGES[-1][0] or out.columns == odd.columns), name
+        assert stage(spark, spark.createDataFrame([], columns), "/root/testdata/sf0.001").count() == 0
