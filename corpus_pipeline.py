@@ -15,7 +15,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier line leave the texts; every document stays."""
-    return line_dedup.dedup_lines(docs, exact_words=1).drop("n_dropped")
+    return line_dedup.dedup_lines(docs, exact_words=1, count=None)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
