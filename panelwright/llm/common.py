@@ -28,11 +28,14 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the checkpoint folder and read it back, which cuts its lineage."""
+def materialize(df: DataFrame, name: str, folders: list[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet under the checkpoint folder and read it back, which cuts its lineage.
+
+    With ``folders``, rows stand in a folder for each value of these columns.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

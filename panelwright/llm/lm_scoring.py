@@ -13,6 +13,7 @@ carries the hidden state across windows, so each text is scored from its first t
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -48,6 +49,17 @@ def tail_bucket(word: bytes) -> int:
     return 1 + OWN + zlib.crc32(word[-2:]) % TAIL
 
 
+class Buckets(dict):
+    """word -> bucket; what the tail's words get is kept for a while."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > FLUSH:
+            for w in [w for w, b in self.items() if b > OWN]:
+                del self[w]
+        self[word] = at = tail_bucket(word)
+        return at
+
+
 @dataclass
 class Model:
     own: dict[bytes, int]
@@ -61,35 +73,72 @@ class Model:
     wm: np.ndarray
     bm: np.ndarray
 
-    def bucket(self, word: bytes) -> int:
-        return self.own.get(word) or tail_bucket(word)
-
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step of the unit for rows of input buckets and states."""
-        size = h.shape[1]
-        gates = self.wx[x]
-        rz = 1 / (1 + np.exp(-(gates[:, : 2 * size] + h @ self.urz)))
-        r, z = rz[:, :size], rz[:, size:]
-        held = r * h
-        n = np.tanh(gates[:, 2 * size :] + held @ self.un)
-        return n + z * (h - n), r, z, n, held
+    def forward(self, x: np.ndarray, h: np.ndarray, cuts: list) -> tuple[np.ndarray, ...]:
+        """The steps (rows of input buckets ``x``) from states ``h``: states before, gates r and z, candidates, r times state, states after.
+
+        Before a step whose cut is not None, the states are multiplied by it: 0 where a text begins.
+        """
+        (steps, lanes), size = x.shape, h.shape[1]
+        gates = np.ascontiguousarray(self.wx.take(x.ravel(), axis=0).reshape(steps, lanes, 3, size).transpose(0, 2, 1, 3))
+        np.negative(gates[:, :2], out=gates[:, :2])
+        u, un, one = -np.stack([self.urz[:, :size], self.urz[:, size:]]), np.ascontiguousarray(self.un), np.float32(1)
+        prev, rz, n, held, new = (np.empty((steps, *shape, lanes, size), np.float32) for shape in ((), (2,), (), (), ()))
+        with np.errstate(over="ignore"):  # an overflow gives a gate of 0
+            for t in range(steps):
+                if cuts[t] is not None:
+                    h = h * cuts[t]
+                prev[t] = h
+                a = np.matmul(h, u, out=rz[t])
+                a += gates[t, :2]
+                np.exp(a, out=a)
+                a += one
+                np.reciprocal(a, out=a)
+                m = np.matmul(np.multiply(a[0], h, out=held[t]), un, out=n[t])
+                m += gates[t, 2]
+                np.tanh(m, out=m)
+                h = np.subtract(h, m, out=new[t])
+                h *= a[1]
+                h += m
+        return prev, rz, n, held, new
 
     def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of bucket ``y`` (rows) in state ``h``."""
         at = self.place[y]
-        group, member = at // MEMBERS, at % MEMBERS
-        logits = h @ self.wc + self.bc
-        out = logits[np.arange(len(y)), group] - _log_sum(logits)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        order, cuts, group, member, rows = _by_class(at)
+        h = h[order]
+        logits, members = h @ self.wc + self.bc, self._members(h, cuts)
+        logs = logits[rows, group] + members[rows, member] - np.log(np.exp(_bounded(logits)) @ _ONES) - np.log(np.exp(_bounded(members)) @ _ONES)
+        out = np.empty(len(y), np.float32)
+        out[order] = logs
+        return out
+
+    def _members(self, h: np.ndarray, cuts: list[int]) -> np.ndarray:
+        """Logits of the members of each row's class; rows stand by class."""
+        out = np.empty((len(h), MEMBERS), np.float32)
         for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                logits = h[rows] @ self.wm[c] + self.bm[c]
-                out[rows] += logits[np.arange(len(rows)), member[rows]] - _log_sum(logits)
+            a, b = cuts[c], cuts[c + 1]
+            if b > a:
+                np.matmul(h[a:b], self.wm[c], out=out[a:b])
+                out[a:b] += self.bm[c]
         return out
 
 
+_ONES = np.ones(MEMBERS, np.float32)
+
+
+def _bounded(logits: np.ndarray) -> np.ndarray:
+    """In place: far inside the range whose exponentials fit float32."""
+    return np.clip(logits, -60, 60, out=logits)
+
+
+def _by_class(at: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Rows put in order of their class: order, where each class begins, classes, members and row numbers."""
+    order = np.argsort((at // MEMBERS).astype(np.int16), kind="stable")
+    at = at[order]
+    group = at // MEMBERS
+    return order, np.searchsorted(group, np.arange(CLASSES + 1)).tolist(), group, at % MEMBERS, np.arange(len(at))
+
+
 def _log_sum(logits: np.ndarray) -> np.ndarray:
     top = logits.max(axis=1)
     return top + np.log(np.exp(logits - top[:, None]).sum(axis=1))
@@ -168,38 +217,37 @@ def train(model: Model, texts: list[np.ndarray], rate: float, lanes: int = LANES
     model, grad = with_weights(model, flat), np.zeros_like(flat)
     first, second, grads = np.zeros_like(flat), np.zeros_like(flat), _views(model, grad)
     size, h = model.urz.shape[0], np.zeros((lanes, model.urz.shape[0]), np.float32)
+    columns = np.arange(3 * size)
     for count, at in enumerate(range(0, len(x), window), 1):
         steps = min(window, len(x) - at)
-        past, states = [], []
-        for t in range(at, at + steps):
-            if starts[t]:
-                h = h * stays[t]
-            new, r, z, n, held = model.step(x[t], h)
-            past.append((h, r, z, n, held))
-            states.append(new)
-            h = new
+        cuts = [stays[t] if starts[t] else None for t in range(at, at + steps)]
+        prev, rz, n, held, states = model.forward(x[at : at + steps], h, cuts)
+        h, r, z = states[-1], rz[:, 0], rz[:, 1]
         grad[:] = 0
         real = (of[at : at + steps].ravel() >= 0).astype(np.float32) / (steps * lanes)
-        back = _output_gradient(model, np.concatenate(states), y[at : at + steps].ravel(), real, grads).reshape(steps, lanes, size)
+        back = _output_gradient(model, states.reshape(-1, size), y[at : at + steps].ravel(), real, grads).reshape(steps, lanes, size)
+        to_n, to_r, to_z = (1 - z) * (1 - n * n), prev * r * (1 - r), (prev - n) * z * (1 - z)
         d, gates = np.zeros((lanes, size), np.float32), np.empty((steps, lanes, 3 * size), np.float32)
+        un, urz = np.ascontiguousarray(model.un.T), np.ascontiguousarray(model.urz.T)
         for t in range(steps - 1, -1, -1):
-            prev, r, z, n, held = past[t]
-            d = d + back[t]
-            dn = d * (1 - z) * (1 - n * n)
-            dheld = dn @ model.un.T
-            gates[t, :, :size] = dheld * prev * r * (1 - r)
-            gates[t, :, size : 2 * size] = d * (prev - n) * z * (1 - z)
-            gates[t, :, 2 * size :] = dn
-            d = d * z + dheld * r + gates[t, :, : 2 * size] @ model.urz.T
-            if starts[at + t]:
-                d = d * stays[at + t]
+            d += back[t]
+            dn = d * to_n[t]
+            dheld = dn @ un
+            g = gates[t]
+            np.multiply(dheld, to_r[t], out=g[:, :size])
+            np.multiply(d, to_z[t], out=g[:, size : 2 * size])
+            g[:, 2 * size :] = dn
+            d *= z[t]
+            dheld *= r[t]
+            d += dheld
+            d += g[:, : 2 * size] @ urz
+            if cuts[t] is not None:
+                d *= cuts[t]
         gates = gates.reshape(-1, 3 * size)
-        grads["un"] += np.concatenate([p[4] for p in past]).T @ gates[:, 2 * size :]
-        grads["urz"] += np.concatenate([p[0] for p in past]).T @ gates[:, : 2 * size]
-        inputs = x[at : at + steps].ravel()
-        order = np.argsort(inputs, kind="stable")
-        cuts = np.flatnonzero(np.diff(inputs[order], prepend=-1))
-        grads["wx"][inputs[order[cuts]]] = np.add.reduceat(gates[order], cuts, axis=0)
+        grads["un"] += held.reshape(-1, size).T @ gates[:, 2 * size :]
+        grads["urz"] += prev.reshape(-1, size).T @ gates[:, : 2 * size]
+        cells = x[at : at + steps].ravel().astype(np.int64)[:, None] * (3 * size) + columns
+        grads["wx"] += np.bincount(cells.ravel(), gates.ravel(), grads["wx"].size).reshape(grads["wx"].shape)
         first += np.float32(0.1) * (grad - first)
         second += np.float32(0.001) * (grad * grad - second)
         scale = np.sqrt(second / np.float32(1 - 0.999**count)) + np.float32(1e-8)
@@ -209,28 +257,29 @@ def train(model: Model, texts: list[np.ndarray], rate: float, lanes: int = LANES
 
 def _output_gradient(model: Model, h: np.ndarray, y: np.ndarray, weight: np.ndarray, grads: dict) -> np.ndarray:
     """Gradient of the weighted negative log-likelihood by the states; adds those of the output layers."""
-    at = model.place[y]
-    group, member = at // MEMBERS, at % MEMBERS
-    logits = h @ model.wc + model.bc
-    d = np.exp(logits - _log_sum(logits)[:, None])
-    d[np.arange(len(y)), group] -= 1
-    d *= weight[:, None]
+    order, cuts, group, member, rows = _by_class(model.place[y])
+    h, weight = h[order], weight[order, None]
+    d = np.exp(_bounded(h @ model.wc + model.bc))
+    d *= weight / (d @ _ONES)[:, None]
+    d[rows, group] -= weight[:, 0]
     grads["wc"] += h.T @ d
     grads["bc"] += d.sum(0)
     back = d @ model.wc.T
-    for c in np.unique(group):
-        rows = np.flatnonzero(group == c)
-        logits = h[rows] @ model.wm[c] + model.bm[c]
-        d = np.exp(logits - _log_sum(logits)[:, None])
-        d[np.arange(len(rows)), member[rows]] -= 1
-        d *= weight[rows, None]
-        grads["wm"][c] += h[rows].T @ d
-        grads["bm"][c] += d.sum(0)
-        back[rows] += d @ model.wm[c].T
-    return back
-
-
-def score_texts(model: Model, texts: list[np.ndarray], window: int = 128) -> np.ndarray:
+    d = np.exp(_bounded(model._members(h, cuts)))
+    d *= weight / (d @ _ONES)[:, None]
+    d[rows, member] -= weight[:, 0]
+    for c in range(CLASSES):
+        a, b = cuts[c], cuts[c + 1]
+        if b > a:
+            grads["wm"][c] += h[a:b].T @ d[a:b]
+            grads["bm"][c] += d[a:b].sum(0)
+            back[a:b] += d[a:b] @ model.wm[c].T
+    out = np.empty_like(back)
+    out[order] = back
+    return out
+
+
+def score_texts(model: Model, texts: list[np.ndarray], window: int = 16) -> np.ndarray:
     """Natural log-likelihood of the buckets of each text; the state runs through all its windows."""
     if not texts:
         return np.empty(0)
@@ -238,35 +287,36 @@ def score_texts(model: Model, texts: list[np.ndarray], window: int = 128) -> np.
     lanes = int(np.clip(lengths.sum() // max(1, lengths.max()), 1, min(384, len(texts))))
     x, y, of = _streams(texts, lanes)
     begins = np.vstack([np.ones((1, lanes), bool), of[1:] != of[:-1]])
-    starts, out, h = begins.any(axis=1), np.zeros(len(texts)), np.zeros((lanes, model.urz.shape[0]), np.float32)
+    starts, stays = begins.any(axis=1), (~begins).astype(np.float32)[:, :, None]
+    size = model.urz.shape[0]
+    out, h = np.zeros(len(texts)), np.zeros((lanes, size), np.float32)
     for at in range(0, len(x), window):
-        states = []
-        for t in range(at, min(at + window, len(x))):
-            if starts[t]:
-                h[begins[t]] = 0
-            h = model.step(x[t], h)[0]
-            states.append(h.copy())
-        here = of[at : at + window].ravel()
+        end = min(at + window, len(x))
+        states = model.forward(x[at:end], h, [stays[t] if starts[t] else None for t in range(at, end)])[-1]
+        h, here = states[-1], of[at:end].ravel()
         real = np.flatnonzero(here >= 0)
-        logs = model.log_probability(np.concatenate(states)[real], y[at : at + window].ravel()[real])
+        logs = model.log_probability(states.reshape(-1, size)[real], y[at:end].ravel()[real])
         out += np.bincount(here[real], logs, len(texts))
     return out
 
 
 def _chunked(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The documents with ``chunk``, and the number of chunks: neighbours by id together, or by hash where ids crowd unevenly."""
+    """The documents with ``chunk``, and the number of chunks: neighbours by id together.
+
+    Where ids crowd unevenly (null or equal ids among them), rows are written once with a chunk dealt by
+    row, so that no chunk holds more than its share, equal rows or not. Which way it goes moves scores
+    only in the digits that float32 sums of other batches move.
+    """
     shape = docs.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     chunks = max(1, -(-shape["n"] // CHUNK_DOCS), -(-shape["chars"] // CHUNK_CHARS))
-    by_hash = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))
-    if shape["lo"] is None:
-        return docs.withColumn("chunk", by_hash), chunks
-    width = (shape["hi"] - shape["lo"]) // chunks + 1
-    by_id = F.floor((F.col("doc_id") - F.lit(shape["lo"])) / width) if width < 1 << 52 else F.lit(None).cast("long")
-    near = docs.withColumn("chunk", F.coalesce(by_id, by_hash).cast("long"))
-    fullest = near.groupBy("chunk").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).agg(F.max("n").alias("n"), F.max("chars").alias("chars")).first()
-    if fullest["n"] > 3 * CHUNK_DOCS or (fullest["chars"] or 0) > 3 * CHUNK_CHARS:
-        return docs.withColumn("chunk", by_hash), chunks
-    return near, chunks
+    if shape["lo"] is not None:
+        width = (shape["hi"] - shape["lo"]) // chunks + 1
+        by_id = F.floor((F.col("doc_id") - F.lit(shape["lo"])) / width) if width < 1 << 52 else F.lit(None).cast("long")
+        near = docs.withColumn("chunk", F.coalesce(by_id, F.lit(0)).cast("long"))
+        fullest = near.groupBy("chunk").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).agg(F.max("n").alias("n"), F.max("chars").alias("chars")).first()
+        if fullest["n"] <= 3 * CHUNK_DOCS and (fullest["chars"] or 0) <= 3 * CHUNK_CHARS:
+            return near, chunks
+    return materialize(docs.withColumn("chunk", F.pmod(F.monotonically_increasing_id(), F.lit(chunks))), "dealt"), chunks
 
 
 def _dictionary_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -346,8 +396,9 @@ def fit(docs: DataFrame, counts: DataFrame, corpus: Corpus) -> Model:
 
 def _code_batches(own: dict[bytes, int]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = Buckets(own).__getitem__
         for batch in batches:
-            codes = [np.array([*(own.get(w) or tail_bucket(w) for w in tokens(text)), 0], np.int16).tobytes() for text in batch["text"]]
+            codes = [np.array([*map(bucket, tokens(text)), 0], np.int16).tobytes() for text in batch["text"]]
             yield pd.DataFrame({"place": batch["place"], "codes": codes})
 
     return run
@@ -394,9 +445,10 @@ def fit_network(model: Model, docs: DataFrame, corpus: Corpus) -> Model:
     units = -(-corpus.n // (slices * UNIT_TOKENS))
     passes = min(EPOCHS, -(-PASS_TOKENS // corpus.n))
     codes = docs.where(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("place"), "text")
-    codes = materialize(codes.mapInPandas(_code_batches(model.own), "place long, codes binary"), "codes")
+    codes = codes.mapInPandas(_code_batches(model.own), "place long, codes binary")
     deal = F.pmod(F.col("place"), F.lit(slices * units))
     codes = codes.select("place", "codes", (deal % slices).alias("slice"), F.floor(deal / slices).alias("unit"))
+    codes = materialize(codes, "codes", ["slice"])  # a slice reads its own folder alone
     for k in range(passes * slices):
         part = codes.where(F.col("slice") == k % slices).repartition(4 * units, "unit").sortWithinPartitions("unit", "place")
         rate = 0.006 * 0.6 ** (EPOCHS * k / (passes * slices))
@@ -414,13 +466,15 @@ def _score_chunk(model: Model, corpus: Corpus):
         words = counts["token"].tolist()
         place = dict(zip(words, range(len(words))))
         seen = counts["c"].to_numpy(np.float64)
-        bucket = np.array([model.bucket(w) for w in words], np.int64)
-        own = np.array([w in model.own for w in words], bool)
+        bucket = np.array(list(map(model.own.get, words, itertools.repeat(0))), np.int64)
+        own = bucket > 0
+        tails = np.flatnonzero(~own).tolist()
+        bucket[tails] = [tail_bucket(words[i]) for i in tails]
         share = np.where(own, 0.0, np.log(seen + 1) - np.log(model.mass[bucket])) if len(words) else np.empty(0)
         log_seen, texts, out = np.log10(seen + 1), [], []
         each = np.log10(corpus.n + corpus.distinct + 1)
         for doc_id, held_out, text in zip(docs["doc_id"].astype(object), docs["held_out"], docs["text"]):
-            at = np.array([place[w] for w in tokens(text)], np.int64)
+            at = np.array([*map(place.__getitem__, tokens(text))], np.int64)
             texts.append(np.append(bucket[at], 0))
             base = log_seen[at].sum() + np.log10(corpus.n_docs + 1) - (len(at) + 1) * each
             inner = share[at].sum()
