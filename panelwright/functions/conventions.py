@@ -15,10 +15,15 @@ EPSILON = 1e-12
 
 @dataclass(frozen=True)
 class Panel:
-    """Names of a panel's entity and time columns."""
+    """Names of a panel's entity and time columns.
+
+    With ``keep``, a metric adds its results as one struct of that name and leaves the panel's rows and columns,
+    so that many metrics can follow each other over one sort of the panel.
+    """
 
     entity: str = "security_id"
     time: str = "trading_date"
+    keep: str | None = None
 
     def order(self, *more: str) -> WindowSpec:
         return Window.partitionBy(self.entity, *more).orderBy(self.time)
@@ -53,6 +58,11 @@ def meets(value: Column, threshold: Column | float) -> Column:
     return value + EPSILON >= threshold
 
 
+def finite(value: Column) -> Column:
+    """Whether a value is there and neither NaN nor infinite (Spark sorts NaN above all numbers)."""
+    return F.coalesce(~F.isnan(value) & (F.abs(value) < float("inf")), F.lit(False))
+
+
 def chain_and(left: Column, right: Column) -> Column:
     """Ordered AND: false wins on the left, then null, then the right side decides."""
     return F.when(left == F.lit(False), F.lit(False)).when(left.isNull(), F.lit(None).cast("boolean")).otherwise(right)

@@ -6,6 +6,8 @@ window_end, required_count and actual_count. A value stands only where no reason
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,11 +40,12 @@ def guarded(df: DataFrame, value: Column, n: int, fields: tuple[str, ...], panel
     blocked = F.arrays_overlap("_reasons", F.array(F.lit("daily_vwap_range_fail"), F.lit("provider_turnover_crosscheck_fail")))
     paused = F.arrays_overlap("_reasons", F.array(F.lit("suspension_in_window"), F.lit("zero_volume_in_window"), F.lit("zero_amount_in_window")))
     status = F.when(F.size("_reasons") == 0, "valid").when(blocked, "blocked").when(paused, "diagnostic_required").otherwise("unknown")
-    return df.select(
-        panel.entity, panel.time, F.when(F.size("_reasons") == 0, F.col("_value")).alias("value"), status.alias("validity_status"),
+    out = [
+        F.when(F.size("_reasons") == 0, F.col("_value")).alias("value"), status.alias("validity_status"),
         F.when(F.size("_reasons") == 0, F.array(F.lit("valid_no_blocker"))).otherwise(F.col("_reasons")).alias("reason_codes"),
         F.col("_start").alias("window_start"), F.col(panel.time).alias("window_end"), F.lit(n).alias("required_count"), F.col("_found").alias("actual_count"),
-    )
+    ]
+    return df.withColumn(panel.keep, F.struct(*out)) if panel.keep else df.select(panel.entity, panel.time, *out)
 
 
 def natr(df: DataFrame, n: int = 14, panel: Panel = PANEL) -> DataFrame:
@@ -63,17 +66,16 @@ def natr(df: DataFrame, n: int = 14, panel: Panel = PANEL) -> DataFrame:
     inside = panel.prefix("_b")
     part = F.sum(F.when(F.col("_i") > 0, F.col("_tr")) / n * F.pow(F.lit(1 / r), F.col("_p"))).over(inside) * F.pow(F.lit(r), F.col("_p"))
     df = df.withColumn("_part", part)
-    # contribution of earlier blocks: their last partial sums, decayed; three blocks back are below 1e-60
-    ends = df.groupBy(panel.entity, "_b").agg(F.max_by("_part", "_p").alias("_end"))
-    ends = ends.select(panel.entity, (F.col("_b") + 1).alias("_b"), "_end")
-    df = df.join(ends, [panel.entity, "_b"], "left")
+    # contribution of the block before: its last partial sum, decayed; earlier ones are below 1e-60
+    df = df.withColumn("_end", F.lag("_part").over(w))
+    df = df.withColumn("_end", F.when(F.col("_b") > 0, F.first("_end").over(inside)))
     atr = F.col("_part") + F.coalesce(F.col("_end"), F.lit(0.0)) * F.pow(F.lit(r), F.col("_p") + 1)
-    return guarded(df, atr / F.col("adjusted_close"), n + 1, ("adjusted_high", "adjusted_low", "adjusted_close"), panel, whole_prefix=True, high_low_anomaly=F.col("adjusted_high") < F.col("adjusted_low"))
+    return guarded(df, ratio(atr, F.col("adjusted_close")), n + 1, ("adjusted_high", "adjusted_low", "adjusted_close"), panel, whole_prefix=True, high_low_anomaly=F.col("adjusted_high") < F.col("adjusted_low"))
 
 
 def log_range(df: DataFrame, n: int = 20, panel: Panel = PANEL) -> DataFrame:
     w = panel.last(n)
-    return guarded(df, F.log(F.max("adjusted_high").over(w) / F.min("adjusted_low").over(w)), n, ("adjusted_high", "adjusted_low"), panel)
+    return guarded(df, F.log(ratio(F.max("adjusted_high").over(w), F.min("adjusted_low").over(w))), n, ("adjusted_high", "adjusted_low"), panel)
 
 
 def _spread(logs: list[Column]) -> Column:
@@ -96,7 +98,7 @@ def vwap_spread(df: DataFrame, panel: Panel = PANEL) -> DataFrame:
     logs = {}
     for n in MA_WINDOWS:
         w = panel.last(n)
-        logs[f"_m{n}"] = F.log(F.sum(F.col("daily_vwap") * F.col("volume_shares")).over(w) / F.sum("volume_shares").over(w))
+        logs[f"_m{n}"] = F.log(ratio(F.sum(F.col("daily_vwap") * F.col("volume_shares")).over(w), F.sum("volume_shares").over(w)))
     df = df.withColumns(logs)
     inside = (F.col("daily_vwap") >= F.col("adjusted_low") - 0.005) & (F.col("daily_vwap") <= F.col("adjusted_high") + 0.005)
     return guarded(
@@ -112,7 +114,7 @@ def efficiency_ratio(df: DataFrame, n: int = 20, panel: Panel = PANEL) -> DataFr
     df = df.withColumn("_step", F.abs(log - F.lag(log).over(w)))
     path = F.sum("_step").over(panel.last(n))
     move = F.abs(log - F.lag(log, n).over(w))
-    return guarded(df, F.when(path == 0, F.lit(0.0)).otherwise(move / path), n + 1, ("adjusted_close",), panel)
+    return guarded(df, F.when(path == 0, F.lit(0.0)).otherwise(ratio(move, path)), n + 1, ("adjusted_close",), panel)
 
 
 def abs_trend_t(df: DataFrame, n: int = 20, panel: Panel = PANEL) -> DataFrame:
@@ -122,9 +124,9 @@ def abs_trend_t(df: DataFrame, n: int = 20, panel: Panel = PANEL) -> DataFrame:
     df = df.withColumns({"_y": F.log("adjusted_close"), "_x": place.cast("double")})
     sxx, sxy, syy = (F.expr(f"{f}(_y, _x)").over(w) for f in ("regr_sxx", "regr_sxy", "regr_syy"))
     df = df.withColumns({"_sxx": sxx, "_sxy": sxy, "_syy": syy})
-    slope = F.col("_sxy") / F.col("_sxx")
+    slope = ratio(F.col("_sxy"), F.col("_sxx"))
     left = F.col("_syy") - slope * F.col("_sxy")
-    t = F.abs(slope) / F.sqrt(left / (n - 2) / F.col("_sxx"))
+    t = ratio(F.abs(slope), F.sqrt(ratio(left / (n - 2), F.col("_sxx"))))
     return guarded(df, F.when(F.col("_syy") == 0, F.lit(0.0)).when(left > 0, t), n, ("adjusted_close",), panel)
 
 
@@ -192,3 +194,11 @@ METRICS = {
     "abs_trend_t20": abs_trend_t, "turnover_shrink": turnover_shrink, "log_amount20": log_amount, "body_to_cloud": body_to_cloud,
     "outside_cloud_rate": outside_cloud_rate, "body_cloud_gap": body_cloud_gap,
 }
+
+
+def stacked(df: DataFrame, names: list[str], panel: Panel = PANEL) -> DataFrame:
+    """Rows of several metrics with their ``indicator``: all windows stand over one sort of the panel, which is stacked once."""
+    for name in names:
+        df = METRICS[name](df, panel=replace(panel, keep=name))
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("indicator"), F.col(n).alias("of")) for n in names])).alias("one")
+    return df.select(panel.entity, panel.time, each).select(panel.entity, panel.time, "one.indicator", "one.of.*")

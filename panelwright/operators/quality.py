@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.conventions import PANEL, Panel, reason_list
+from panelwright.functions.conventions import PANEL, Panel, ratio, reason_list
 
 KEYS = ["security_id", "trading_date"]
 
@@ -38,10 +38,10 @@ def as_metrics(row: DataFrame) -> DataFrame:
     return row.select([F.col(c).cast("double").alias(c) for c in row.columns]).unpivot([], row.columns, "metric", "value")
 
 
-def expected_keys(universe: DataFrame, calendar: DataFrame, start: str, end: str) -> DataFrame:
-    """Entities on open days between ``start`` and ``end``, each within its life [list_date, delist_date]."""
-    days = calendar.where(F.col("is_open") & F.col("trading_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    alive = (F.col("trading_date") >= F.col("list_date")) & (F.col("trading_date") <= F.coalesce("delist_date", F.lit(end).cast("date")))
+def expected_keys(universe: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Entities on the calendar's open days, each within its life [list_date, delist_date]."""
+    days = calendar.where("is_open")
+    alive = (F.col("trading_date") >= F.col("list_date")) & F.coalesce(F.col("trading_date") <= F.col("delist_date"), F.lit(True))
     # a calendar has a row for each day, however large the panel
     return universe.crossJoin(F.broadcast(days.select("trading_date"))).where(alive).select(*KEYS)
 
@@ -108,8 +108,11 @@ def acceptance(summary: DataFrame, blockers: list[str]) -> DataFrame:
 
 def apply_pause(status: DataFrame, pauses: DataFrame) -> DataFrame:
     """Replace statuses of days inside a pause interval of their entity."""
-    p = pauses.select("security_id", "begin", "end")
-    hit = status.join(p, "security_id").where("trading_date between begin and end").select(*KEYS).distinct().withColumn("_hit", F.lit(True))
+    month = lambda x: F.year(x) * 12 + F.month(x)
+    # pauses are dealt to the months that they touch, so a day meets those of its month alone
+    p = pauses.select("security_id", "begin", "end", F.explode(F.sequence(month("begin"), month("end"))).alias("_month"))
+    days = status.select(*KEYS, month("trading_date").alias("_month"))
+    hit = days.join(p, ["security_id", "_month"]).where("trading_date between begin and end").select(*KEYS).distinct().withColumn("_hit", F.lit(True))
     out = status.join(hit, KEYS, "left")
     paused = F.col("_hit").isNotNull()
     return out.select(*KEYS, F.when(paused, "listing_pause").otherwise(F.col("trading_status")).alias("trading_status"), F.when(paused, "not_expected").otherwise(F.col("daily_status")).alias("daily_status"), paused.alias("overridden"))
@@ -154,11 +157,12 @@ def nearest_factors(gaps: DataFrame, factors: DataFrame) -> DataFrame:
     """Dates of the nearest factor before and after each missing one, and the days to them."""
     rows = gaps.where("gap_type = 'factor'").select(*KEYS, F.lit(None).cast("date").alias("_have"))
     both = rows.unionByName(factors.select(*KEYS, F.col("trading_date").alias("_have")))
-    w = PANEL.order()
+    running = (Window.unboundedPreceding, 0)
+    back = Window.partitionBy(PANEL.entity).orderBy(F.desc(PANEL.time))  # from the end, so the frame only grows
     both = both.withColumns(
         {
-            "previous_date": F.last("_have", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-            "next_date": F.first("_have", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+            "previous_date": F.last("_have", ignorenulls=True).over(PANEL.order().rowsBetween(*running)),
+            "next_date": F.last("_have", ignorenulls=True).over(back.rowsBetween(*running)),
         }
     )
     both = both.where("_have is null")
@@ -188,7 +192,7 @@ def quality_reasons(df: DataFrame, panel: Panel = PANEL) -> DataFrame:
 def mechanical_gap(df: DataFrame, events: DataFrame, least: float = 0.03, panel: Panel = PANEL) -> DataFrame:
     """Gap of the open to the close before, on the raw scale, for days where it is at least ``least``; is there an event?"""
     before = F.lag("adjusted_close").over(panel.order())
-    df = df.withColumn("gap", F.col("adjusted_open") / before - 1).where(F.abs("gap") >= least)
+    df = df.withColumn("gap", ratio(F.col("adjusted_open"), before) - 1).where(F.abs("gap") >= least)
     out = df.join(events.select(*KEYS, F.lit(True).alias("_event")).distinct(), KEYS, "left")
     return out.select(*KEYS, "gap", F.col("_event").isNotNull().alias("event_present"))
 

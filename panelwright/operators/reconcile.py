@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.functions.conventions import ratio
+
 
 def multiset_diff(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Rows that one side has more often than the other, with both counts."""
@@ -51,5 +53,6 @@ def anomaly_scan(df: DataFrame, rules: dict[str, tuple[Column, float]]) -> DataF
 
 def max_share(df: DataFrame, key: str) -> DataFrame:
     """The key with most rows and its share (ties to the smallest key)."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    counts = df.groupBy(key).agg(F.count("*").alias("n"))
+    counts = counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select(key, "n", ratio(F.col("n"), F.col("_all")).alias("share"))  # one row
     return counts.orderBy(F.desc("n"), key).limit(1)

@@ -8,8 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.conventions import EPSILON, severity, worst_status
-from panelwright.operators.states import WEAK_DELTA, intervals, streaks
+from panelwright.functions.conventions import finite, ratio, severity, worst_status
+from panelwright.operators.states import WEAK_DELTA, intervals, streaks, weak_state
 
 TIME = "trading_date"
 
@@ -27,13 +27,20 @@ def request_table(spark: SparkSession, requests: dict[str, tuple[dict[str, int],
 
 
 def dimension_states(scores: DataFrame, requests: DataFrame) -> DataFrame:
-    """State of each dimension that a request names; reasons carry the dimension they come from."""
+    """State of each dimension that a request names; reasons carry the dimension they come from.
+
+    A valid score that is missing or not finite gives no state and a reason of its own.
+    """
     out = scores.join(F.broadcast(requests), "dimension")  # a few rows a request
-    q = F.col("q_bp") / 10_000
-    weak = (F.col("score_mean") + EPSILON >= 1 - q) & (F.col("score_min") + EPSILON >= 1 - q - WEAK_DELTA)
     ready = F.col("validity_status") == "valid"
-    reasons = F.when(ready, F.array().cast("array<string>")).otherwise(F.transform("reason_codes", lambda r: F.concat(F.col("dimension"), F.lit("_"), r)))
-    return out.withColumns({"dimension_state": F.when(ready, weak), "reasons": F.array_sort(F.array_distinct(reasons))})
+    lacking = F.col("score_mean").isNull() | F.col("score_min").isNull()
+    whole = finite(F.col("score_mean")) & finite(F.col("score_min"))
+    codes = (
+        F.when(~ready, F.col("reason_codes")).when(lacking, F.array(F.lit("score_missing"))).when(~whole, F.array(F.lit("score_non_finite")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    reasons = F.transform(codes, lambda r: F.concat(F.col("dimension"), F.lit("_"), r))
+    return out.withColumns({"dimension_state": weak_state(F.col("q_bp") / 10_000), "reasons": F.array_sort(F.array_distinct(reasons))})
 
 
 def joint(states: DataFrame) -> DataFrame:
@@ -68,9 +75,9 @@ def path_metrics(anchors: DataFrame, prices: DataFrame, horizons: tuple[int, ...
     for h in horizons:
         ahead = w.rowsBetween(1, h)
         whole = F.count(F.lit(1)).over(ahead) == h
-        cols[f"return_{h}"] = F.when(whole, F.lead("adjusted_close", h).over(w) / close - 1)
-        cols[f"mfe_{h}"] = F.when(whole, F.max("adjusted_high").over(ahead) / close - 1)
-        cols[f"mae_{h}"] = F.when(whole, F.min("adjusted_low").over(ahead) / close - 1)
+        cols[f"return_{h}"] = F.when(whole, ratio(F.lead("adjusted_close", h).over(w), close) - 1)
+        cols[f"mfe_{h}"] = F.when(whole, ratio(F.max("adjusted_high").over(ahead), close) - 1)
+        cols[f"mae_{h}"] = F.when(whole, ratio(F.min("adjusted_low").over(ahead), close) - 1)
     return anchors.join(prices.withColumns(cols).select("security_id", TIME, *cols), ["security_id", TIME])
 
 
@@ -114,9 +121,9 @@ def endpoint_margins(found: DataFrame, states: DataFrame) -> DataFrame:
 
 def reentries(found: DataFrame, daily: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     """After each exit: rows until the state is true again and until a quality break, judged at several horizons."""
-    w = Window.partitionBy("request_id", "security_id").orderBy(TIME)
-    rows = daily.withColumn("_n", F.row_number().over(w))
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("request_id", "security_id").orderBy(F.desc(TIME))
+    rows = daily.withColumn("_n", -F.row_number().over(w))
+    ahead = w.rowsBetween(Window.unboundedPreceding, -1)  # from the end, so the frame only grows
     rows = rows.withColumns(
         {
             "_true": F.min(F.when(F.col("raw_state"), F.col("_n"))).over(ahead) - F.col("_n"), "_quality": F.min(F.when(F.col("raw_state").isNull(), F.col("_n"))).over(ahead) - F.col("_n"),

@@ -2,36 +2,68 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from panelwright.functions.conventions import PANEL, Panel, finite, severity, worst_status
+
+
+def past_ranks(values: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """For each value but NaN: how many of the ``window`` values before it there are, twice those below it plus those
+    equal to it, and the places of the first and last of them. NaN values are passed over (0, 0, -1, -1)."""
+    out = tuple(np.full(len(values), x, np.int32) for x in (0, 0, -1, -1))
+    at = np.flatnonzero(~np.isnan(values))
+    held, order = values[at], np.arange(len(at))
+    out[0][at] = np.minimum(order, window)
+    out[2][at[1:]], out[3][at[1:]] = at[np.maximum(order[1:] - window, 0)], at[:-1]
+    for begin in range(window, len(at), 4096):  # rows with a whole window, some at a time
+        here = held[begin - window : begin + 4096]
+        past, now = np.lib.stride_tricks.sliding_window_view(here, window)[: len(here) - window], here[window:, None]
+        out[1][at[begin : begin + 4096]] = 2 * (past < now).sum(axis=1) + (past == now).sum(axis=1)
+    return out
+
+
+def _ranks_udf(window: int):
+    @pandas_udf("array<struct<n:int,twice:int,first:int,last:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            found = [past_ranks(np.asarray(v, np.float64), window) for v in batch]
+            yield pd.Series([[{"n": n, "twice": t, "first": a, "last": b} for n, t, a, b in zip(*(x.tolist() for x in one))] for one in found], dtype=object)
 
-from panelwright.functions.conventions import PANEL, Panel, severity, worst_status
+    return run
 
 
 def strict_past_percentile(df: DataFrame, window: int, panel: Panel = PANEL, keys: tuple[str, ...] = ()) -> DataFrame:
     """Midrank of ``value`` among the ``window`` valid values before it, and 1 minus that as ``score``.
 
-    Rows without a valid value take no part in a later window and get their own status and reasons back.
+    Rows without a valid value take no part in a later window and get their own status and reasons back; a value
+    that is not finite is not valid. The series of an entity is one array (a row for each of its days), ranked by
+    sliding windows in numpy, so no row carries the values of its window.
     """
-    valid = F.col("value").isNotNull() & (F.col("validity_status") == "valid")
-    w = Window.partitionBy(panel.entity, *keys, F.col("_valid")).orderBy(panel.time)
-    past = w.rowsBetween(-window, -1)
-    df = df.withColumn("_valid", valid)
-    df = df.withColumns({"_past": F.collect_list(F.when(F.col("_valid"), F.col("value"))).over(past), "_from": F.min(panel.time).over(past), "_to": F.max(panel.time).over(past)})
-    less = F.size(F.filter("_past", lambda x: x < F.col("value")))
-    same = F.size(F.filter("_past", lambda x: x == F.col("value")))
-    whole = F.col("_valid") & (F.size("_past") == window)
-    status = F.when(whole, "valid").when(F.col("_valid"), "unknown").when(F.col("validity_status") == "valid", "unknown").otherwise(F.col("validity_status"))
+    valid = (F.col("validity_status") == "valid") & finite(F.col("value"))
+    row = F.struct(panel.time, "value", "validity_status", "reason_codes", valid.alias("ok"))
+    series = df.groupBy(panel.entity, *keys).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    held = F.transform("rows", lambda r: F.when(r["ok"], r["value"]))
+    times = F.transform("rows", lambda r: r[panel.time])
+    series = series.select(panel.entity, *keys, "rows", times.alias("times"), _ranks_udf(window)(held).alias("past"))
+    past = F.transform("past", lambda p: F.struct(p["n"].alias("n"), p["twice"].alias("twice"), F.when(p["first"] >= 0, F.get("times", p["first"])).alias("begin"), F.when(p["last"] >= 0, F.get("times", p["last"])).alias("end")))
+    each = series.select(panel.entity, *keys, F.explode(F.arrays_zip("rows", past.alias("past"))).alias("x")).select(panel.entity, *keys, "x.rows.*", "x.past.*")
+    whole = F.col("ok") & (F.col("n") == window)
+    status = F.when(whole, "valid").when(F.col("ok"), "unknown").when(F.col("validity_status") == "valid", "unknown").otherwise(F.col("validity_status"))
     codes = (
-        F.when(whole, F.array(F.lit("valid_no_blocker"))).when(F.col("_valid"), F.array(F.lit("insufficient_strict_past_history")))
+        F.when(whole, F.array(F.lit("valid_no_blocker"))).when(F.col("ok"), F.array(F.lit("insufficient_strict_past_history")))
         .otherwise(F.array_distinct(F.concat(F.array(F.lit("raw_metric_not_valid")), F.col("reason_codes"))))
     )
-    percentile = F.when(whole, (less + 0.5 * same) / window)
-    return df.select(
+    percentile = F.when(whole, F.col("twice") / 2 / window)
+    return each.select(
         panel.entity, panel.time, *keys, "value", whole.alias("eligible"), percentile.alias("percentile"), (1 - percentile).alias("score"),
         status.alias("validity_status"), codes.alias("reason_codes"),
-        F.when(F.col("_valid"), F.size("_past")).otherwise(F.lit(0)).alias("reference_count"),
-        F.when(F.col("_valid"), F.col("_from")).alias("reference_start"), F.when(F.col("_valid"), F.col("_to")).alias("reference_end"),
+        F.when(F.col("ok"), F.col("n")).otherwise(F.lit(0)).alias("reference_count"), F.col("begin").alias("reference_start"), F.col("end").alias("reference_end"),
     )
 
 

@@ -9,23 +9,27 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.conventions import EPSILON, chain_and, islands
+from panelwright.functions.conventions import chain_and, finite, islands, meets
 
 WEAK_DELTA = 0.10
 
 
 def indicator_states(scores: DataFrame, qs: list[float]) -> DataFrame:
-    """A row for each score and q: active where score >= 1 - q; null where the score is not valid."""
+    """A row for each score and q: active where score >= 1 - q; null where the score is not valid or not finite."""
     out = scores.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
-    active = F.when(F.col("validity_status") == "valid", F.col("score") + EPSILON >= 1 - F.col("q"))
+    active = F.when((F.col("validity_status") == "valid") & finite(F.col("score")), meets(F.col("score"), 1 - F.col("q")))
     return out.withColumn("active", active)
 
 
 def dimension_states(scores: DataFrame, qs: list[float], delta: float = WEAK_DELTA) -> DataFrame:
-    """Weak state of a dimension: mean >= 1 - q and least component >= 1 - q - delta."""
+    """Weak state of a dimension: mean >= 1 - q and least component >= 1 - q - delta; null where one is not valid or not finite."""
     out = scores.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
-    weak = (F.col("score_mean") + EPSILON >= 1 - F.col("q")) & (F.col("score_min") + EPSILON >= 1 - F.col("q") - delta)
-    return out.withColumn("active", F.when(F.col("validity_status") == "valid", weak))
+    return out.withColumn("active", weak_state(F.col("q"), delta))
+
+
+def weak_state(q: Column, delta: float = WEAK_DELTA) -> Column:
+    ready = (F.col("validity_status") == "valid") & finite(F.col("score_mean")) & finite(F.col("score_min"))
+    return F.when(ready, meets(F.col("score_mean"), 1 - q) & meets(F.col("score_min"), 1 - q - delta))
 
 
 def dimension_wide(states: DataFrame, dimensions: list[str], keys: list[str]) -> DataFrame:

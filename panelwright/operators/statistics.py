@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import ratio
 
+#: Ranges that the values of a pooled rank are dealt to.
+RANGES = 4096
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -105,11 +107,24 @@ def histogram(scores: DataFrame, by: str, buckets: int) -> DataFrame:
 
 
 def value_ranks(df: DataFrame, column: str, by: list[str] = []) -> DataFrame:
-    """Average rank of every value, from counts of equal values: no window over all rows."""
+    """Average rank of every value, from counts of equal values.
+
+    Without ``by``, values are dealt to ranges of equal width between the least and the greatest, and a range's
+    rank begins after the counts of the ranges before it, so no window holds all values.
+    """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2
-    return counts.select(*by, column, rank.alias(f"{column}_rank"))
+    if not by:
+        ends = counts.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))  # one row
+        place = F.coalesce(ratio(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+        counts = counts.crossJoin(F.broadcast(ends)).withColumn("_range", F.floor(place * RANGES)).drop("_lo", "_hi")
+    parts = by or ["_range"]
+    w = Window.partitionBy(*parts).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(w), F.lit(0))
+    if not by:
+        sums = counts.groupBy("_range").agg(F.sum("_n").alias("_s"))  # at most RANGES + 1 rows
+        sums = sums.select("_range", F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        counts, before = counts.join(F.broadcast(sums), "_range"), before + F.col("_before")
+    return counts.select(*by, column, (before + (F.col("_n") + 1) / 2).alias(f"{column}_rank"))
 
 
 def correlations(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:

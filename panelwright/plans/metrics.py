@@ -116,14 +116,16 @@ def steady(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.round(F.col("value") + 1e-13, 10))
 
 
+def long_metrics(spark, d: str) -> DataFrame:
+    """All eight metrics, a row for each day and indicator."""
+    return steady(M.stacked(prices(spark, d), [n for names in DIMENSIONS.values() for n in names]))
+
+
 def long_scores(spark, d: str, window: int = WINDOW) -> DataFrame:
     """Scores of all eight metrics with their dimension."""
-    panel, out = prices(spark, d), None
-    for dimension, names in DIMENSIONS.items():
-        for name in names:
-            one = S.strict_past_percentile(steady(M.METRICS[name](panel)), window).withColumns({"dimension": F.lit(dimension), "indicator": F.lit(name)})
-            out = one if out is None else out.unionByName(one)
-    return out
+    out = S.strict_past_percentile(long_metrics(spark, d), window, keys=("indicator",))
+    of = F.create_map(*[F.lit(x) for dimension, names in DIMENSIONS.items() for n in names for x in (n, dimension)])
+    return out.withColumn("dimension", of[F.col("indicator")])
 
 
 for _dimension, _names in DIMENSIONS.items():

@@ -11,12 +11,13 @@ from panelwright.plans.sql import query, step
 from panelwright.plans.states import spine, text_dates
 from panelwright.sources.panels import scan, user_days
 
-START, END = "1996-01-01", "1996-12-31"
+#: First day of the calendar of the given tables, and the day on which a fifth of the suppliers are delisted.
+START, DELISTED = "1995-01-01", "1998-06-30"
 
 
 def universe(spark, d: str) -> DataFrame:
     s = scan(spark, f"{d}/supplier.parquet")
-    return s.select(F.col("s_suppkey").alias("security_id"), F.date_add(F.lit(START).cast("date"), (F.col("s_suppkey") % 30).cast("int")).alias("list_date"), F.when(F.col("s_suppkey") % 5 == 0, F.lit("1996-06-30").cast("date")).alias("delist_date"))
+    return s.select(F.col("s_suppkey").alias("security_id"), F.date_add(F.lit(START).cast("date"), (F.col("s_suppkey") % 30).cast("int")).alias("list_date"), F.when(F.col("s_suppkey") % 5 == 0, F.lit(DELISTED).cast("date")).alias("delist_date"))
 
 
 def calendar(spark, d: str) -> DataFrame:
@@ -25,11 +26,7 @@ def calendar(spark, d: str) -> DataFrame:
 
 
 def expected(spark, d: str) -> DataFrame:
-    return Q.expected_keys(universe(spark, d), calendar(spark, d), START, END)
-
-
-def year(spark, d: str) -> DataFrame:
-    return prices(spark, d).where(F.col("trading_date").between(F.lit(START).cast("date"), F.lit(END).cast("date")))
+    return Q.expected_keys(universe(spark, d), calendar(spark, d))
 
 
 def suspended(spark, d: str) -> DataFrame:
@@ -42,12 +39,12 @@ def factors(spark, d: str) -> DataFrame:
 
 
 def limits(spark, d: str) -> DataFrame:
-    rows = year(spark, d).where((F.col("security_id") + F.dayofmonth("trading_date")) % 9 != 0)
+    rows = prices(spark, d).where((F.col("security_id") + F.dayofmonth("trading_date")) % 9 != 0)
     return rows.select("security_id", "trading_date", (F.col("adjusted_close") * 1.1).alias("up_limit"), (F.col("adjusted_close") * 0.9).alias("down_limit"))
 
 
 def status(spark, d: str) -> DataFrame:
-    return Q.source_status(expected(spark, d), year(spark, d), suspended(spark, d), limits(spark, d))
+    return Q.source_status(expected(spark, d), prices(spark, d), suspended(spark, d), limits(spark, d))
 
 
 def evidence(spark, d: str) -> DataFrame:
@@ -62,19 +59,18 @@ def pauses(spark, d: str) -> DataFrame:
     return universe(spark, d).where("security_id % 4 = 1").select("security_id", F.lit("1996-03-01").cast("date").alias("begin"), F.lit("1996-03-20").cast("date").alias("end"))
 
 
-step("univ", f"select s_suppkey as security_id, date '{START}' + (s_suppkey % 30)::int as list_date, case when s_suppkey % 5 = 0 then date '1996-06-30' end as delist_date from supplier")
+step("univ", f"select s_suppkey as security_id, date '{START}' + (s_suppkey % 30)::int as list_date, case when s_suppkey % 5 = 0 then date '{DELISTED}' end as delist_date from supplier")
 step("cal", "select distinct l_shipdate::date as trading_date, dayofweek(l_shipdate::date) <> 0 as is_open from lineitem")
-step("expct", f"select security_id, trading_date from univ join cal on is_open and trading_date between date '{START}' and date '{END}' and trading_date >= list_date and trading_date <= coalesce(delist_date, date '{END}')")
-step("pyear", f"select * from pday where trading_date between date '{START}' and date '{END}'")
+step("expct", f"select security_id, trading_date from univ join cal on is_open and trading_date >= list_date and coalesce(trading_date <= delist_date, true)")
 step("susp", "select * from expct where (security_id + dayofyear(trading_date)) % 13 = 0")
 step("fact", "select *, 1 + (security_id % 7) / 100.0 + floor(month(trading_date) / 4) / 10.0 as adj_factor from expct where (security_id * 3 + dayofyear(trading_date)) % 11 <> 0")
-step("lims", "select security_id, trading_date, adjusted_close * 1.1 as up_limit, adjusted_close * 0.9 as down_limit from pyear where (security_id + day(trading_date)) % 9 <> 0")
+step("lims", "select security_id, trading_date, adjusted_close * 1.1 as up_limit, adjusted_close * 0.9 as down_limit from pday where (security_id + day(trading_date)) % 9 <> 0")
 step(
     "srcst",
     """select security_id, trading_date, case when s.trading_date is not null then 'suspended' when p.trading_date is not null then 'trading' else 'unknown' end as trading_status,
   case when p.trading_date is not null then 'present' when s.trading_date is not null then 'not_expected' else 'missing' end as daily_status,
   case when l.trading_date is not null then 'resolved' when s.trading_date is not null then 'not_expected' else 'missing' end as limit_status
-from expct e left join pyear p using (security_id, trading_date) left join susp s using (security_id, trading_date) left join lims l using (security_id, trading_date)""",
+from expct e left join pday p using (security_id, trading_date) left join susp s using (security_id, trading_date) left join lims l using (security_id, trading_date)""",
 )
 step("evid", "select security_id, trading_date, adj_factor, case when adj_factor is not null then 'resolved' when s.trading_date is not null then 'carry_forward' else 'missing' end as factor_status from expct left join fact using (security_id, trading_date) left join susp s using (security_id, trading_date)")
 step("gapt", "select security_id, trading_date, 'daily' as gap_type from srcst where daily_status = 'missing' union all select security_id, trading_date, 'limit' from srcst where limit_status = 'missing' union all select security_id, trading_date, 'factor' from evid where factor_status = 'missing'")
@@ -106,7 +102,7 @@ def _observed(spark, d: str) -> DataFrame:
 
 
 def _merge(spark, d: str) -> DataFrame:
-    p = year(spark, d).select("security_id", "trading_date", "adjusted_close", "volume_shares")
+    p = prices(spark, d).select("security_id", "trading_date", "adjusted_close", "volume_shares")
     a = p.withColumn("adjusted_close", F.when(F.col("security_id") % 3 != 0, F.col("adjusted_close"))).withColumns({"priority": F.lit(1), "source": F.lit("first")})
     b = p.withColumn("volume_shares", F.col("volume_shares") + F.when(F.col("security_id") % 4 == 0, 1.0).otherwise(0.0)).withColumns({"priority": F.lit(2), "source": F.lit("second")})
     return text_dates(Q.merge_evidence(a.unionByName(b), ["security_id", "trading_date"], ["adjusted_close", "volume_shares"], "priority", "source"))
@@ -117,7 +113,7 @@ def queries() -> dict:
         "dq01_resolve_codes": _codes,
         "dq02_member_audit": _members,
         "dq04_expected_keys": lambda s, d: text_dates(expected(s, d)),
-        "dq05_completeness": lambda s, d: text_dates(Q.completeness(Q.expand_routes(expected(s, d), ["a", "b"]), Q.expand_routes(year(s, d).select(*Q.KEYS), ["a", "c"]), [*Q.KEYS, "route"])),
+        "dq05_completeness": lambda s, d: text_dates(Q.completeness(Q.expand_routes(expected(s, d), ["a", "b"]), Q.expand_routes(prices(s, d).select(*Q.KEYS), ["a", "c"]), [*Q.KEYS, "route"])),
         "dq06_source_status": lambda s, d: text_dates(status(s, d)),
         "dq07_factor_evidence": lambda s, d: text_dates(evidence(s, d)),
         "dq08_coverage_gaps": lambda s, d: text_dates(gaps(s, d)),
@@ -130,7 +126,7 @@ def queries() -> dict:
         "dq15_gap_profiles": lambda s, d: Q.gap_profiles(gaps(s, d)),
         "dq16_missing_daily_cause": lambda s, d: text_dates(Q.diagnose_missing_daily(gaps(s, d), suspended(s, d), calendar(s, d), universe(s, d))),
         "dq17_nearest_factors": lambda s, d: text_dates(Q.nearest_factors(gaps(s, d), factors(s, d))),
-        "dq20_adjusted_prices": lambda s, d: text_dates(Q.adjusted(year(s, d), factors(s, d))),
+        "dq20_adjusted_prices": lambda s, d: text_dates(Q.adjusted(prices(s, d), factors(s, d))),
         "dq21_quality_reasons": lambda s, d: text_dates(Q.quality_reasons(prices(s, d)).withColumn("reasons", F.array_join("reasons", ","))),
         "dq22_mechanical_gap": lambda s, d: text_dates(Q.mechanical_gap(prices(s, d), suspended(s, d))),
         "dq26_standardise": lambda s, d: text_dates(Q.standardise(_lots(s, d))),
@@ -181,8 +177,8 @@ def oracle_sql() -> dict[str, str]:
         "dq02_member_audit": query(_long({"n_rows": "count(*)", "n_keys": "count(distinct raw)", "n_repeated": "count(raw) - count(distinct raw)", "n_malformed": "count(*) filter (not regexp_matches(raw, '^\\d{6}\\.S[ZH]$'))", "n_bad_status": "count(*) filter (status not in ('resolved', 'inferred'))"}, "codes")),
         "dq04_expected_keys": query(f"select security_id, {_D} from expct"),
         "dq05_completeness": query(f"""select security_id, {_D}, route, problem from (
-  select security_id, trading_date, r as route, 'missing' as problem from expct cross join (select unnest(['a', 'b']) as r) x where r = 'b' or not exists (select 1 from pyear p where p.security_id = expct.security_id and p.trading_date = expct.trading_date)
-  union all select security_id, trading_date, r, 'unexpected' from pyear cross join (select unnest(['a', 'c']) as r) x where r = 'c' or not exists (select 1 from expct e where e.security_id = pyear.security_id and e.trading_date = pyear.trading_date))"""),
+  select security_id, trading_date, r as route, 'missing' as problem from expct cross join (select unnest(['a', 'b']) as r) x where r = 'b' or not exists (select 1 from pday p where p.security_id = expct.security_id and p.trading_date = expct.trading_date)
+  union all select security_id, trading_date, r, 'unexpected' from pday cross join (select unnest(['a', 'c']) as r) x where r = 'c' or not exists (select 1 from expct e where e.security_id = pday.security_id and e.trading_date = pday.trading_date))"""),
         "dq06_source_status": query(f"select security_id, {_D}, trading_status, daily_status, limit_status from srcst"),
         "dq07_factor_evidence": query(f"select security_id, {_D}, round(adj_factor, 9) as adj_factor, factor_status from evid"),
         "dq08_coverage_gaps": query(f"select security_id, {_D}, gap_type from gapt"),
@@ -196,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "dq16_missing_daily_cause": query(f"select security_id, {_D}, case when s.trading_date is not null then 'suspended' when datediff('day', list_date, trading_date) < 5 then 'new_listing' else 'vendor_gap' end as cause from gapt left join susp s using (security_id, trading_date) left join univ using (security_id) where gap_type = 'daily'"),
         "dq17_nearest_factors": query(f"""select g.security_id, cast(g.trading_date as varchar) as trading_date, cast(p.trading_date as varchar) as previous_date, cast(n.trading_date as varchar) as next_date, datediff('day', p.trading_date, g.trading_date) as days_since, datediff('day', g.trading_date, n.trading_date) as days_until
 from (select * from gapt where gap_type = 'factor') g asof left join fact p on g.security_id = p.security_id and g.trading_date >= p.trading_date asof left join fact n on g.security_id = n.security_id and g.trading_date <= n.trading_date"""),
-        "dq20_adjusted_prices": query(f"select security_id, {_D}, " + ", ".join(f"round(adjusted_{x} * coalesce(adj_factor, 1.0), 9) as {x}" for x in ("open", "high", "low", "close")) + ", case when adj_factor is null then 'factor_missing' else 'none' end as factor_reason from pyear left join fact using (security_id, trading_date)"),
+        "dq20_adjusted_prices": query(f"select security_id, {_D}, " + ", ".join(f"round(adjusted_{x} * coalesce(adj_factor, 1.0), 9) as {x}" for x in ("open", "high", "low", "close")) + ", case when adj_factor is null then 'factor_missing' else 'none' end as factor_reason from pday left join fact using (security_id, trading_date)"),
         "dq21_quality_reasons": query(f"select security_id, {_D}, array_to_string(list_filter([{', '.join(reasons)}], lambda x: x is not null), ',') as reasons, suspension_flag or adjusted_high < adjusted_low as blocking from pday"),
         "dq22_mechanical_gap": query(f"select security_id, {_D}, round(gap, 9) as gap, s.trading_date is not null as event_present from (select *, adjusted_open / lag(adjusted_close) over (partition by security_id order by trading_date) - 1 as gap from pday) left join susp s using (security_id, trading_date) where abs(gap) >= 0.03"),
         "dq26_standardise": query(f"select security_id, {_D}, round(volume_shares, 9) as volume_shares, round(amount_yuan, 9) as amount_yuan, round(float_shares, 9) as float_shares, round(vwap, 9) as vwap, round(turnover, 9) as turnover, zero_volume from stdz"),
@@ -209,6 +205,6 @@ from (select * from gapt where gap_type = 'factor') g asof left join fact p on g
         "dq39_price_checks": query(f"select case metric when 'order_' then 'order' else metric end as metric, value from ({_long(rules, 'pday')})"),
         "dq42_densify": query(f"select security_id, {_D}, observation_sequence, expected_status, case when expected_status = 'present' and n = 1 then total end as total from {_IDX} left join obsd using (security_id, trading_date)"),
         "dq42_densify_errors": query(f"select security_id, {_D}, problem from (select *, case when expected_status = 'present' and coalesce(n, 0) = 0 then 'missing_row' when expected_status = 'present' and n > 1 then 'repeated_row' when expected_status <> 'present' and n > 0 then 'row_in_empty_slot' end as problem from {_IDX} left join obsd using (security_id, trading_date)) where problem is not null"),
-        "dq43_merge_evidence": query(f"select security_id, {_D}, round(adjusted_close, 9) as adjusted_close, case when security_id % 3 <> 0 then 'first' else 'second' end as adjusted_close_source, false as adjusted_close_conflict, round(volume_shares, 9) as volume_shares, 'first' as volume_shares_source, security_id % 4 = 0 as volume_shares_conflict from pyear"),
+        "dq43_merge_evidence": query(f"select security_id, {_D}, round(adjusted_close, 9) as adjusted_close, case when security_id % 3 <> 0 then 'first' else 'second' end as adjusted_close_source, false as adjusted_close_conflict, round(volume_shares, 9) as volume_shares, 'first' as volume_shares_source, security_id % 4 = 0 as volume_shares_conflict from pday"),
         "dq44_value_intervals": query("select security_id, round(any_value(adj_factor), 9) as adj_factor, cast(min(trading_date) as varchar) as begin, cast(max(trading_date) as varchar) as end, count(*) as n_days from (select *, sum(c) over (partition by security_id order by trading_date) as g from (select *, case when lag(adj_factor) over (partition by security_id order by trading_date) is distinct from adj_factor then 1 else 0 end as c from fact)) group by security_id, g"),
     }

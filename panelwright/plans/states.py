@@ -57,8 +57,7 @@ def range_intervals(spark, d: str) -> DataFrame:
 def vector_states(spark, d: str) -> DataFrame:
     scores = dim_scores(spark, d)
     q = F.create_map(*[F.lit(x) for pair in QVEC.items() for x in pair])[F.col("dimension")]
-    weak = (F.col("score_mean") + ST.EPSILON >= 1 - q) & (F.col("score_min") + ST.EPSILON >= 1 - q - ST.WEAK_DELTA)
-    scores = scores.withColumn("active", F.when(F.col("validity_status") == "valid", weak))
+    scores = scores.withColumn("active", ST.weak_state(q))
     return ST.nested_states(ST.dimension_wide(scores, DIMS, ["security_id", "trading_date"]), DIMS)
 
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators import metrics as M
 from panelwright.operators import reconcile as R
 from panelwright.operators import states as ST
 from panelwright.operators import statistics as A
-from panelwright.plans.metrics import long_scores, prices, steady
+from panelwright.plans.metrics import DIMENSIONS, long_metrics, long_scores, prices
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import nested, spine, spine_confirmed
 from panelwright.sources.panels import scan
@@ -31,11 +30,11 @@ step("two", "select *, case when validity_status = 'valid' then n_events >= 3 en
 
 
 def metric_rows(spark, d: str) -> DataFrame:
-    p = prices(spark, d)
-    return steady(M.log_range(p)).withColumn("metric", F.lit("log_range20")).unionByName(steady(M.log_amount(p)).withColumn("metric", F.lit("log_amount20")))
+    """All eight metrics."""
+    return long_metrics(spark, d).withColumnRenamed("indicator", "metric")
 
 
-step("mrows", "select *, 'log_range20' as metric from (select * replace (round(value + 1e-13, 10) as value) from rm_log_range20) union all select *, 'log_amount20' from (select * replace (round(value + 1e-13, 10) as value) from rm_log_amount20)")
+step("mrows", " union all ".join(f"select *, '{n}' as metric from (select * replace (round(value + 1e-13, 10) as value) from rm_{n})" for names in DIMENSIONS.values() for n in names))
 
 
 def _spread_sql(v: str) -> str:
@@ -57,7 +56,7 @@ def _half_counts(spark, d: str) -> DataFrame:
 
 
 def _response(spark, d: str) -> DataFrame:
-    states = ST.indicator_states(long_scores(spark, d).where("indicator in ('log_range20', 'ma_spread')"), [0.1, 0.2, 0.3, 0.4])
+    states = ST.indicator_states(long_scores(spark, d), [0.1, 0.2, 0.3, 0.4])
     curve = states.groupBy("indicator", "q").agg(F.count_if("active").cast("double").alias("n"))
     return rounded(A.response_profile(curve, "indicator", "q", "n"))
 
@@ -110,9 +109,12 @@ def _multiset(spark, d: str) -> DataFrame:
 
 def _extremes(spark, d: str, n: int = 5) -> DataFrame:
     rows = metric_rows(spark, d).where("value is not null")
-    w = Window.partitionBy("metric")
-    ranked = rows.withColumns({"low": F.row_number().over(w.orderBy("value", "security_id", "trading_date")), "high": F.row_number().over(w.orderBy(F.desc("value"), "security_id", "trading_date"))})
-    return rounded(ranked.where((F.col("low") <= n) | (F.col("high") <= n)).select("metric", "security_id", "trading_date", "value"))
+    # a limit on one row number is kept by every task before the rows of a metric meet
+    ends = []
+    for order in (F.asc("value"), F.desc("value")):
+        place = F.row_number().over(Window.partitionBy("metric").orderBy(order, "security_id", "trading_date"))
+        ends.append(rows.withColumn("place", place).where(F.col("place") <= n).select("metric", "security_id", "trading_date", "value"))
+    return rounded(ends[0].union(ends[1]).distinct())
 
 
 def _corr(spark, d: str, by: list[str]) -> DataFrame:
@@ -163,7 +165,7 @@ def queries() -> dict:
         "rc02_keyed_diff": _diff,
         "rc03_fingerprint": lambda s, d: R.fingerprint(scan(s, f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey"), "c_nationkey"),
         "rc05_anomaly_scan": lambda s, d: R.anomaly_scan(prices(s, d), {"rows_with_zero_volume": (F.count_if(F.col("volume_shares") <= 0), 0), "suspended": (F.count_if("suspension_flag"), 0)}),
-        "rc07_max_share": lambda s, d: rounded(R.max_share(scan(s, f"{d}/lineitem.parquet").where("l_returnflag = 'R'"), "l_suppkey")),
+        "rc07_max_share": lambda s, d: rounded(R.max_share(scan(s, f"{d}/lineitem.parquet"), "l_suppkey")),
     }
 
 
@@ -173,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
     lag_p = "count(*) filter (anchor = 'onset' and target is not null) as n_onset, count(*) filter (anchor = 'onset' and target) as n_onset_true, count(*) filter (anchor = 'control' and target is not null) as n_control, count(*) filter (anchor = 'control' and target) as n_control_true, count(*) filter (anchor = 'onset' and not complete) as n_right_censored, count(*) filter (anchor = 'onset' and survived) as n_survived"
     lag_d = "*, round(n_onset_true / nullif(n_onset, 0), 6) as p_onset, round(n_control_true / nullif(n_control, 0), 6) as p_control, round(n_onset_true / nullif(n_onset, 0) - n_control_true / nullif(n_control, 0), 6) as difference, round(n_onset_true / nullif(n_onset, 0) / nullif(n_control_true / nullif(n_control, 0), 0), 6) as lift"
     prof = "count(*) as n_days, count(*) filter (validity_status = 'valid') as n_valid, count(*) filter (validity_status = 'unknown') as n_unknown, count(*) filter (validity_status = 'blocked') as n_blocked, count(*) filter (raw_state) as n_true, count(*) filter (not raw_state) as n_false, count(*) filter (raw_state is null) as n_null, count(distinct case when raw_state then security_id end) as n_entities_true"
-    curve = "select indicator, q, count(*) filter (validity_status = 'valid' and score + 1e-12 >= 1 - q)::double as n from scores_long cross join (select unnest([0.1, 0.2, 0.3, 0.4])::double as q) g where indicator in ('log_range20', 'ma_spread') group by 1, 2"
+    curve = "select indicator, q, count(*) filter (validity_status = 'valid' and score + 1e-12 >= 1 - q)::double as n from scores_long cross join (select unnest([0.1, 0.2, 0.3, 0.4])::double as q) g group by 1, 2"
     return {
         "pr01_state_profile": query(f"select half, {prof} from two group by half"),
         "pr02_segment_count": query("select security_id, count(*) filter (raw_state and not coalesce(b, false)) as n_segments from (select *, lag(raw_state) over (partition by security_id order by trading_date) as b from uspine) group by 1"),
@@ -204,5 +206,5 @@ def oracle_sql() -> dict[str, str]:
         "rc02_keyed_diff": query("select unnest(['left_only', 'right_only', 'mismatched', 'mismatched_volume_shares', 'mismatched_suspension_flag']) as metric, unnest([a, 0, m, m, 0]) as value from (select count(*) filter (security_id % 9 = 4) as a, count(*) filter (security_id % 9 <> 4 and security_id % 5 = 0) as m from pday)"),
         "rc03_fingerprint": query("select c_nationkey, count(*) as n_rows, sum(h)::bigint as digest, bit_xor(h) as xor from (select c_nationkey, ('0x' || substr(md5(concat_ws('|', c_custkey::varchar, c_name, c_nationkey::varchar)), 1, 8))::bigint as h from customer) group by 1"),
         "rc05_anomaly_scan": query("select 'rows_with_zero_volume' as rule, (count(*) filter (volume_shares <= 0))::double as observed, 0.0::double as expected, case when count(*) filter (volume_shares <= 0) = 0 then 'ok' else 'anomaly' end as status from pday union all select 'suspended', count(*) filter (suspension_flag), 0.0, case when count(*) filter (suspension_flag) = 0 then 'ok' else 'anomaly' end from pday"),
-        "rc07_max_share": query("select l_suppkey, n, round(n / (select count(*) from lineitem where l_returnflag = 'R'), 6) as share from (select l_suppkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) order by n desc, l_suppkey limit 1"),
+        "rc07_max_share": query("select l_suppkey, n, round(n / (select count(*) from lineitem), 6) as share from (select l_suppkey, count(*) as n from lineitem group by 1) order by n desc, l_suppkey limit 1"),
     }

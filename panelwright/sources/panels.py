@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.functions.conventions import PANEL
+from panelwright.functions.conventions import PANEL, ratio
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -70,7 +70,7 @@ def daily_prices(lineitem: DataFrame) -> DataFrame:
 
     A day is suspended where its distance to 1995-01-01 divides by 97.
     """
-    price = F.col("l_extendedprice") / F.col("l_quantity")
+    price = ratio(F.col("l_extendedprice"), F.col("l_quantity"))
     place = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
     rows = lineitem.select(F.col("l_suppkey").alias("security_id"), F.to_date("l_shipdate").alias("trading_date"), price.alias("price"), place.alias("place"), "l_quantity", "l_extendedprice")
     days = rows.groupBy("security_id", "trading_date").agg(
@@ -82,7 +82,7 @@ def daily_prices(lineitem: DataFrame) -> DataFrame:
         F.sum("l_extendedprice").alias("amount_yuan"),
     )
     return days.select(
-        "*", (F.col("amount_yuan") / F.col("volume_shares")).alias("daily_vwap"),
+        "*", ratio(F.col("amount_yuan"), F.col("volume_shares")).alias("daily_vwap"),
         (F.col("volume_shares") / (1000 + F.col("security_id"))).alias("turnover_float"),
         (F.datediff("trading_date", F.lit("1995-01-01").cast("date")) % 97 == 0).alias("suspension_flag"),
     )
