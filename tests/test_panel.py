@@ -181,3 +181,67 @@ def test_sources_and_sinks(spark, tmp_path):
     named = panels.normalise(frame, {"code": ("missing", "name"), "status": ("none",)}, {"status": "valid"})
     assert [tuple(r) for r in named.collect()] == [("a", "valid"), (None, "valid")]
     assert panels.scope(frame.withColumn("d", F.lit("2020-01-05").cast("date")), "id", "d", first=1, start="2020-01-01").count() == 1
+
+
+def test_scores_that_are_not_finite_give_no_state(spark):
+    from panelwright.operators import requests
+
+    odd = [float("nan"), float("inf"), float("-inf"), None, 0.9]
+    frame = spark.createDataFrame([(i, "P", x, x, x, "valid", ["r"]) for i, x in enumerate(odd)], "security_id long, dimension string, score double, score_mean double, score_min double, validity_status string, reason_codes array<string>")
+    for out in (states.indicator_states(frame, [0.2]), states.dimension_states(frame, [0.2])):
+        assert {r.security_id: r.active for r in out.collect()} == {0: None, 1: None, 2: None, 3: None, 4: True}
+    got = requests.dimension_states(frame, requests.request_table(spark, {"p": ({"P": 2000}, 2)})).collect()
+    assert {r.security_id: (r.dimension_state, r.reasons) for r in got} == {0: (None, ["P_score_non_finite"]), 1: (None, ["P_score_non_finite"]), 2: (None, ["P_score_non_finite"]), 3: (None, ["P_score_missing"]), 4: (True, [])}
+
+
+def test_zero_prices_and_volumes_end_no_job(spark):
+    from panelwright.operators import requests
+
+    _, frame = price_panel(spark)
+    bad = frame.withColumns({c: F.when(F.col("i") == 5, 0.0).otherwise(F.col(c)) for c in ("adjusted_close", "adjusted_open", "adjusted_low")})
+    none = frame.withColumn("volume_shares", F.lit(0.0))
+    for f in metrics.METRICS.values():
+        assert f(bad).count() == f(none).count() == 90
+    assert {c for r in metrics.vwap_spread(none).collect() for c in r.reason_codes} >= {"zero_volume_in_window"}
+    assert quality.mechanical_gap(bad, bad.where("i = 7")).count() > 0
+    assert requests.path_metrics(bad.select("security_id", "trading_date"), bad).count() == 90
+    lines = spark.createDataFrame([(1, "1996-01-01", 1, 1, 1, 10.0, 0.0)], "l_suppkey long, l_shipdate string, l_orderkey long, l_linenumber int, l_partkey long, l_extendedprice double, l_quantity double")
+    assert panels.daily_prices(lines).first().daily_vwap is None
+
+
+def test_metrics_over_one_sort_equal_each_alone(spark):
+    _, frame = price_panel(spark, bad=70)
+    names = list(metrics.METRICS)
+    together = {(r.indicator, r.trading_date): (r.value, r.validity_status, r.reason_codes, r.actual_count) for r in metrics.stacked(frame, names).collect()}
+    for n in names:
+        for r in metrics.METRICS[n](frame).collect():
+            assert together[n, r.trading_date] == (r.value, r.validity_status, r.reason_codes, r.actual_count), n
+
+
+def test_past_ranks_against_brute_force():
+    import numpy as np
+
+    rng = random.Random(3)
+    for window, n in ((1, 5), (7, 60), (500, 5_200)):
+        values = np.array([rng.choice([float("nan"), rng.randrange(9), rng.random()]) for _ in range(n)])
+        counted, twice, first, last = scores.past_ranks(values, window)
+        seen = []
+        for i, v in enumerate(values):
+            if v != v:
+                assert (counted[i], first[i], last[i]) == (0, -1, -1)
+                continue
+            past = seen[-window:]
+            assert counted[i] == len(past) and (first[i], last[i]) == ((past[0], past[-1]) if past else (-1, -1))
+            if len(past) == window:
+                assert twice[i] == sum(2 if values[p] < v else values[p] == v for p in past)
+            seen.append(i)
+
+
+def test_pooled_ranks_by_ranges(spark):
+    rng = random.Random(8)
+    xs = [rng.choice([rng.random() * 1e6, float(rng.randrange(5)), -3.0]) for _ in range(400)] + [None]
+    got = {r.x: r.x_rank for r in statistics.value_ranks(spark.createDataFrame([(x,) for x in xs], "x double"), "x").collect()}
+    known = [x for x in xs if x is not None]
+    assert got == {x: sum(y < x for y in known) + (sum(y == x for y in known) + 1) / 2 for x in known}
+    same = statistics.value_ranks(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x").collect()
+    assert [(r.x, r.x_rank) for r in same] == [(1.0, 1.5)]
