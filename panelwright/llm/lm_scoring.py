@@ -14,6 +14,7 @@ carries the hidden state across windows, so each text is scored from its first t
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,8 +32,8 @@ CLASSES = MEMBERS = 32
 OWN = 703
 TAIL = CLASSES * MEMBERS - 1 - OWN
 HIDDEN, WINDOW, LANES, EPOCHS = 24, 16, 192, 5
-#: Tokens of a unit, and slices of a corpus that fills more than one unit; every slice holds more units as the corpus grows.
-UNIT_TOKENS, SLICES = 1_000_000, 8
+#: Tokens of a unit (enough that its longest texts leave all lanes filled), and slices of a corpus that fills more than one unit; every slice holds more units as the corpus grows.
+UNIT_TOKENS, SLICES = 2_000_000, 8
 #: A corpus of fewer tokens is gone through several times, up to EPOCHS.
 PASS_TOKENS = 1_250_000
 #: Documents and characters that one task scores together.
@@ -60,6 +61,16 @@ class Buckets(dict):
         return at
 
 
+class Room(dict):
+    """Memory that the windows of a run share by name: fresh arrays of this size cost more in page faults than their sums."""
+
+    def __call__(self, name: str, *shape: int, dtype: type = np.float32) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self or self[name].size < size:
+            self[name] = np.empty(size, dtype)
+        return self[name][:size].reshape(shape)
+
+
 @dataclass
 class Model:
     own: dict[bytes, int]
@@ -73,54 +84,76 @@ class Model:
     wm: np.ndarray
     bm: np.ndarray
 
-    def forward(self, x: np.ndarray, h: np.ndarray, cuts: list) -> tuple[np.ndarray, ...]:
+    def forward(self, x: np.ndarray, h: np.ndarray, cuts: list, room: Room, keep: bool = True) -> tuple[np.ndarray, ...]:
         """The steps (rows of input buckets ``x``) from states ``h``: states before, gates r and z, candidates, r times state, states after.
 
-        Before a step whose cut is not None, the states are multiplied by it: 0 where a text begins.
+        States stand as (unit, lane), so that every gate is one block of memory. Before a step whose cut is
+        not None, the states are multiplied by it: 0 where a text begins. The arrays stand in ``room`` until
+        its next window; without ``keep``, all but the states after hold the last step alone.
         """
-        (steps, lanes), size = x.shape, h.shape[1]
-        gates = np.ascontiguousarray(self.wx.take(x.ravel(), axis=0).reshape(steps, lanes, 3, size).transpose(0, 2, 1, 3))
-        np.negative(gates[:, :2], out=gates[:, :2])
-        u, un, one = -np.stack([self.urz[:, :size], self.urz[:, size:]]), np.ascontiguousarray(self.un), np.float32(1)
-        prev, rz, n, held, new = (np.empty((steps, *shape, lanes, size), np.float32) for shape in ((), (2,), (), (), ()))
+        (steps, lanes), size = x.shape, len(h)
+        rows = np.take(self.wx, x.ravel(), axis=0, out=room("rows", steps * lanes, 3 * size), mode="clip")
+        gates = room("gates", steps, 3 * size, lanes)
+        np.copyto(gates, rows.reshape(steps, lanes, 3 * size).transpose(0, 2, 1))
+        u, un, one, kept = np.ascontiguousarray(-self.urz.T), np.ascontiguousarray(self.un.T), np.float32(1), steps if keep else 1
+        prev, n, held = (room(name, kept, size, lanes) for name in ("prev", "n", "held"))
+        rz, new = room("rz", kept, 2 * size, lanes), room("new", steps, size, lanes)
         with np.errstate(over="ignore"):  # an overflow gives a gate of 0
             for t in range(steps):
+                k = t if keep else 0
                 if cuts[t] is not None:
-                    h = h * cuts[t]
-                prev[t] = h
-                a = np.matmul(h, u, out=rz[t])
-                a += gates[t, :2]
+                    h = np.multiply(h, cuts[t], out=prev[k])
+                elif keep:
+                    prev[k] = h
+                a = np.matmul(u, h, out=rz[k])
+                a -= gates[t, : 2 * size]
                 np.exp(a, out=a)
                 a += one
                 np.reciprocal(a, out=a)
-                m = np.matmul(np.multiply(a[0], h, out=held[t]), un, out=n[t])
-                m += gates[t, 2]
+                m = np.matmul(un, np.multiply(a[:size], h, out=held[k]), out=n[k])
+                m += gates[t, 2 * size :]
                 np.tanh(m, out=m)
                 h = np.subtract(h, m, out=new[t])
-                h *= a[1]
+                h *= a[size:]
                 h += m
         return prev, rz, n, held, new
 
-    def log_probability(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def log_probability(self, h: np.ndarray, y: np.ndarray, room: Room | None = None) -> np.ndarray:
         """Natural logarithm of the probability of bucket ``y`` (rows) in state ``h``."""
-        at = self.place[y]
-        order, cuts, group, member, rows = _by_class(at)
-        h = h[order]
-        logits, members = h @ self.wc + self.bc, self._members(h, cuts)
-        logs = logits[rows, group] + members[rows, member] - np.log(np.exp(_bounded(logits)) @ _ONES) - np.log(np.exp(_bounded(members)) @ _ONES)
-        out = np.empty(len(y), np.float32)
-        out[order] = logs
-        return out
-
-    def _members(self, h: np.ndarray, cuts: list[int]) -> np.ndarray:
-        """Logits of the members of each row's class; rows stand by class."""
-        out = np.empty((len(h), MEMBERS), np.float32)
+        out = self._output(h, y, room or Room())
+        logs = out.classes[out.rows, out.group] + out.members[out.rows, out.member]
+        for logits in (out.classes, out.members):
+            logs -= np.log(np.exp(logits, out=logits) @ _ONES)
+        unsorted = np.empty(len(y), np.float32)
+        unsorted[out.order] = logs
+        return unsorted
+
+    def _output(self, h: np.ndarray, y: np.ndarray, room: Room) -> Output:
+        """Logits of the classes, and of the members of each row's class."""
+        order, cuts, group, member, rows = _by_class(self.place[y])
+        ones = room("states by class", len(h), h.shape[1] + 1)  # a last column of ones meets the biases
+        ones[:, :-1] = np.take(h, order, axis=0, out=room("by class", *h.shape), mode="clip")
+        ones[:, -1] = 1
+        classes = np.matmul(ones, np.vstack([self.wc, self.bc]), out=room("classes", len(h), CLASSES))
+        members, wide = room("members", len(h), MEMBERS), np.concatenate([self.wm, self.bm[:, None]], axis=1)
         for c in range(CLASSES):
-            a, b = cuts[c], cuts[c + 1]
-            if b > a:
-                np.matmul(h[a:b], self.wm[c], out=out[a:b])
-                out[a:b] += self.bm[c]
-        return out
+            if cuts[c + 1] > cuts[c]:
+                np.matmul(ones[cuts[c] : cuts[c + 1]], wide[c], out=members[cuts[c] : cuts[c + 1]])
+        return Output(order, cuts, group, member, rows, ones, _bounded(classes), _bounded(members))
+
+
+@dataclass
+class Output:
+    """Logits of some rows, which stand by class: their order, where each class begins, class and member of the target, states and a one."""
+
+    order: np.ndarray
+    cuts: list[int]
+    group: np.ndarray
+    member: np.ndarray
+    rows: np.ndarray
+    states: np.ndarray
+    classes: np.ndarray
+    members: np.ndarray
 
 
 _ONES = np.ones(MEMBERS, np.float32)
@@ -212,71 +245,84 @@ def train(model: Model, texts: list[np.ndarray], rate: float, lanes: int = LANES
     window = max(window, min(128, LANES * WINDOW // lanes))  # fewer lanes, longer windows
     x, y, of = _streams(texts, lanes)
     begins = np.vstack([np.ones((1, lanes), bool), of[1:] != of[:-1]])
-    starts, stays = begins.any(axis=1), (~begins).astype(np.float32)[:, :, None]
+    starts, stays = begins.any(axis=1), (~begins).astype(np.float32)
     flat = weights(model)
     model, grad = with_weights(model, flat), np.zeros_like(flat)
     first, second, grads = np.zeros_like(flat), np.zeros_like(flat), _views(model, grad)
-    size, h = model.urz.shape[0], np.zeros((lanes, model.urz.shape[0]), np.float32)
-    columns = np.arange(3 * size)
+    size, room = model.urz.shape[0], Room()
+    h, columns, one = np.zeros((size, lanes), np.float32), np.arange(3 * size), np.float32(1)
     for count, at in enumerate(range(0, len(x), window), 1):
         steps = min(window, len(x) - at)
         cuts = [stays[t] if starts[t] else None for t in range(at, at + steps)]
-        prev, rz, n, held, states = model.forward(x[at : at + steps], h, cuts)
-        h, r, z = states[-1], rz[:, 0], rz[:, 1]
+        prev, rz, n, held, states = model.forward(x[at : at + steps], h, cuts, room)
+        r, z, h = rz[:, :size], rz[:, size:], states[-1].copy()  # its place is the next window's
         grad[:] = 0
         real = (of[at : at + steps].ravel() >= 0).astype(np.float32) / (steps * lanes)
-        back = _output_gradient(model, states.reshape(-1, size), y[at : at + steps].ravel(), real, grads).reshape(steps, lanes, size)
-        to_n, to_r, to_z = (1 - z) * (1 - n * n), prev * r * (1 - r), (prev - n) * z * (1 - z)
-        d, gates = np.zeros((lanes, size), np.float32), np.empty((steps, lanes, 3 * size), np.float32)
-        un, urz = np.ascontiguousarray(model.un.T), np.ascontiguousarray(model.urz.T)
+        by_row, back = _output_gradient(model, _rows(states, room), y[at : at + steps].ravel(), real, grads, room), room("back by step", steps, size, lanes)
+        np.copyto(back, by_row.reshape(steps, lanes, size).transpose(0, 2, 1))
+        to_n, to_r, to_z, spare = (room(name, steps, size, lanes) for name in ("to n", "to r", "to z", "spare"))
+        np.multiply(np.subtract(one, np.multiply(n, n, out=to_n), out=to_n), np.subtract(one, z, out=spare), out=to_n)
+        np.multiply(np.multiply(np.subtract(prev, n, out=to_z), z, out=to_z), spare, out=to_z)
+        np.multiply(np.multiply(prev, r, out=to_r), np.subtract(one, r, out=spare), out=to_r)
+        d, gates = np.zeros((size, lanes), np.float32), room("gates", steps, 3 * size, lanes)
+        dheld, drz = room("dheld", size, lanes), room("drz", size, lanes)
         for t in range(steps - 1, -1, -1):
             d += back[t]
-            dn = d * to_n[t]
-            dheld = dn @ un
             g = gates[t]
-            np.multiply(dheld, to_r[t], out=g[:, :size])
-            np.multiply(d, to_z[t], out=g[:, size : 2 * size])
-            g[:, 2 * size :] = dn
+            np.matmul(model.un, np.multiply(d, to_n[t], out=g[2 * size :]), out=dheld)
+            np.multiply(dheld, to_r[t], out=g[:size])
+            np.multiply(d, to_z[t], out=g[size : 2 * size])
             d *= z[t]
             dheld *= r[t]
             d += dheld
-            d += g[:, : 2 * size] @ urz
+            d += np.matmul(model.urz, g[: 2 * size], out=drz)
             if cuts[t] is not None:
                 d *= cuts[t]
-        gates = gates.reshape(-1, 3 * size)
-        grads["un"] += held.reshape(-1, size).T @ gates[:, 2 * size :]
-        grads["urz"] += prev.reshape(-1, size).T @ gates[:, : 2 * size]
-        cells = x[at : at + steps].ravel().astype(np.int64)[:, None] * (3 * size) + columns
-        grads["wx"] += np.bincount(cells.ravel(), gates.ravel(), grads["wx"].size).reshape(grads["wx"].shape)
-        first += np.float32(0.1) * (grad - first)
-        second += np.float32(0.001) * (grad * grad - second)
-        scale = np.sqrt(second / np.float32(1 - 0.999**count)) + np.float32(1e-8)
-        flat -= np.float32(rate / (1 - 0.9**count)) * first / scale
+        grads["un"] += np.matmul(held, gates[:, 2 * size :].transpose(0, 2, 1)).sum(0)
+        grads["urz"] += np.matmul(prev, gates[:, : 2 * size].transpose(0, 2, 1)).sum(0)
+        cells = np.add(x[at : at + steps].reshape(-1, 1) * (3 * size), columns, out=room("cells", steps * lanes, 3 * size, dtype=np.int64))
+        np.add.at(grads["wx"].reshape(-1), cells.ravel(), _rows(gates, room).ravel())
+        step, root = room("step", len(flat)), room("root", len(flat))
+        first += np.multiply(np.subtract(grad, first, out=step), np.float32(0.1), out=step)
+        second += np.multiply(np.subtract(np.multiply(grad, grad, out=step), second, out=step), np.float32(0.001), out=step)
+        np.sqrt(np.divide(second, np.float32(1 - 0.999**count), out=root), out=root)
+        root += np.float32(1e-8)
+        flat -= np.divide(np.multiply(first, np.float32(rate / (1 - 0.9**count)), out=step), root, out=step)
     return flat
 
 
-def _output_gradient(model: Model, h: np.ndarray, y: np.ndarray, weight: np.ndarray, grads: dict) -> np.ndarray:
+def _rows(states: np.ndarray, room: Room) -> np.ndarray:
+    """(step, unit, lane) -> a row for each step and lane."""
+    steps, size, lanes = states.shape
+    out = room("rows", steps * lanes, size)
+    np.copyto(out.reshape(steps, lanes, size), states.transpose(0, 2, 1))
+    return out
+
+
+def _output_gradient(model: Model, h: np.ndarray, y: np.ndarray, weight: np.ndarray, grads: dict, room: Room) -> np.ndarray:
     """Gradient of the weighted negative log-likelihood by the states; adds those of the output layers."""
-    order, cuts, group, member, rows = _by_class(model.place[y])
-    h, weight = h[order], weight[order, None]
-    d = np.exp(_bounded(h @ model.wc + model.bc))
-    d *= weight / (d @ _ONES)[:, None]
-    d[rows, group] -= weight[:, 0]
-    grads["wc"] += h.T @ d
-    grads["bc"] += d.sum(0)
-    back = d @ model.wc.T
-    d = np.exp(_bounded(model._members(h, cuts)))
-    d *= weight / (d @ _ONES)[:, None]
-    d[rows, member] -= weight[:, 0]
+    out = model._output(h, y, room)
+    weight = weight[out.order]
+    for logits, target in ((out.classes, out.group), (out.members, out.member)):  # logits become gradients
+        np.exp(logits, out=logits)
+        logits *= (weight / (logits @ _ONES))[:, None]
+        logits[out.rows, target] -= weight
+    of_classes = out.states.T @ out.classes
+    grads["wc"] += of_classes[:-1]
+    grads["bc"] += of_classes[-1]
+    back, part = np.matmul(out.classes, model.wc.T, out=room("by class", *h.shape)), room("part", *h.shape)
+    of_members = np.zeros((CLASSES, h.shape[1] + 1, MEMBERS), np.float32)
     for c in range(CLASSES):
-        a, b = cuts[c], cuts[c + 1]
+        a, b = out.cuts[c], out.cuts[c + 1]
         if b > a:
-            grads["wm"][c] += h[a:b].T @ d[a:b]
-            grads["bm"][c] += d[a:b].sum(0)
-            back[a:b] += d[a:b] @ model.wm[c].T
-    out = np.empty_like(back)
-    out[order] = back
-    return out
+            np.matmul(out.states[a:b].T, out.members[a:b], out=of_members[c])
+            np.matmul(out.members[a:b], model.wm[c].T, out=part[a:b])
+    grads["wm"] += of_members[:, :-1]
+    grads["bm"] += of_members[:, -1]
+    back += part
+    unsorted = room("back", *h.shape)
+    unsorted[out.order] = back
+    return unsorted
 
 
 def score_texts(model: Model, texts: list[np.ndarray], window: int = 16) -> np.ndarray:
@@ -287,16 +333,16 @@ def score_texts(model: Model, texts: list[np.ndarray], window: int = 16) -> np.n
     lanes = int(np.clip(lengths.sum() // max(1, lengths.max()), 1, min(384, len(texts))))
     x, y, of = _streams(texts, lanes)
     begins = np.vstack([np.ones((1, lanes), bool), of[1:] != of[:-1]])
-    starts, stays = begins.any(axis=1), (~begins).astype(np.float32)[:, :, None]
-    size = model.urz.shape[0]
-    out, h = np.zeros(len(texts)), np.zeros((lanes, size), np.float32)
+    starts, stays = begins.any(axis=1), (~begins).astype(np.float32)
+    size, room = model.urz.shape[0], Room()
+    out, h = np.zeros(len(texts)), np.zeros((size, lanes), np.float32)
     for at in range(0, len(x), window):
         end = min(at + window, len(x))
-        states = model.forward(x[at:end], h, [stays[t] if starts[t] else None for t in range(at, end)])[-1]
-        h, here = states[-1], of[at:end].ravel()
+        states = model.forward(x[at:end], h, [stays[t] if starts[t] else None for t in range(at, end)], room, keep=False)[-1]
+        h, here = states[-1].copy(), of[at:end].ravel()
         real = np.flatnonzero(here >= 0)
-        logs = model.log_probability(states.reshape(-1, size)[real], y[at:end].ravel()[real])
-        out += np.bincount(here[real], logs, len(texts))
+        of_real = np.take(_rows(states, room), real, axis=0, out=room("real", len(real), size), mode="clip")
+        out += np.bincount(here[real], model.log_probability(of_real, y[at:end].ravel()[real], room), len(texts))
     return out
 
 
