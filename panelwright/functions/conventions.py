@@ -82,18 +82,18 @@ def islands(df: DataFrame, flag: str, keys: list[str], order: str, name: str = "
     return df.withColumn(name, F.when(on, running))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], ties: list[str] = ()) -> DataFrame:
-    """For each left row the last right row of its keys at or before its time; ties go to the largest ``ties``.
+def asof(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], ties: list[str] = (), strict: bool = False) -> DataFrame:
+    """For each left row the last right row of its keys at or before its time (``strict``: before it); ties go to the largest ``ties``.
 
-    Both sides are put in one sequence for each key, right rows before left rows of the same time.
+    Both sides are put in one sequence for each key, right rows before left rows of the same time (``strict``: after them).
     """
-    shape = [*keys, *[c for c in left.columns if c not in keys]]
+    shape, mine, theirs = [*keys, *[c for c in left.columns if c not in keys]], int(not strict), int(strict)
     row = F.struct(F.col(right_time).alias("_matched"), *values)
-    l = left.select(*shape, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"_{t}") for t in ties])
-    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), *[F.col(t).alias(f"_{t}") for t in ties], row.alias("_row"))
+    l = left.select(*shape, F.col(left_time).alias("_t"), F.lit(mine).alias("_side"), *[F.lit(None).cast(right.schema[t].dataType).alias(f"_{t}") for t in ties])
+    r = right.select(*keys, F.col(right_time).alias("_t"), F.lit(theirs).alias("_side"), *[F.col(t).alias(f"_{t}") for t in ties], row.alias("_row"))
     both = l.unionByName(r, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy("_t", "_side", *[f"_{t}" for t in ties]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where("_side = 1")
+    both = both.withColumn("_row", F.last("_row", ignorenulls=True).over(w)).where(F.col("_side") == mine)
     return both.select(*shape, F.col("_row._matched").alias(f"matched_{right_time}"), *[F.col(f"_row.{v}").alias(v) for v in values])
 
 

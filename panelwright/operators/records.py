@@ -38,6 +38,22 @@ def repair_candidates(intervals: DataFrame, endpoints: dict[str, str]) -> DataFr
     return intervals.withColumns({"endpoint": F.coalesce(names[F.col("gap_type")], F.lit("manual")), "priority": priority})
 
 
+def repair_rollup(candidates: DataFrame, by: list[str]) -> DataFrame:
+    """Candidates of each group: how many, over how many days, the most urgent priority and its number."""
+    rows = candidates.groupBy(*by).agg(F.count("*").alias("n_intervals"), F.sum("n_days").alias("n_days"), F.min("priority").alias("first_priority"), F.count_if(F.col("priority") == 1).alias("n_urgent"))
+    return rows.select(*by, "n_intervals", "n_days", "first_priority", "n_urgent")
+
+
+def common_wide(rows: DataFrame, indicators: list[str]) -> DataFrame:
+    """A row for each security and day on which every indicator has a valid value, a column for each.
+
+    Days that lack one of them, or hold only invalid or null values of it, have no row; of repeated rows the largest value stands.
+    """
+    valid = F.when(F.col("validity_status") == "valid", F.col("value"))
+    wide = rows.groupBy(*KEYS).agg(*[F.max(F.when(F.col("indicator") == n, valid)).alias(n) for n in indicators])
+    return wide.dropna(subset=indicators)
+
+
 def turnover_fields(df: DataFrame) -> DataFrame:
     """Turnover on float and on free shares, both in per cent; null where the shares are not positive."""
     share = lambda c: F.when(F.col(c) > 0, ratio(F.col("volume_shares"), F.col(c)))

@@ -74,6 +74,7 @@ from expct e left join pday p using (security_id, trading_date) left join susp s
 )
 step("evid", "select security_id, trading_date, adj_factor, case when adj_factor is not null then 'resolved' when s.trading_date is not null then 'carry_forward' else 'missing' end as factor_status from expct left join fact using (security_id, trading_date) left join susp s using (security_id, trading_date)")
 step("gapt", "select security_id, trading_date, 'daily' as gap_type from srcst where daily_status = 'missing' union all select security_id, trading_date, 'limit' from srcst where limit_status = 'missing' union all select security_id, trading_date, 'factor' from evid where factor_status = 'missing'")
+step("gapiv", "select security_id, gap_type, cast(min(trading_date) as varchar) as begin, cast(max(trading_date) as varchar) as end, count(*) as n_days from (select *, a - row_number() over (partition by security_id, gap_type order by trading_date) as g from gapt join (select *, row_number() over (partition by security_id order by trading_date) as a from expct) x using (security_id, trading_date)) group by security_id, gap_type, g")
 
 _D = "cast(trading_date as varchar) as trading_date"
 
@@ -187,7 +188,7 @@ def oracle_sql() -> dict[str, str]:
         "dq11_pause_override": query(f"select security_id, {_D}, case when h then 'listing_pause' else trading_status end as trading_status, case when h then 'not_expected' else daily_status end as daily_status, h as overridden from (select *, security_id % 4 = 1 and trading_date between date '1996-03-01' and date '1996-03-20' as h from srcst)"),
         "dq12_factor_policy": query(f"select security_id, {_D}, round(coalesce(adj_factor, 1.0), 9) as effective_factor, case when adj_factor is null then 'neutral_factor' else 'source' end as policy from evid"),
         "dq13_gap_delta": query("select gap_type, count(*) as n_before, count(*) filter (gap_type <> 'factor') as n_after, count(*) filter (gap_type = 'factor') as n_closed from gapt group by 1"),
-        "dq14_gap_intervals": query("select security_id, gap_type, cast(min(trading_date) as varchar) as begin, cast(max(trading_date) as varchar) as end, count(*) as n_days from (select *, a - row_number() over (partition by security_id, gap_type order by trading_date) as g from gapt join (select *, row_number() over (partition by security_id order by trading_date) as a from expct) x using (security_id, trading_date)) group by security_id, gap_type, g"),
+        "dq14_gap_intervals": query("select * from gapiv"),
         "dq15_gap_profiles": query("select gap_types, count(*) as n_keys, count(distinct security_id) as n_entities from (select security_id, trading_date, string_agg(gap_type, '+' order by gap_type) as gap_types from gapt group by 1, 2) group by 1"),
         "dq16_missing_daily_cause": query(f"select security_id, {_D}, case when s.trading_date is not null then 'suspended' when datediff('day', list_date, trading_date) < 5 then 'new_listing' else 'vendor_gap' end as cause from gapt left join susp s using (security_id, trading_date) left join univ using (security_id) where gap_type = 'daily'"),
         "dq17_nearest_factors": query(f"""select g.security_id, cast(g.trading_date as varchar) as trading_date, cast(p.trading_date as varchar) as previous_date, cast(n.trading_date as varchar) as next_date, datediff('day', p.trading_date, g.trading_date) as days_since, datediff('day', g.trading_date, n.trading_date) as days_until

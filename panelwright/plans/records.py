@@ -14,7 +14,7 @@ from panelwright.operators import states as ST
 from panelwright.operators import statistics as A
 from panelwright.operators import zones as Z
 from panelwright.plans import quality as PQ
-from panelwright.plans.metrics import prices, score_step, steady
+from panelwright.plans.metrics import DIMENSIONS, long_metrics, prices, score_step, steady
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import DIMS, dim_scores, low_range, spine, spine_confirmed, streak_steps, text_dates
 from panelwright.plans.statistics import KS_LAG, rounded, two_states
@@ -356,8 +356,31 @@ def _status_long(spark, d: str) -> DataFrame:
     return rounded(R.availability(s.select("security_id", "validity_status", F.array("validity_status").alias("reason_codes")), "security_id"))
 
 
+#: Where the rows of a gap can be fetched again, and the SQL of the same candidates.
+ENDPOINTS = {"daily": "daily_prices", "limit": "price_limits"}
+step(
+    "repairs",
+    """select *, case gap_type when 'daily' then 'daily_prices' when 'limit' then 'price_limits' else 'manual' end as endpoint,
+  case when n_days > 20 then 1 when n_days > 5 then 2 else 3 end as priority from gapiv""",
+)
+INDICATORS = [n for names in DIMENSIONS.values() for n in names]
+step("valid_metrics", " union all ".join(f"select security_id, trading_date, '{n}' as indicator, round(value + 1e-13, 10) as value from rm_{n} where validity_status = 'valid' and value is not null" for n in INDICATORS))
+
+
+def _repairs(spark, d: str) -> DataFrame:
+    return R.repair_candidates(PQ.Q.gap_intervals(PQ.gaps(spark, d), PQ.expected(spark, d)), ENDPOINTS)
+
+
+def _common_wide(spark, d: str) -> DataFrame:
+    wide = R.common_wide(long_metrics(spark, d), INDICATORS)
+    return text_dates(wide.select("security_id", "trading_date", *[F.round(n, 6).alias(n) for n in INDICATORS]))
+
+
 def queries() -> dict:
     return {
+        "dq19_repair_candidates": lambda s, d: text_dates(_repairs(s, d)),
+        "dq19_repair_rollup": lambda s, d: R.repair_rollup(_repairs(s, d), ["security_id", "endpoint"]),
+        "as26_common_wide": _common_wide,
         "src05_raw_candidate": _raw_candidate,
         "dq03_member_alignment": _members,
         "dq18_missing_limit_cause": lambda s, d: text_dates(R.diagnose_limits(PQ.gaps(s, d), PQ.suspended(s, d), prices(s, d))),
@@ -436,6 +459,9 @@ round(n11 / nullif(n11 + n10, 0) - n01 / nullif(n01 + n00, 0), 6) as delta_vs_no
         steps.append(f"select '{''.join(DIMS[:i])}->{DIMS[i]}' as step, count(*) filter ({known}) as n_step, count(*) filter ({whole}) as n_all, count(*) filter ({known} and {anchor}) as n_anchor, count(*) filter ({known} and {anchor} and active_{DIMS[i]}) as n_target, count(*) filter ({known} and active_{DIMS[i]}) as n_base from flags")
     avail = ", ".join(f"count(*) filter (validity_status = '{x}') as n_{x}" for x in ("valid", "unknown", "diagnostic_required", "blocked"))
     return {
+        "dq19_repair_candidates": query("select * from repairs"),
+        "dq19_repair_rollup": query("select security_id, endpoint, count(*) as n_intervals, sum(n_days)::bigint as n_days, min(priority) as first_priority, count(*) filter (priority = 1) as n_urgent from repairs group by 1, 2"),
+        "as26_common_wide": query("select security_id, cast(trading_date as varchar) as trading_date, " + ", ".join(f"round({n}, 6) as {n}" for n in INDICATORS) + " from (select security_id, trading_date, " + ", ".join(f"max(value) filter (indicator = '{n}') as {n}" for n in INDICATORS) + f" from valid_metrics group by 1, 2 having count(distinct indicator) = {len(INDICATORS)})"),
         "src05_raw_candidate": query("select coalesce(s_name, 'unmapped') as security_id, 'raw' as price_basis, cast(min(l_shipdate::date) as varchar) as first_day, count(*) as n_rows, round(sum(l_extendedprice), 6) as amount from lineitem left join (select * from supplier where s_suppkey % 10 <> 9) on l_suppkey = s_suppkey group by 1"),
         "dq03_member_alignment": query("select *, s_suppkey || '|' || s_nationkey || '|index|static' as alignment_key, count(*) over (partition by s_suppkey, s_nationkey) = 1 as unique_key from mem_keys"),
         "dq18_missing_limit_cause": query(f"select security_id, {_D}, case when s.trading_date is not null then 'suspended' when p.trading_date is null then 'daily_missing_too' else 'limit_source_missing' end as cause from (select * from gapt where gap_type = 'limit') g left join (select distinct security_id, trading_date from susp) s using (security_id, trading_date) left join pday p using (security_id, trading_date)"),

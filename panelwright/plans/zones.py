@@ -110,9 +110,9 @@ def _members(spark, d: str) -> DataFrame:
 def _orders_asof(spark, d: str) -> DataFrame:
     """Each order with the customer's order before it, or of the same day with a smaller key."""
     o = scan(spark, f"{d}/orders.parquet").select(F.col("o_custkey").alias("cust"), F.to_date("o_orderdate").alias("day"), "o_orderkey", "o_totalprice")
-    left = o.where("o_orderkey % 3 = 0").select("cust", "day", "o_orderkey")
-    right = o.where("o_orderkey % 3 <> 0").select("cust", F.col("day").alias("seen"), F.col("o_orderkey").alias("other_key"), "o_totalprice")
-    return text_dates(asof(left, right, ["cust"], "day", "seen", ["other_key", "o_totalprice"], ties=["other_key"]))
+    o = o.withColumn("place", F.struct("day", "o_orderkey"))
+    found = asof(o.drop("o_totalprice"), o.select("cust", F.col("place").alias("seen"), "o_totalprice"), ["cust"], "place", "seen", ["o_totalprice"], strict=True)
+    return text_dates(found.select("cust", "day", "o_orderkey", F.col("matched_seen.day").alias("matched_seen"), F.col("matched_seen.o_orderkey").alias("other_key"), "o_totalprice"))
 
 
 def queries() -> dict:
@@ -151,8 +151,6 @@ def oracle_sql() -> dict[str, str]:
         "ez18_event_ids": query("select security_id, zone, sha256(security_id || '|' || start_date) as event_id from za_zone"),
         "ez20_asof_daily": query(f"select d.security_id, cast(d.trading_date as varchar) as trading_date, cast(m.trading_date as varchar) as matched_trading_date, zone, role, coalesce(m.trading_date = d.trading_date, false) as in_zone from za_day d asof left join za_mem m on d.security_id = m.security_id and d.trading_date >= m.trading_date"),
         "ez20_asof_orders": query("""
-select l.cust, cast(l.day as varchar) as day, l.o_orderkey, cast(r.seen as varchar) as matched_seen, r.other_key, round(r.o_totalprice, 9) as o_totalprice
-from (select o_custkey as cust, o_orderdate::date as day, o_orderkey from orders where o_orderkey % 3 = 0) l
-asof left join (select o_custkey as cust, o_orderdate::date as seen, max(o_orderkey) as other_key, arg_max(o_totalprice, o_orderkey) as o_totalprice from orders where o_orderkey % 3 <> 0 group by 1, 2) r
-on l.cust = r.cust and l.day >= r.seen"""),
+select o_custkey as cust, cast(o_orderdate::date as varchar) as day, o_orderkey, cast(lag(o_orderdate::date) over w as varchar) as matched_seen, lag(o_orderkey) over w as other_key, round(lag(o_totalprice) over w, 9) as o_totalprice
+from orders window w as (partition by o_custkey order by o_orderdate::date, o_orderkey)"""),
     }

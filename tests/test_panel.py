@@ -15,7 +15,7 @@ from panelwright.streaming.confirm import replay
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-COMPARED = ["confirmed_intervals", "rm01_natr14", "cf03_intervals", "dq14_gap_intervals", "dq17_nearest_factors", "ez05_event_zones_wide", "ez20_asof_orders", "as18_lag_profile", "pr09_overlap", "rc01_multiset_diff", "rs09_gates"]
+COMPARED = ["confirmed_intervals", "rm01_natr14", "cf03_intervals", "dq14_gap_intervals", "dq17_nearest_factors", "ez05_event_zones_wide", "ez20_asof_orders", "as18_lag_profile", "pr09_overlap", "rc01_multiset_diff", "rs09_gates", "dq19_repair_candidates", "dq19_repair_rollup", "as26_common_wide"]
 
 
 def cell(v):
