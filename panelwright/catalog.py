@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import metrics, quality, records, requests, states, statistics, streams, studies, zones
+from panelwright.plans import metrics, nulls, quality, records, requests, states, statistics, streams, studies, zones
 
-MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies, records)
+MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies, records, nulls)
 
 
 def queries() -> dict:

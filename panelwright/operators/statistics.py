@@ -226,28 +226,24 @@ def blocks(df: DataFrame, gap_days: int = 7) -> DataFrame:
     return df.withColumns({"pos": F.row_number().over(b.orderBy("trading_date")) - 1, "len": F.count("*").over(b)})
 
 
+def block_offset(seed: int, length: str, *keys: Column | str) -> Column:
+    """Offset in [1, length - 1] of a block, from the MD5 of (seed, keys, entity, block); 0 in a block of one row."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys], F.col("security_id").cast("string"), F.col("block").cast("string"))
+    drawn = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return F.when(F.col(length) > 1, 1 + F.pmod(drawn, F.col(length) - 1)).otherwise(F.lit(0)).cast("int")
+
+
 def shifted(placed: DataFrame, state: str, replicates: int, seed: int) -> DataFrame:
     """Rows of every replicate with the state of its block turned round by an offset in [1, len - 1].
 
-    Offsets are hashes of (seed, replicate, block), so they don't depend on partitioning; a block of one row stays.
+    Offsets are hashes of (seed, replicate, entity, block), so they don't depend on partitioning; a block of one row stays.
     """
     rows = placed.select("security_id", "block", "pos", "len", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    offset = F.when(F.col("len") > 1, 1 + F.pmod(F.xxhash64(F.lit(seed), "replicate", "security_id", "block"), F.col("len") - 1)).otherwise(F.lit(0))
-    rows = rows.withColumn("from", F.pmod(F.col("pos") - offset, F.col("len")))
+    rows = rows.withColumn("from", F.pmod(F.col("pos") - block_offset(seed, "len", "replicate"), F.col("len")))
     source = placed.select("security_id", "block", F.col("pos").alias("from"), F.col(state).alias("shifted"))
     return rows.join(source, ["security_id", "block", "from"])
 
 
-def null_summary(replicates: DataFrame, observed: float, value: str) -> DataFrame:
-    """Empirical p-values (extreme + 1) / (replicates + 1), and the null's mean, deviation and quantiles."""
-    n, x = F.count("*"), F.col(value)
-    centre = F.avg(value)
-    return replicates.agg(
-        n.alias("n"), ((F.count_if(x >= observed) + 1) / (n + 1)).alias("p_upper"), ((F.count_if(x <= observed) + 1) / (n + 1)).alias("p_lower"),
-        centre.alias("null_mean"), F.stddev_samp(value).alias("null_std"), F.percentile(value, 0.5).alias("null_median"), ratio(observed - centre, F.stddev_samp(value)).alias("z"),
-    )
-
-
 def cluster_bootstrap(counts: DataFrame, cluster: str, a: str, b: str, replicates: int, seed: int) -> DataFrame:
     """Ratio of sums over resampled clusters; weights are Poisson draws by hash, so the outcome is reproducible."""
     rows = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))

@@ -77,15 +77,6 @@ def _blocks(spark, d: str) -> DataFrame:
     return A.blocks(prices(spark, d).select("security_id", "trading_date", "suspension_flag"), 3)
 
 
-def _null(spark, d: str) -> DataFrame:
-    """Overlap of two states when the second is turned round inside its blocks, 50 times."""
-    placed = A.blocks(two_states(spark, d), 7)
-    turned = A.shifted(placed, "busy", 50, 11).join(placed.select("security_id", "block", "pos", "raw_state"), ["security_id", "block", "pos"])
-    reps = turned.groupBy("replicate").agg(F.count_if(F.col("raw_state") & F.col("shifted")).cast("double").alias("n11"))
-    observed = placed.agg(F.count_if(F.col("raw_state") & F.col("busy"))).first()[0]
-    return A.null_summary(reps, float(observed), "n11")
-
-
 def _bootstrap(spark, d: str) -> DataFrame:
     counts = two_states(spark, d).groupBy("security_id").agg(F.count_if(F.col("raw_state") & F.col("busy")).alias("a"), F.count_if("raw_state").alias("b"))
     reps = A.cluster_bootstrap(counts, "security_id", "a", "b", 200, 5)
@@ -160,7 +151,6 @@ def queries() -> dict:
         "rs07_pareto": _pareto,
         "rs09_gates": _gates,
         "nm01_blocks": lambda s, d: rounded(_blocks(s, d).drop("suspension_flag")),
-        "nm08_null_summary": _null,
         "rc01_multiset_diff": _multiset,
         "rc02_keyed_diff": _diff,
         "rc03_fingerprint": lambda s, d: R.fingerprint(scan(s, f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey"), "c_nationkey"),
