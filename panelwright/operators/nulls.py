@@ -93,9 +93,14 @@ def confirmed_metrics(days: DataFrame, k: int, eligible: DataFrame, n: int, test
 
 
 def with_observed(long: DataFrame) -> DataFrame:
-    """(test, statistic, replicate, value) -> replicates from 1 on, each with the value of replicate 0 as ``observed``."""
-    seen = long.where("replicate = 0").select("test", "statistic", F.col("value").alias("observed"))  # a row for each test and statistic
-    return long.where("replicate > 0").join(seen, ["test", "statistic"])
+    """(test, statistic, replicate, value) -> replicates from 1 on with the value of replicate 0 as ``observed`` and the null's mean and deviation.
+
+    Rows with a null value take no part. A window holds the replicates of one test and statistic.
+    """
+    w = Window.partitionBy("test", "statistic")
+    null = F.when(F.col("replicate") > 0, F.col("value"))
+    rows = long.withColumns({"observed": F.max(F.when(F.col("replicate") == 0, F.col("value"))).over(w), "null_mean": F.avg(null).over(w), "null_sd": F.stddev_samp(null).over(w)})
+    return rows.where("replicate > 0 and value is not null and observed is not null")
 
 
 def null_summary(long: DataFrame, lower: list[str] = ()) -> DataFrame:
@@ -104,12 +109,10 @@ def null_summary(long: DataFrame, lower: list[str] = ()) -> DataFrame:
     The tail is the upper one but for statistics in ``lower``; a null value of a replicate takes no part.
     """
     v, o = F.col("value"), F.col("observed")
-    rows = with_observed(long).where("value is not null and observed is not null")
-    centre = rows.groupBy("test", "statistic").agg(F.avg("value").alias("null_mean"))
-    rows = rows.join(F.broadcast(centre), ["test", "statistic"])  # a row for each test and statistic
+    rows = with_observed(long)
     low = F.col("statistic").isin(list(lower)) if lower else F.lit(False)
     out = rows.groupBy("test", "statistic").agg(
-        F.count("*").alias("n"), F.max("observed").alias("observed"), F.max("null_mean").alias("null_mean"), F.stddev_samp("value").alias("null_sd"),
+        F.count("*").alias("n"), F.max("observed").alias("observed"), F.max("null_mean").alias("null_mean"), F.max("null_sd").alias("null_sd"),
         *[F.percentile("value", q).alias(c) for q, c in ((0.5, "null_median"), (0.025, "null_low"), (0.975, "null_high"))],
         F.count_if(F.when(low, v <= o).otherwise(v >= o)).alias("n_extreme"), F.count_if(F.abs(v - F.col("null_mean")) + 1e-12 >= F.abs(o - F.col("null_mean"))).alias("n_two_sided"),
     )
@@ -125,12 +128,11 @@ def family_adjust(long: DataFrame, families: dict[str, str]) -> DataFrame:
     ``families`` maps a test to its family. Candidates whose null doesn't vary have no z and no adjusted p.
     """
     names = F.create_map(*[F.lit(x) for pair in families.items() for x in pair])
-    rows = with_observed(long).where("value is not null and observed is not null").withColumn("family", names[F.col("test")])
-    keys = ["family", "test", "statistic"]
-    shape = rows.groupBy(*keys).agg(F.avg("value").alias("null_mean"), F.stddev_samp("value").alias("null_sd"), F.max("observed").alias("observed"))
-    shape = shape.withColumn("z", ratio(F.col("observed") - F.col("null_mean"), F.col("null_sd")))
-    own = rows.join(F.broadcast(shape.drop("observed")), keys).withColumn("z_rep", ratio(F.col("value") - F.col("null_mean"), F.col("null_sd")))
-    tops = own.groupBy("family", "replicate").agg(F.max("z_rep").alias("top"))
-    beaten = shape.join(tops, "family").groupBy(*keys).agg(F.count("top").alias("n"), F.count_if(F.col("top") + 1e-12 >= F.col("z")).alias("n_family_extreme"))
-    out = shape.join(beaten, keys)
+    rows = with_observed(long).withColumn("family", names[F.col("test")])
+    rows = rows.withColumns({"z": ratio(F.col("observed") - F.col("null_mean"), F.col("null_sd")), "z_rep": ratio(F.col("value") - F.col("null_mean"), F.col("null_sd"))})
+    tops = rows.groupBy("family", "replicate").agg(F.max("z_rep").alias("top"), F.collect_list(F.struct("test", "statistic", "null_mean", "null_sd", "observed", "z")).alias("own"))
+    each = tops.select("family", "top", F.explode("own").alias("x")).select("family", "top", "x.*")  # the candidates of a family meet in each replicate
+    out = each.groupBy("family", "test", "statistic").agg(
+        *[F.max(c).alias(c) for c in ("null_mean", "null_sd", "observed", "z")], F.count("top").alias("n"), F.count_if(F.col("top") + 1e-12 >= F.col("z")).alias("n_family_extreme"),
+    )
     return out.withColumn("family_adjusted_p", F.when(F.col("z").isNotNull(), (F.col("n_family_extreme") + 1) / (F.col("n") + 1)))
