@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import ratio, reason_list
@@ -34,17 +34,26 @@ def vector_days(scores: DataFrame, registry: DataFrame, layers: list[str], delta
     return out.select(*keys, *registry.columns, *layers, *[f"s{k + 1}" for k in range(len(layers))])
 
 
-def affected(layers: list[str]) -> Column:
-    """The first state that a vector's changed layer takes part in (the baseline: the first)."""
-    out = F.col("s1")
+def yearly_counts(days: DataFrame, layers: list[str]) -> DataFrame:
+    """Known and true days of every state by vector and year: a few rows a vector, from one pass over the days."""
+    keys = ["vector_id", "changed_layer", "changed_q", "role"]
+    states = [f"s{k + 1}" for k in range(len(layers))]
+    cells = [F.struct(F.lit(s).alias("state"), F.count(s).alias("n_known"), F.count_if(F.col(s)).alias("n_true")) for s in states]
+    out = days.groupBy(*keys, F.year("trading_date").alias("period")).agg(F.array(*cells).alias("cells"))
+    return out.select(*keys, "period", F.explode("cells").alias("c")).select(*keys, "period", "c.*")
+
+
+def affected(yearly: DataFrame, layers: list[str]) -> DataFrame:
+    """Only the first state that a vector's changed layer takes part in (the baseline: the first of all)."""
+    state = F.lit("s1")
     for k, c in enumerate(layers):
-        out = F.when(F.col("changed_layer") == c, F.col(f"s{k + 1}")).otherwise(out)
-    return out
+        state = F.when(F.col("changed_layer") == c, f"s{k + 1}").otherwise(state)
+    return yearly.where(F.col("state") == state)
 
 
-def coverage(days: DataFrame, by: list[str], state: Column) -> DataFrame:
-    rows = days.withColumn("_s", state)
-    return rows.groupBy(*by).agg(F.count("_s").alias("n_known"), F.count_if("_s").alias("n_true")).withColumn("coverage", ratio(F.col("n_true"), F.col("n_known")))
+def coverage(yearly: DataFrame, by: list[str]) -> DataFrame:
+    rows = yearly.groupBy(*by).agg(F.sum("n_known").alias("n_known"), F.sum("n_true").alias("n_true"))
+    return rows.withColumn("coverage", ratio(F.col("n_true"), F.col("n_known")))
 
 
 def envelopes(yearly: DataFrame, fallback: float) -> DataFrame:

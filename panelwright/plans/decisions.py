@@ -27,34 +27,33 @@ def days(spark, d: str) -> DataFrame:
     return D.vector_days(dim_scores(spark, d), D.q_registry(spark, DIMS, QS, BASE), DIMS)
 
 
-def profile(rows: DataFrame) -> DataFrame:
+def yearly(spark, d: str) -> DataFrame:
+    """Kept, as profile, envelopes and shares read it again (some rows a vector and year)."""
+    return D.yearly_counts(days(spark, d), DIMS).persist()
+
+
+def profile(y: DataFrame) -> DataFrame:
     """Coverage of the state that the changed layer takes part in first."""
-    state = F.get(F.array(*[F.lit(s) for s in STATES]), F.array_position(F.array(*map(F.lit, DIMS)), F.col("changed_layer")).cast("int") - 1)
-    out = D.coverage(rows, ["vector_id", "changed_layer", "changed_q", "role"], D.affected(DIMS))
-    return out.withColumn("state", F.coalesce(state, F.lit("s1")))
+    return D.coverage(D.affected(y, DIMS), ["vector_id", "changed_layer", "changed_q", "role", "state"])
 
 
-def bounds(rows: DataFrame) -> DataFrame:
-    base = rows.where("role = 'baseline'")
-    yearly = base.unpivot([F.year("trading_date").alias("period")], STATES, "state", "v").groupBy("state", "period").agg(F.count("v").alias("n_known"), F.count_if("v").alias("n_true"))
-    return D.envelopes(yearly, FALLBACK)
+def bounds(y: DataFrame) -> DataFrame:
+    return D.envelopes(y.where("role = 'baseline'").select("state", "period", "n_known", "n_true"), FALLBACK)
 
 
-def found(spark, d: str) -> DataFrame:
-    rows = days(spark, d)
-    return D.evidence(profile(rows), bounds(rows))
+def found(y: DataFrame) -> DataFrame:
+    return D.evidence(profile(y), bounds(y))
 
 
 def _decisions(spark, d: str) -> DataFrame:
-    rows = days(spark, d)
-    yearly = D.coverage(rows, ["vector_id", F.year("trading_date").alias("period")], D.affected(DIMS))
-    share = yearly.groupBy("vector_id").agg(ratio(F.max("n_true"), F.sum("n_true")).alias("top_year_share"))
-    out = D.decisions(D.evidence(profile(rows), bounds(rows)), FLOOR, YEAR_SHARE, share)
+    y = yearly(spark, d)
+    share = D.affected(y, DIMS).groupBy("vector_id").agg(ratio(F.max("n_true"), F.sum("n_true")).alias("top_year_share"))
+    out = D.decisions(found(y), FLOOR, YEAR_SHARE, share)
     return rounded(out.select("vector_id", "changed_layer", "n_true", "top_year_share", "change", "envelope", "supported", "decision"))
 
 
 def handed(spark, d: str) -> DataFrame:
-    return D.handoff(D.requests(found(spark, d), FLOOR), FLOOR)
+    return D.handoff(D.requests(found(yearly(spark, d)), FLOOR), FLOOR)
 
 
 def _vector_intervals(spark, d: str) -> DataFrame:
@@ -216,14 +215,14 @@ def queries() -> dict:
         "as35_denominators": _denominators,
         "pr14_invariants": _invariants,
         "dy12_endpoint_scores": _endpoints,
-        "rs01_vector_profile": lambda s, d: rounded(profile(days(s, d))),
-        "rs05_layer_impact": lambda s, d: rounded(D.layer_impact(profile(days(s, d)))),
-        "rs06_envelopes": lambda s, d: rounded(bounds(days(s, d))),
-        "rs08_requests": lambda s, d: D.requests(found(s, d), FLOOR).select(*_VEC, "n_true", "request_role"),
-        "rs10_recommendation": lambda s, d: rounded(D.recommend(found(s, d), FLOOR, BASE)),
+        "rs01_vector_profile": lambda s, d: rounded(profile(yearly(s, d))),
+        "rs05_layer_impact": lambda s, d: rounded(D.layer_impact(profile(yearly(s, d)))),
+        "rs06_envelopes": lambda s, d: rounded(bounds(yearly(s, d))),
+        "rs08_requests": lambda s, d: D.requests(found(yearly(s, d)), FLOOR).select(*_VEC, "n_true", "request_role"),
+        "rs10_recommendation": lambda s, d: rounded(D.recommend(found(yearly(s, d)), FLOOR, BASE)),
         "rs11_handoff": lambda s, d: handed(s, d).select(*_VEC, "request_role", "failed_gates", "handoff"),
         "rs12_shortlist": lambda s, d: rounded(D.shortlist(handed(s, d)).select(*_VEC, "handoff", "place", "disposition")),
-        "rs13_dominance": lambda s, d: rounded(found(s, d).select(*_VEC, "change", "envelope", "improves", "degrades", "supported", "dominance")),
+        "rs13_dominance": lambda s, d: rounded(found(yearly(s, d)).select(*_VEC, "change", "envelope", "improves", "degrades", "supported", "dominance")),
         "rs14_decisions": _decisions,
     }
 
