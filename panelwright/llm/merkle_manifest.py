@@ -297,7 +297,7 @@ def op12_sql(levels: int = 6) -> str:
     leaf = "sha256(" + " || ".join(f"coalesce(octet_length(encode(cast({c} as varchar))) || ':' || cast({c} as varchar), '-')" for c in FIELDS) + ")"
     low = leaf.replace("cast(text as varchar)", f"translate(text, '{UPPER}', '{UPPER.lower()}')")
     one = "list_reduce(list_prepend(b, list_transform(range(8), lambda x: 0::bigint)), lambda a, x: xor(a >> 1, case when a & 1 = 1 then 3988292384 else 0 end))"
-    crc = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda x: ascii(x)::bigint)), lambda a, x: xor(a >> 8, tab[xor(a, x) & 255 + 1])))"
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda x: ascii(x)::bigint)), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])))"
     return f"""
 with c as (select list({one} order by b) tab from (select unnest(range(256)) b)),
 d as (select row_number() over () id, coalesce('=' || lang, '-') g, doc_id, {leaf} leaf, case when {crc} % 3 = 0 then {low} else {leaf} end cur from documents, c),
