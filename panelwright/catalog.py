@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import decisions, metrics, nulls, quality, records, requests, states, statistics, streams, studies, zones
+from panelwright.plans import decisions, exits, metrics, nulls, quality, records, requests, states, statistics, streams, studies, zones
 
-MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies, records, nulls, decisions)
+MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies, records, nulls, decisions, exits)
 
 
 def queries() -> dict:
