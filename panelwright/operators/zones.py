@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.conventions import asof
+from panelwright.functions.conventions import asof, ratio
 from panelwright.operators.states import streaks
+from panelwright.sources.scratch import written
 
 TIME = "trading_date"
 
@@ -137,22 +138,92 @@ def strict_core(primary: DataFrame, strict: DataFrame, keys: list[str]) -> DataF
     )
 
 
-def greedy_matches(a: DataFrame, b: DataFrame, key: str):
-    """One-to-one matches of overlapping zones, in order of start dates, for each entity (a few zones each)."""
-    pairs = a.select(key, F.col("zone").alias("zone_a"), F.col("start_date").alias("sa"), F.col("end_date").alias("ea")).join(
-        b.select(key, F.col("zone").alias("zone_b"), F.col("start_date").alias("sb"), F.col("end_date").alias("eb")), key
-    ).where("sa <= eb and sb <= ea")
+def zone_scan(dense: DataFrame, routes: list[tuple[str, str, int]], ds: list[int], gs: list[int], key: str = "security_id") -> DataFrame:
+    """Zones of every cell (route, d, g), from one exchange and one sort of the panel.
 
-    def match(rows):
-        used_a, used_b, keep = set(), set(), []
-        for i, r in rows.sort_values(["sa", "sb", "zone_a", "zone_b"]).iterrows():
-            if r["zone_a"] not in used_a and r["zone_b"] not in used_b:
-                used_a.add(r["zone_a"])
-                used_b.add(r["zone_b"])
-                keep.append(i)
-        return rows.loc[keep]
+    A route is a name, a state column of ``dense`` and a confirmation length. Rows are dealt by entity once; each route
+    is a column of the same rows there. A confirmed run and what lies after it up to the next share one
+    number, so a component and the gap behind it are one group. The d-th confirmed day is the one with
+    streak k + d - 1, and the false rows of a gap are numbered by a running sum less its value at the gap's begin; d and g
+    only choose among what the group holds, for components alone, and need no look at the days again.
+    """
+    cells = F.array(*[F.struct(F.lit(n).alias("route"), F.lit(k).alias("k"), F.col(c).alias("raw_state")) for n, c, k in routes])
+    rows = dense.repartition(key).select(key, TIME, "observation_sequence", "validity_status", F.explode(cells).alias("c")).select(key, TIME, "observation_sequence", "validity_status", "c.*")
+    w = Window.partitionBy(key, "route").orderBy(TIME)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    broken = F.coalesce(F.col("validity_status") != "valid", F.lit(True)) | F.col("raw_state").isNull()
+    rows = rows.withColumn("_break", broken).withColumn("_on", ~F.col("_break") & F.col("raw_state"))
+    rows = rows.withColumns({"_next": F.lead(TIME).over(w), "_broken": F.lead("_break").over(w), "_off": F.max(F.when(~F.col("_on"), F.col("observation_sequence"))).over(upto), "_first": F.min("observation_sequence").over(upto)})
+    streak = F.when(F.col("_on"), F.col("observation_sequence") - F.coalesce("_off", F.col("_first") - 1))
+    rows = rows.withColumn("streak", streak).withColumn("confirmed", F.coalesce(F.col("streak") >= F.col("k"), F.lit(False)))
+    false = ~F.col("_break") & ~F.col("raw_state")
+    rows = rows.withColumns({"_run": F.sum((F.col("streak") == F.col("k")).cast("int")).over(upto), "_falses": F.sum(false.cast("int")).over(upto), "_false": false})
+    rows = rows.withColumn("_nth", F.col("_falses") - F.last(F.when(F.col("confirmed"), F.col("_falses")), ignorenulls=True).over(upto)).where("_run > 0")
+    on = F.col("confirmed")
+    comps = rows.groupBy(key, "route", "_run").agg(
+        F.min(F.when(on, F.col("observation_sequence"))).alias("first_seq"), F.min(F.when(on, F.col(TIME))).alias("start_date"), F.max(F.when(on, F.col(TIME))).alias("end_date"), F.count_if(on).alias("n_confirmed"),
+        F.max(F.when(on, F.struct(TIME, "_next", "_broken"))).alias("_last"), F.count_if(F.col("_false")).alias("n_false"), F.count_if(~on & F.col("_break")).alias("n_breaks"), F.min(F.when(~on & F.col("_break"), F.col(TIME))).alias("break_date"),
+        *[F.min(F.when(on & (F.col("streak") == F.col("k") + d - 1), F.col(TIME))).alias(f"_q{d}") for d in ds],
+        *[F.min(F.when(F.col("_false") & (F.col("_nth") == g + 1), F.col(TIME))).alias(f"_e{g}") for g in gs],
+    )
+    reason = F.when(F.col("_last._next").isNull(), "sample_end").when(F.col("_last._broken"), "quality").otherwise("natural")
+    grid = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(g).alias("g"), F.col(f"_q{d}").alias("qualification_date"), F.col(f"_e{g}").alias("exceeded_date")) for d in ds for g in gs])
+    comps = comps.withColumns({"end_reason": reason, "_cell": F.explode(grid)})
+    comps = comps.select(key, "route", "_cell.*", "first_seq", "start_date", "end_date", "n_confirmed", "n_false", "n_breaks", "break_date", "end_reason").withColumn("qualified", F.col("qualification_date").isNotNull())
+    keys = [key, "route", "d", "g"]
+    order = Window.partitionBy(*keys).orderBy("first_seq")
+    joined = F.coalesce(F.lag("qualified").over(order) & (F.lag("n_breaks").over(order) == 0) & F.lag("n_false").over(order).between(F.lit(1), F.col("g")), F.lit(False))
+    comps = comps.withColumns({"bridged": F.col("qualified") & joined, "next_qualified": F.lead("qualified").over(order), "next_end_reason": F.lead("end_reason").over(order)})
+    begins = (F.col("qualified") & ~F.col("bridged")).cast("int")
+    return zones(comps.withColumn("zone", F.when(F.col("qualified"), F.sum(begins).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))), keys)
+
+
+def overlapping_pairs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Zones of ``a`` and ``b`` of one entity that share a day. They meet by month, so no entity's zones are all set against each other."""
 
-    return pairs.groupBy(key).applyInPandas(match, pairs.schema)
+    def spread(df: DataFrame, side: str) -> DataFrame:
+        months = F.sequence(F.year("start_date") * 12 + F.month("start_date"), F.year("end_date") * 12 + F.month("end_date"))
+        return df.select(key, F.col("zone").alias(f"zone_{side}"), F.col("start_date").alias(f"s{side}"), F.col("end_date").alias(f"e{side}"), F.explode(months).alias("_m"))
+
+    return spread(a, "a").join(spread(b, "b"), [key, "_m"]).where("sa <= eb and sb <= ea").drop("_m").distinct()
+
+
+def mutual_matches(pairs: DataFrame, key: str, order: list[str], left: str, right: str) -> DataFrame:
+    """One-to-one choice of pairs, greedy in the order given, by rounds of mutual first choice.
+
+    In a round every pair goes that is the first of both its ends; then pairs whose end is taken fall away.
+    The first pair left is always such a pair, so the rounds end, and what they choose is what one pass in
+    order would. ``order`` must tell pairs of a key apart. A round costs two windows over the pairs that are left.
+    """
+    left_over, chosen = written(pairs, "pairs"), None
+    while left_over.head(1):
+        place = [F.col(c) for c in order]
+        ranked = left_over.withColumns({"_l": F.row_number().over(Window.partitionBy(key, left).orderBy(*place)), "_r": F.row_number().over(Window.partitionBy(key, right).orderBy(*place))})
+        taken = written(ranked.where("_l = 1 and _r = 1").drop("_l", "_r"), "taken")
+        chosen = taken if chosen is None else chosen.unionByName(taken)
+        left_over = left_over.join(taken.select(key, left), [key, left], "left_anti").join(taken.select(key, right), [key, right], "left_anti")
+        left_over = written(left_over, "pairs")
+    return chosen if chosen is not None else pairs
+
+
+def greedy_matches(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """One-to-one matches of overlapping zones, in order of start dates, for each entity."""
+    pairs = overlapping_pairs(a, b, key)
+    return mutual_matches(pairs, key, ["sa", "sb", "zone_a", "zone_b"], "zone_a", "zone_b").select(key, "zone_a", "sa", "ea", "zone_b", "sb", "eb")
+
+
+def window_comparison(a: DataFrame, b: DataFrame, days_a: DataFrame, days_b: DataFrame, key: str) -> DataFrame:
+    """Two sets of zones set against each other, by entity: shared days and their Jaccard index, zones that overlap any, and matches."""
+    day = days_a.select(key, TIME).distinct().withColumn("_a", F.lit(True)).join(days_b.select(key, TIME).distinct().withColumn("_b", F.lit(True)), [key, TIME], "full")
+    days = day.groupBy(key).agg(F.count("_a").alias("days_a"), F.count("_b").alias("days_b"), F.count_if(F.col("_a") & F.col("_b")).alias("shared_days"), F.count("*").alias("_union"))
+    days = days.withColumn("day_jaccard", ratio(F.col("shared_days"), F.col("_union"))).drop("_union")
+    pairs = written(overlapping_pairs(a, b, key), "overlaps")
+    over = pairs.groupBy(key).agg(F.count_distinct("zone_a").alias("overlapping_a"), F.count_distinct("zone_b").alias("overlapping_b"), F.count("*").alias("n_pairs"))
+    found = mutual_matches(pairs, key, ["sa", "sb", "zone_a", "zone_b"], "zone_a", "zone_b").groupBy(key).agg(F.count("*").alias("n_matched"))
+    out = days
+    for part in (a.groupBy(key).agg(F.count("*").alias("zones_a")), b.groupBy(key).agg(F.count("*").alias("zones_b")), over, found):
+        out = out.join(part, key, "left")
+    return out.fillna(0, ["zones_a", "zones_b", "overlapping_a", "overlapping_b", "n_pairs", "n_matched"])
 
 
 def asof_daily(daily: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
