@@ -29,11 +29,12 @@ def past_ranks(values: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
 
 
 def _ranks_udf(window: int):
-    @pandas_udf("array<struct<n:int,twice:int,first:int,last:int>>")
+    """Array of doubles -> one array of integers, the four results of ``past_ranks`` after each other."""
+
+    @pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            found = [past_ranks(np.asarray(v, np.float64), window) for v in batch]
-            yield pd.Series([[{"n": n, "twice": t, "first": a, "last": b} for n, t, a, b in zip(*(x.tolist() for x in one))] for one in found], dtype=object)
+            yield pd.Series([np.concatenate(past_ranks(np.asarray(v, np.float64), window)) for v in batch], dtype=object)
 
     return run
 
@@ -51,8 +52,11 @@ def strict_past_percentile(df: DataFrame, window: int, panel: Panel = PANEL, key
     held = F.transform("rows", lambda r: F.when(r["ok"], r["value"]))
     times = F.transform("rows", lambda r: r[panel.time])
     series = series.select(panel.entity, *keys, "rows", times.alias("times"), _ranks_udf(window)(held).alias("past"))
-    past = F.transform("past", lambda p: F.struct(p["n"].alias("n"), p["twice"].alias("twice"), F.when(p["first"] >= 0, F.get("times", p["first"])).alias("begin"), F.when(p["last"] >= 0, F.get("times", p["last"])).alias("end")))
-    each = series.select(panel.entity, *keys, F.explode(F.arrays_zip("rows", past.alias("past"))).alias("x")).select(panel.entity, *keys, "x.rows.*", "x.past.*")
+    n = F.size("rows")
+    part = lambda k: F.slice("past", k * n + 1, n)
+    at = lambda k: F.transform(part(k), lambda i: F.when(i >= 0, F.get("times", i)))
+    zipped = F.arrays_zip("rows", part(0).alias("n"), part(1).alias("twice"), at(2).alias("begin"), at(3).alias("end"))
+    each = series.select(panel.entity, *keys, F.explode(zipped).alias("x")).select(panel.entity, *keys, "x.rows.*", "x.n", "x.twice", "x.begin", "x.end")
     whole = F.col("ok") & (F.col("n") == window)
     status = F.when(whole, "valid").when(F.col("ok"), "unknown").when(F.col("validity_status") == "valid", "unknown").otherwise(F.col("validity_status"))
     codes = (

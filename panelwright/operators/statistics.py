@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import ratio
+from panelwright.sources.scratch import written
 
-#: Ranges that the values of a pooled rank are dealt to.
-RANGES = 4096
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
@@ -106,33 +105,29 @@ def histogram(scores: DataFrame, by: str, buckets: int) -> DataFrame:
     return out.withColumns({"share": share, "difference": share - 1 / buckets})
 
 
-def value_ranks(df: DataFrame, column: str, by: list[str] = []) -> DataFrame:
-    """Average rank of every value, from counts of equal values.
+def value_ranks(df: DataFrame, column: str, by: list[str] = [], name: str | None = None) -> DataFrame:
+    """(by, column, rank): the average rank, from 1, of every value within ``by``; nulls have none.
 
-    Without ``by``, values are dealt to ranges of equal width between the least and the greatest, and a range's
-    rank begins after the counts of the ranges before it, so no window holds all values.
+    Equal values are counted, the counts are dealt to ranges as Spark samples them, and a rank is what its own range
+    counts up to it after the ranges before. So no window holds a group, however its values crowd.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
-    if not by:
-        ends = counts.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))  # one row
-        place = F.coalesce(ratio(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-        counts = counts.crossJoin(F.broadcast(ends)).withColumn("_range", F.floor(place * RANGES)).drop("_lo", "_hi")
-    parts = by or ["_range"]
-    w = Window.partitionBy(*parts).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(w), F.lit(0))
-    if not by:
-        sums = counts.groupBy("_range").agg(F.sum("_n").alias("_s"))  # at most RANGES + 1 rows
-        sums = sums.select("_range", F.coalesce(F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-        counts, before = counts.join(F.broadcast(sums), "_range"), before + F.col("_before")
-    return counts.select(*by, column, (before + (F.col("_n") + 1) / 2).alias(f"{column}_rank"))
+    counts = written(counts.repartitionByRange(*by, column).withColumn("_part", F.spark_partition_id()), "value-counts")
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = counts.groupBy(*by, "_part").agg(F.sum("_n").alias("_s")).select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate([*by, "_part"])], F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate([*by, "_part"])])
+    own = Window.partitionBy(*by, "_part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.col("_before") + F.coalesce(F.sum("_n").over(own), F.lit(0))
+    return counts.join(sums, same).select(*by, column, (upto + (F.col("_n") + 1) / 2).alias(name or f"{column}_rank"))
 
 
 def correlations(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Pearson and Spearman (average ranks within the group) correlation of two columns."""
-    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    known = written(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b), "known")
+    ranked = known
     for c in (a, b):
-        known = known.join(value_ranks(known, c, by), [*by, c])
-    out = known.groupBy(*by) if by else known.groupBy()
+        ranked = ranked.join(value_ranks(known, c, by), [*by, c])
+    out = ranked.groupBy(*by) if by else ranked.groupBy()
     return out.agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"))
 
 
@@ -199,13 +194,34 @@ def response_profile(curve: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return out.withColumn("boundary", edge)
 
 
-def pareto(df: DataFrame, unit: str, key: str, objectives: list[str], epsilon: float = 1e-9) -> DataFrame:
-    """Rows of each unit that no other row of it dominates (all objectives are to be large)."""
-    a, b = df.select(unit, key, *objectives).alias("a"), df.select(unit, key, *objectives).alias("b")
-    no_worse = reduce(lambda x, y: x & y, [F.col(f"b.{o}") >= F.col(f"a.{o}") - epsilon for o in objectives])
-    better = reduce(lambda x, y: x | y, [F.col(f"b.{o}") > F.col(f"a.{o}") + epsilon for o in objectives])
-    beaten = a.join(b, (F.col(f"a.{unit}") == F.col(f"b.{unit}")) & no_worse & better, "left_semi").select(unit, key)
-    return df.join(beaten, [unit, key], "left_anti")
+def _dominates(left: str, right: str, objectives: list[str], epsilon: float) -> Column:
+    """Whether ``right`` is nowhere worse than ``left`` and somewhere better, each by more than ``epsilon``."""
+    no_worse = reduce(lambda x, y: x & y, [F.col(f"{right}.{o}") >= F.col(f"{left}.{o}") - epsilon for o in objectives])
+    better = reduce(lambda x, y: x | y, [F.col(f"{right}.{o}") > F.col(f"{left}.{o}") + epsilon for o in objectives])
+    return no_worse & better
+
+
+def _front(rows: DataFrame, groups: list[str], objectives: list[str]) -> DataFrame:
+    """Rows that no other row of their group plainly dominates."""
+    a, b = rows.alias("a"), rows.select(*groups, *objectives).alias("b")  # the same rows once more
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups])
+    return a.join(b, same & _dominates("a", "b", objectives, 0.0), "left_anti")
+
+
+def pareto(df: DataFrame, unit: str, key: str, objectives: list[str], epsilon: float = 1e-9, block: int = 256) -> DataFrame:
+    """Rows of each unit that no other row of it dominates (all objectives are to be large; nulls dominate nothing and are not dominated).
+
+    Fronts of blocks of about ``block`` rows come first and are merged to the unit's front; then all rows are held
+    against that front alone. What a plainly dominated row beats by more than epsilon, the row that dominates it beats
+    too, so the front is all that is needed. Rows meet their block and the front, never all rows of a unit.
+    """
+    points = df.select(unit, *objectives).distinct()
+    sizes = points.groupBy(F.col(unit).alias("_unit")).agg(F.ceil(F.count("*") / block).alias("_blocks"))
+    dealt = points.join(sizes, F.col(unit).eqNullSafe(F.col("_unit"))).select(unit, *objectives, F.pmod(F.xxhash64(*objectives), F.col("_blocks")).alias("_block"))
+    local = _front(dealt, [unit, "_block"], objectives).drop("_block")
+    front = _front(local, [unit], objectives)
+    a, b = df.alias("a"), front.alias("b")
+    return a.join(b, F.col(f"a.{unit}").eqNullSafe(F.col(f"b.{unit}")) & _dominates("a", "b", objectives, epsilon), "left_anti")
 
 
 def gates(metrics: DataFrame, registry: DataFrame) -> DataFrame:
@@ -244,14 +260,33 @@ def shifted(placed: DataFrame, state: str, replicates: int, seed: int) -> DataFr
     return rows.join(source, ["security_id", "block", "from"])
 
 
-def cluster_bootstrap(counts: DataFrame, cluster: str, a: str, b: str, replicates: int, seed: int) -> DataFrame:
-    """Ratio of sums over resampled clusters; weights are Poisson draws by hash, so the outcome is reproducible."""
-    rows = counts.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "replicate", cluster), F.lit(1 << 30)) / float(1 << 30)
-    weight, total = F.lit(0), 0.0
-    p = 2.718281828459045**-1
-    for k in range(1, 9):  # inverse of the Poisson(1) distribution
-        total += p
-        weight = weight + (u >= total).cast("int")
-        p /= k
-    return rows.withColumn("w", weight).groupBy("replicate").agg(ratio(F.sum(F.col("w") * F.col(a)), F.sum(F.col("w") * F.col(b))).alias("value"))
+def cluster_bootstrap(counts: DataFrame, cluster: str, sums: list[str], by: list[str], replicates: int, seed: int) -> DataFrame:
+    """Sums over resampled clusters: (by, replicate, sums). Replicate -1 holds the sums of the clusters as they are.
+
+    ``counts`` has a row for each cluster and ``by``. A replicate draws as many clusters as there are, with replacement, by the
+    MD5 of (seed, replicate, draw); equal draws are counted first, so a replicate meets each cluster at most once and
+    no draw depends on partitions.
+    """
+    spark = counts.sparkSession
+    names = counts.select(cluster).distinct()
+    names = names.withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)  # a row for each cluster
+    n = names.count()
+    drawn = spark.range(replicates * n).select(F.floor(F.col("id") / n).alias("replicate"), (F.col("id") % n).alias("_draw")) if n else spark.range(0).select(F.col("id").alias("replicate"), F.col("id").alias("_draw"))
+    text = F.concat_ws("|", F.lit(str(seed)), F.col("replicate").cast("string"), F.col("_draw").cast("string"))
+    pick = F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(max(n, 1)))
+    times = drawn.groupBy("replicate", pick.alias("_i")).agg(F.count("*").alias("_w"))
+    held = counts.join(names, cluster)
+    resampled = held.join(times, "_i").groupBy(*by, "replicate").agg(*[F.sum(F.col(c) * F.col("_w")).alias(c) for c in sums])
+    observed = counts.groupBy(*by).agg(F.lit(-1).cast("long").alias("replicate"), *[F.sum(c).alias(c) for c in sums])
+    return observed.unionByName(resampled.select(*observed.columns))
+
+
+def bootstrap_intervals(replicates: DataFrame, by: list[str], estimates: dict[str, Column], level: float = 0.95) -> DataFrame:
+    """For each estimate: the observed value, percentile interval and how many replicates define it (those that don't are passed over)."""
+    cells = F.array(*[F.struct(F.lit(n).alias("estimate"), e.cast("double").alias("value")) for n, e in estimates.items()])
+    long = replicates.select(*by, "replicate", F.explode(cells).alias("c")).select(*by, "replicate", "c.*")
+    drawn = F.when((F.col("replicate") >= 0) & ~F.isnan("value"), F.col("value"))
+    return long.groupBy(*by, "estimate").agg(
+        F.max(F.when(F.col("replicate") < 0, F.col("value"))).alias("observed"), F.percentile(drawn, (1 - level) / 2).alias("low"), F.percentile(drawn, (1 + level) / 2).alias("high"),
+        F.count(drawn).alias("n_defined"), F.count_if(F.col("replicate") >= 0).alias("n_replicates"),
+    )

@@ -13,6 +13,7 @@ from panelwright.operators import scores as S
 from panelwright.operators import states as ST
 from panelwright.operators import statistics as A
 from panelwright.operators import zones as Z
+from panelwright.operators.selection import quantiles
 from panelwright.plans import quality as PQ
 from panelwright.plans.metrics import DIMENSIONS, long_metrics, prices, score_step, steady
 from panelwright.plans.sql import query, step
@@ -240,10 +241,9 @@ def _sensitivity(spark, d: str) -> DataFrame:
 def _zone_metrics(spark, d: str) -> DataFrame:
     """Zones by status: number, mean length, nearest-order 95th percentile of confirmed days, greatest share of an entity."""
     z = parts(spark, d)[2]
-    w = Window.partitionBy("status")
-    ranked = z.withColumns({"n": F.count("*").over(w), "r": F.row_number().over(w.orderBy("n_confirmed", "security_id", "zone"))})
+    q95 = quantiles(z, ["status"], "n_confirmed", {"q95_confirmed": 0.95}, "nearest").select("status", F.col("q95_confirmed").cast("long").alias("q95_confirmed"))
     per = z.groupBy("status", "security_id").agg(F.count("*").alias("own")).groupBy("status").agg(F.max("own").alias("top"), F.count("*").alias("n_entities"))
-    out = ranked.groupBy("status").agg(F.count("*").alias("n_zones"), F.avg(F.datediff("end_date", "start_date").cast("double")).alias("mean_span"), F.max(F.when(F.col("r") == F.ceil(F.col("n") * 0.95), F.col("n_confirmed"))).alias("q95_confirmed"))
+    out = z.groupBy("status").agg(F.count("*").alias("n_zones"), F.avg(F.datediff("end_date", "start_date").cast("double")).alias("mean_span")).join(q95, "status")
     return rounded(out.join(per, "status").withColumn("top_share", ratio(F.col("top"), F.col("n_zones"))))
 
 
@@ -328,15 +328,11 @@ def _contract(spark, d: str) -> DataFrame:
 
 
 def _recompute(spark, d: str) -> DataFrame:
-    """Percentiles of all rows computed a second time by a join on ranks of time, against the released ones."""
+    """Percentiles of all rows computed a second time, by a window of the 120 values before a row, against the released ones."""
     a = low_range(spark, d)
-    n = F.row_number().over(Window.partitionBy("security_id").orderBy("trading_date"))
-    v = steady(M.log_range(prices(spark, d))).where("value is not null").withColumn("n", n).select("security_id", "trading_date", "value", "n")
-    past = v.groupBy("security_id").agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("all"))
-    again = v.where("n > 120").join(past, "security_id")
-    before = F.slice("all", F.col("n") - 120, F.lit(120))
-    twice = F.aggregate(before, F.lit(0), lambda acc, x: acc + F.when(x["value"] < F.col("value"), 2).when(x["value"] == F.col("value"), 1).otherwise(0))
-    again = again.select(*R.KEYS, (twice / 240).alias("again"))
+    past = F.collect_list("value").over(Window.partitionBy("security_id").orderBy("trading_date").rowsBetween(-120, -1))
+    twice = F.aggregate("past", F.lit(0), lambda acc, x: acc + F.when(x < F.col("value"), 2).when(x == F.col("value"), 1).otherwise(0))
+    again = steady(M.log_range(prices(spark, d))).where("value is not null").withColumn("past", past).where("size(past) = 120").select(*R.KEYS, (twice / 240).alias("again"))
     both = a.select(*R.KEYS, "percentile").join(again, R.KEYS, "left")
     return both.groupBy("security_id").agg(F.count("*").alias("n_rows"), F.count("percentile").alias("n_released"), F.count_if(~F.round("percentile", 9).eqNullSafe(F.round("again", 9))).alias("n_differ"))
 

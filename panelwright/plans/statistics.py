@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.functions.conventions import ratio
 from panelwright.operators import reconcile as R
 from panelwright.operators import states as ST
 from panelwright.operators import statistics as A
@@ -77,10 +78,15 @@ def _blocks(spark, d: str) -> DataFrame:
     return A.blocks(prices(spark, d).select("security_id", "trading_date", "suspension_flag"), 3)
 
 
+LAG_COUNTS = ["n_onset", "n_onset_true", "n_control", "n_control_true"]
+
+
 def _bootstrap(spark, d: str) -> DataFrame:
-    counts = two_states(spark, d).groupBy("security_id").agg(F.count_if(F.col("raw_state") & F.col("busy")).alias("a"), F.count_if("raw_state").alias("b"))
-    reps = A.cluster_bootstrap(counts, "security_id", "a", "b", 200, 5)
-    return reps.agg(F.percentile("value", 0.025).alias("low"), F.percentile("value", 0.975).alias("high"), F.count("value").alias("n"))
+    """Fixed-lag probabilities with intervals over resampled securities."""
+    counts = A.lag_profile(A.lag_targets(spine(spark, d), "raw_state", KS_LAG), ["security_id"]).select("security_id", "k", *LAG_COUNTS)
+    reps = A.cluster_bootstrap(counts, "security_id", LAG_COUNTS, ["k"], 500, 5)
+    on, off = ratio(F.col("n_onset_true"), F.col("n_onset")), ratio(F.col("n_control_true"), F.col("n_control"))
+    return rounded(A.bootstrap_intervals(reps, ["k"], {"p_onset": on, "p_control": off, "difference": on - off, "lift": ratio(on, off)}))
 
 
 def _loyo(spark, d: str) -> DataFrame:
@@ -184,6 +190,18 @@ def oracle_sql() -> dict[str, str]:
         "as13_by_security": query(f"select *, {_ASSOC} from (select security_id, {_COUNTS} group by 1)"),
         "as17_lag_targets": query("select security_id, cast(trading_date as varchar) as trading_date, anchor, k, target, complete, survived from lagt"),
         "as18_lag_profile": query(f"select {lag_d} from (select k, {lag_p} from lagt group by 1)"),
+        "as23_cluster_bootstrap": query(f"""select * from (
+with c as (select security_id, k, {lag_p} from lagt group by 1, 2),
+n as (select security_id, row_number() over (order by security_id) - 1 as i from (select distinct security_id from c)),
+w as (select replicate, pick as i, count(*) as w from (
+  select replicate, ('0x' || substr(md5('5|' || replicate || '|' || draw), 1, 8))::bigint % (select count(*) from n) as pick
+  from (select unnest(range(500)) as replicate) cross join (select i as draw from n)) group by 1, 2),
+r as (select k, -1 as replicate, {", ".join(f"sum({c}) as {c}" for c in LAG_COUNTS)} from c group by 1
+  union all select k, replicate, {", ".join(f"sum({c} * w)" for c in LAG_COUNTS)} from c join n using (security_id) join w using (i) group by 1, 2),
+e as (select *, n_onset_true / nullif(n_onset, 0) as a, n_control_true / nullif(n_control, 0) as b from r),
+l as (select k, replicate, unnest([{{'e': 'p_onset', 'v': a}}, {{'e': 'p_control', 'v': b}}, {{'e': 'difference', 'v': a - b}}, {{'e': 'lift', 'v': a / nullif(b, 0)}}], recursive := true) from e)
+select k, e as estimate, round(max(v) filter (replicate < 0), 6) as observed, round(quantile_cont(v, 0.025) filter (replicate >= 0), 6) as low, round(quantile_cont(v, 0.975) filter (replicate >= 0), 6) as high,
+  count(v) filter (replicate >= 0) as n_defined, count(*) filter (replicate >= 0) as n_replicates from l group by 1, 2)"""),
         "as22_lag_by_security": query(f"select {lag_d} from (select security_id, k, {lag_p} from lagt group by 1, 2)"),
         "as31_extremes": query("select metric, security_id, cast(trading_date as varchar) as trading_date, round(value, 6) as value from (select *, row_number() over (partition by metric order by value, security_id, trading_date) as l, row_number() over (partition by metric order by value desc, security_id, trading_date) as h from mrows where value is not null) where l <= 5 or h <= 5"),
         "yr05_concentration": query("select security_id, round(sum(share * share), 6) as hhi, round(sum(share) filter (p <= 1), 6) as top1, round(sum(share) filter (p <= 2), 6) as top2, arg_min(half, p) as peak, round(1 / sum(share * share), 6) as effective from (select *, n / sum(n) over (partition by security_id) as share, row_number() over (partition by security_id order by n desc, half) as p from (select security_id, half, count(*) filter (raw_state) as n from two group by 1, 2 having n > 0)) group by 1"),

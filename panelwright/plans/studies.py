@@ -10,12 +10,14 @@ from panelwright.operators import quality as Q
 from panelwright.operators import states as ST
 from panelwright.operators import statistics as A
 from panelwright.operators import zones as Z
+from panelwright.operators.selection import quantiles
 from panelwright.plans import quality as PQ
 from panelwright.plans.metrics import long_scores, prices
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import nested, spine, spine_confirmed, text_dates
 from panelwright.plans.statistics import _ASSOC, _COUNTS, _spread_sql, rounded, two_states
 from panelwright.plans.zones import parts
+from panelwright.sources.scratch import written
 
 
 def score_states(spark, d: str) -> DataFrame:
@@ -30,14 +32,12 @@ step("cst", "select security_id, trading_date, bool_or(act) filter (indicator =
 def _tail_overlap(spark, d: str) -> DataFrame:
     """Overlap of the top fifths of two scores by the discrete quantile: the n-th value in order, n = ceil(0.8 count)."""
     wide = long_scores(spark, d).where("dimension = 'C' and score is not null").groupBy("security_id", "trading_date").agg(F.max(F.when(F.col("indicator") == "ma_spread", F.col("score"))).alias("a"), F.max(F.when(F.col("indicator") == "vwap_spread", F.col("score"))).alias("b")).where("a is not null and b is not null")
-    counts = wide.agg(F.count("*").alias("n")).first()["n"]
-    ends = {}
-    for c in ("a", "b"):
-        at = A.value_ranks(wide, c).join(wide.groupBy(c).agg(F.count("*").alias("m")), c).withColumn("upto", F.col(f"{c}_rank") + (F.col("m") - 1) / 2)
-        ends[c] = at.where(F.col("upto") >= F.ceil(F.lit(0.8) * counts)).agg(F.min(c)).first()[0]
-    if counts == 0:
-        return wide.agg(F.count("*").alias("n_a"), F.count("*").alias("n_b"), F.count("*").alias("n_both"))
-    return wide.agg(F.count_if(F.col("a") >= ends["a"]).alias("n_a"), F.count_if(F.col("b") >= ends["b"]).alias("n_b"), F.count_if((F.col("a") >= ends["a"]) & (F.col("b") >= ends["b"])).alias("n_both"))
+    wide = written(wide, "tail-scores")
+    long = wide.unpivot([], ["a", "b"], "side", "value")
+    ends = quantiles(long, ["side"], "value", {"q": 0.8}, "nearest").groupBy().agg(*[F.max(F.when(F.col("side") == c, F.col("q"))).alias(f"{c}_end") for c in ("a", "b")])
+    top = {c: F.col(c) >= F.col(f"{c}_end") for c in ("a", "b")}
+    rows = wide.crossJoin(F.broadcast(ends))  # one row
+    return rows.agg(F.count_if(top["a"]).alias("n_a"), F.count_if(top["b"]).alias("n_b"), F.count_if(top["a"] & top["b"]).alias("n_both"))
 
 
 def _variance(spark, d: str) -> DataFrame:
