@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.conventions import ratio
+from panelwright.functions.conventions import STATUSES, ratio
+from panelwright.operators.selection import quantiles
 from panelwright.sources.scratch import written
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -85,16 +86,22 @@ def onset_overlap(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.count_if("_a").alias("n_a"), F.count_if("_b").alias("n_b"), F.count_if(F.col("_a") & F.col("_b")).alias("n_both"))
 
 
-def raw_distribution(metrics: DataFrame, by: str, domain: Column) -> DataFrame:
-    """Status counts, moments, quantiles and violations of the domain for each metric."""
-    return metrics.groupBy(by).agg(F.count("*").alias("n_rows"), F.count("value").alias("n_values"), F.count_if(~domain).alias("n_outside_domain"), *spread("value"))
+#: Nine quantiles of a distribution.
+NINE = {f"q{round(q * 100):02d}": q for q in (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)}
 
 
-def tail_ratio(metrics: DataFrame, by: str) -> DataFrame:
-    """Share of values outside [q01, q99] of their metric."""
-    ends = metrics.groupBy(by).agg(F.percentile("value", 0.01).alias("lo"), F.percentile("value", 0.99).alias("hi"))
-    out = metrics.where("value is not null").join(F.broadcast(ends), by)  # a row for each metric
-    return out.groupBy(by).agg(F.avg(((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).cast("double")).alias("tail_share"))
+def distribution(rows: DataFrame, by: str, value: str, status: str | None = None, domain: Column | None = None) -> DataFrame:
+    """Rows, rows by status, moments, nine exact quantiles, violations of the domain, and the share of values outside [q01, q99]."""
+    rows = written(rows.select(by, F.col(value).alias("value"), (F.col(status) if status else F.lit(None).cast("string")).alias("_status"), (F.coalesce(~domain, F.lit(False)) if domain is not None else F.lit(False)).alias("_outside")), "distribution")
+    counts = {s: F.count_if(F.col("_status") == s).alias(f"n_{s}") for s in STATUSES} if status else {}
+    sums = rows.groupBy(by).agg(
+        F.count("*").alias("n_rows"), F.count("value").alias("n_values"), *counts.values(), F.count_if("_outside").alias("n_outside_domain"),
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("greatest"),
+    )
+    nine = quantiles(rows, [by], "value", NINE).drop("n")
+    tail = rows.where("value is not null").join(F.broadcast(nine.select(by, "q01", "q99")), by)  # a row for each group
+    tail = tail.groupBy(by).agg(F.avg(((F.col("value") < F.col("q01")) | (F.col("value") > F.col("q99"))).cast("double")).alias("tail_share"))
+    return sums.join(nine, by, "left").join(tail, by, "left")
 
 
 def histogram(scores: DataFrame, by: str, buckets: int) -> DataFrame:

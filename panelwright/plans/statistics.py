@@ -38,6 +38,10 @@ def metric_rows(spark, d: str) -> DataFrame:
 step("mrows", " union all ".join(f"select *, '{n}' as metric from (select * replace (round(value + 1e-13, 10) as value) from rm_{n})" for names in DIMENSIONS.values() for n in names))
 
 
+def nine_sql(v: str) -> str:
+    return f"round(avg({v}), 6) as mean, round(stddev_samp({v}), 6) as std, round(min({v}), 6) as least, round(max({v}), 6) as greatest, " + ", ".join(f"round(quantile_cont({v}, {q}), 6) as {n}" for n, q in A.NINE.items())
+
+
 def _spread_sql(v: str) -> str:
     qs = ", ".join(f"round(quantile_cont({v}, {q}), 6) as q{round(q * 100):02d}" for q in A.QUANTILES)
     return f"round(avg({v}), 6) as mean, round(stddev_samp({v}), 6) as std, round(min({v}), 6) as least, round(max({v}), 6) as greatest, {qs}"
@@ -138,8 +142,8 @@ def queries() -> dict:
         "pr09_overlap": lambda s, d: rounded(A.overlap(two_states(s, d), "raw_state", "busy", [])),
         "pr10_onset_overlap": lambda s, d: A.onset_overlap(two_states(s, d), "raw_state", "busy"),
         "pr12_parent_child": lambda s, d: rounded(A.overlap(nested(s, d), "s1", "s2", ["security_id"])),
-        "as01_raw_distribution": lambda s, d: rounded(A.raw_distribution(metric_rows(s, d), "metric", F.col("value") >= 0)),
-        "as01_tail_ratio": lambda s, d: rounded(A.tail_ratio(metric_rows(s, d), "metric")),
+        "as01_raw_distribution": lambda s, d: rounded(A.distribution(metric_rows(s, d), "metric", "value", "validity_status", F.col("value") >= 0)),
+        "as01_tail_ratio": lambda s, d: rounded(A.distribution(metric_rows(s, d), "metric", "value").select("metric", "tail_share")),
         "as03_histogram": lambda s, d: rounded(A.histogram(long_scores(s, d), "indicator", 10)),
         "as04_correlation_pooled": lambda s, d: _corr(s, d, []),
         "as25_correlation_by_security": lambda s, d: _corr(s, d, ["security_id"]),
@@ -166,6 +170,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
+    tail_sql = "select metric, round(avg((value < lo or value > hi)::int), 6) as tail_share from mrows join (select metric, quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from mrows group by 1) using (metric) where value is not null group by 1"
     lag_t = " union all ".join(f"select security_id, trading_date, case when b is false and raw_state then 'onset' when b is false and not raw_state then 'control' end as anchor, {k} as k, lead(raw_state, {k}) over w as target, count(*) over (w rows between current row and {k} following) = {k + 1} as complete, count(*) filter (raw_state) over (w rows between current row and {k} following) = {k + 1} as survived from (select *, lag(raw_state) over (partition by security_id order by trading_date) as b from uspine) window w as (partition by security_id order by trading_date)" for k in KS_LAG)
     step("lagt", f"select * from ({lag_t}) where anchor is not null")
     lag_p = "count(*) filter (anchor = 'onset' and target is not null) as n_onset, count(*) filter (anchor = 'onset' and target) as n_onset_true, count(*) filter (anchor = 'control' and target is not null) as n_control, count(*) filter (anchor = 'control' and target) as n_control_true, count(*) filter (anchor = 'onset' and not complete) as n_right_censored, count(*) filter (anchor = 'onset' and survived) as n_survived"
@@ -180,8 +185,8 @@ def oracle_sql() -> dict[str, str]:
         "pr09_overlap": query(f"select *, {_ASSOC} from (select {_COUNTS})"),
         "pr10_onset_overlap": query("select count(*) filter (a) as n_a, count(*) filter (b) as n_b, count(*) filter (a and b) as n_both from (select coalesce(raw_state, false) and not coalesce(lag(raw_state) over w, false) as a, coalesce(busy, false) and not coalesce(lag(busy) over w, false) as b from two window w as (partition by security_id order by trading_date))"),
         "pr12_parent_child": query(f"select *, {_ASSOC} from (select security_id, count(*) filter (s1 and s2) as n11, count(*) filter (s1 and not s2) as n10, count(*) filter (not s1 and s2) as n01, count(*) filter (not s1 and not s2) as n00 from st_nested where s1 is not null and s2 is not null group by 1)"),
-        "as01_raw_distribution": query(f"select metric, count(*) as n_rows, count(value) as n_values, count(*) filter (value < 0) as n_outside_domain, {_spread_sql('value')} from mrows group by 1"),
-        "as01_tail_ratio": query("select metric, round(avg((value < lo or value > hi)::int), 6) as tail_share from mrows join (select metric, quantile_cont(value, 0.01) as lo, quantile_cont(value, 0.99) as hi from mrows group by 1) using (metric) where value is not null group by 1"),
+        "as01_raw_distribution": query(f"select r.*, tail_share from (select metric, count(*) as n_rows, count(value) as n_values, {', '.join(f"count(*) filter (validity_status = '{x}') as n_{x}" for x in ('valid', 'unknown', 'diagnostic_required', 'blocked'))}, count(*) filter (value < 0) as n_outside_domain, {nine_sql('value')} from mrows group by 1) r join ({tail_sql}) using (metric)"),
+        "as01_tail_ratio": query(tail_sql),
         "as03_histogram": query("select indicator, bucket, n, round(n / sum(n) over (partition by indicator), 6) as share, round(n / sum(n) over (partition by indicator) - 0.1, 6) as difference from (select indicator, least(floor(score * 10 + 1e-9), 9)::bigint as bucket, count(*) as n from scores_long where score is not null group by 1, 2)"),
         "as04_correlation_pooled": query(_corr_sql("")),
         "as25_correlation_by_security": query(_corr_sql("security_id")),

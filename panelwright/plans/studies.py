@@ -15,7 +15,7 @@ from panelwright.plans import quality as PQ
 from panelwright.plans.metrics import long_scores, prices
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import nested, spine, spine_confirmed, text_dates
-from panelwright.plans.statistics import _ASSOC, _COUNTS, _spread_sql, rounded, two_states
+from panelwright.plans.statistics import _ASSOC, _COUNTS, _spread_sql, nine_sql, rounded, two_states
 from panelwright.plans.zones import parts
 from panelwright.sources.scratch import written
 
@@ -139,7 +139,7 @@ step("zbr", "select *, lead(bridged) over (partition by security_id order by fir
 
 def queries() -> dict:
     return {
-        "as02_score_distribution": lambda s, d: rounded(long_scores(s, d).groupBy("indicator").agg(F.count("score").alias("n"), *A.spread("score"))),
+        "as02_score_distribution": lambda s, d: rounded(A.distribution(long_scores(s, d), "indicator", "score", "validity_status", F.col("score").between(0, 1))),
         "as05_threshold_structure": lambda s, d: rounded(A.overlap(score_states(s, d), "a", "b", [])),
         "as12_denominators": lambda s, d: rounded(A.overlap(nested(s, d).where("T is not null and V is not null"), "P", "C", [])),
         "as16_onset_classes": lambda s, d: _onsets(s, d),
@@ -173,7 +173,7 @@ def _onsets(spark, d: str) -> DataFrame:
 def oracle_sql() -> dict[str, str]:
     dims = "count(*) filter (P and C) as n11, count(*) filter (P and not C) as n10, count(*) filter (not P and C) as n01, count(*) filter (not P and not C) as n00"
     return {
-        "as02_score_distribution": query(f"select indicator, count(score) as n, {_spread_sql('score')} from scores_long group by 1"),
+        "as02_score_distribution": query(f"select r.*, tail_share from (select indicator, count(*) as n_rows, count(score) as n_values, {', '.join(f"count(*) filter (validity_status = '{x}') as n_{x}" for x in ('valid', 'unknown', 'diagnostic_required', 'blocked'))}, count(*) filter (score < 0 or score > 1) as n_outside_domain, {nine_sql('score')} from scores_long group by 1) r join (select indicator, round(avg((score < lo or score > hi)::int), 6) as tail_share from scores_long join (select indicator, quantile_cont(score, 0.01) as lo, quantile_cont(score, 0.99) as hi from scores_long group by 1) using (indicator) where score is not null group by 1) using (indicator)"),
         "as05_threshold_structure": query(f"select *, {_ASSOC} from (select count(*) filter (a and b) as n11, count(*) filter (a and not b) as n10, count(*) filter (not a and b) as n01, count(*) filter (not a and not b) as n00 from cst where a is not null and b is not null)"),
         "as12_denominators": query(f"select *, {_ASSOC} from (select {dims} from st_nested where P is not null and C is not null and T is not null and V is not null)"),
         "as16_onset_classes": query("select kind, count(*) as n_days from (select case when raw_state is null then 'invalid' when row_number() over w = 1 then 'first_day' when lag(raw_state) over w is null then 'after_invalid' when not lag(raw_state) over w and raw_state then 'onset' when not lag(raw_state) over w then 'stay_out' when raw_state then 'stay_in' else 'exit' end as kind from uspine window w as (partition by security_id order by trading_date)) group by 1"),
