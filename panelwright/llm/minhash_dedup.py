@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -32,9 +32,11 @@ BANDS, ROWS = 25, 5
 #: A link: 100 * intersection >= LEAST * union.
 LEAST = 85
 #: Distances to a centre (1 - Jaccard, in hundredths): up to NEAR a text's links are decided through it, with texts up to NEAR + 15.
-NEAR = 45
+NEAR = 65
 #: Texts that one task compares with a centre.
 BLOCK = 256
+#: Texts that may remain of a bucket to be compared with each other.
+REST = 64
 FLUSH = 300_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -103,7 +105,7 @@ def band_keys(sign: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return keys.view(np.int64)
 
 
-@pandas_udf(T.StructType([T.StructField("node", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
+@pandas_udf(T.StructType([T.StructField("set", T.StringType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 def sketch_udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     words, borrow = Words(), _borrowing(BANDS * ROWS)
     for batch in texts:
@@ -111,116 +113,148 @@ def sketch_udf(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for text in batch:
             found = shingles(text, words)
             rows.append((xxhash.xxh3_128_hexdigest(found.tobytes()), len(found), band_keys(signature(found, BANDS * ROWS, borrow))) if len(found) else (None, 0, None))
-        yield pd.DataFrame(rows, columns=["node", "n", "bands"])
+        yield pd.DataFrame(rows, columns=["set", "n", "bands"])
+
+
+def _mask(entries: np.ndarray) -> np.ndarray:
+    """256 bits, one set for each entry."""
+    out = np.zeros(4, np.uint64)
+    at = entries.view(np.uint64)
+    np.bitwise_or.at(out, (at & np.uint64(3)).astype(np.int64), np.uint64(1) << (at >> np.uint64(2) & np.uint64(63)))
+    return out.view(np.int64)
 
 
 def _compare(keep_sets: bool):
-    """A centre (kind 0) comes before its texts (kind 1): counts, and what each lacks of the centre and has besides."""
+    """A centre (kind 0) comes before its texts (kind 1): counts, and the entries in which each differs from the centre."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, own, name = Words(), np.empty(0, np.uint64), None
-        none = np.empty(0, np.int64)
+        words, own = Words(), np.empty(0, np.uint64)
         for batch in batches:
             out = []
             for a, kind, b, text in zip(batch["a"], batch["kind"], batch["b"], batch["text"]):
                 if kind == 0:
-                    name, own = a, shingles(text, words)
+                    own = shingles(text, words)
                     continue
-                assert name == a
                 other = shingles(text, words)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 union = len(own) + len(other) - both
                 zone = keep_sets and 100 * (union - both) <= (NEAR + 100 - LEAST) * union
-                lost = np.setdiff1d(own, other, assume_unique=True).view(np.int64) if zone else none
-                added = np.setdiff1d(other, own, assume_unique=True).view(np.int64) if zone else none
-                out.append((a, b, len(other), len(own) - both, len(other) - both, 100 * both >= LEAST * union, 100 * (union - both) <= NEAR * union, zone, lost, added))
-            yield pd.DataFrame(out, columns=["a", "b", "n", "n_lost", "n_added", "linked", "near", "zone", "lost", "added"])
+                differ = np.setxor1d(own, other, assume_unique=True).view(np.int64) if zone else None
+                out.append((a, b, len(other), len(own) - both, len(other) - both, 100 * both >= LEAST * union, 100 * (union - both) <= NEAR * union, differ, _mask(differ) if zone else None))
+            yield pd.DataFrame(out, columns=["a", "b", "n", "n_lost", "n_added", "linked", "near", "differ", "mask"])
 
     return run
 
 
 def compare(pairs: DataFrame, texts: DataFrame, keep_sets: bool) -> DataFrame:
-    """(a, b) -> (a, b, n, n_lost, n_added, linked, near, zone, lost, added), on the full sets of both texts.
+    """(a, b) -> (a, b, n, n_lost, n_added, linked, near, differ, mask), on the full sets of both texts.
 
-    The pairs of a centre ``a`` are dealt to blocks, each of which gets the centre's text once.
+    The pairs of a centre ``a`` are dealt to blocks, each of which gets the centre's text once. ``differ`` (only with
+    ``keep_sets``, and not for texts far from their centre) are the shingles that one of the two has and the other lacks.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
-    dealt = materialize(dealt, "star-pairs")
+    dealt = materialize(pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block")), "star-pairs")
     centres = dealt.select("a", "block").distinct().join(texts, F.col("a") == F.col("node")).select("a", "block", F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
     others = dealt.join(texts, F.col("b") == F.col("node")).select("a", "block", F.lit(1).alias("kind"), "b", "text")
     rows = centres.unionByName(others).repartition("a", "block").sortWithinPartitions("a", "block", "kind")
     done = rows.select("a", "kind", "b", "text").mapInPandas(
-        _compare(keep_sets), "a string, b string, n long, n_lost long, n_added long, linked boolean, near boolean, zone boolean, lost array<long>, added array<long>"
+        _compare(keep_sets), "a long, b long, n long, n_lost long, n_added long, linked boolean, near boolean, differ array<long>, mask array<long>"
     )
     return materialize(done, "compared")
 
 
-def _through_centres(marks: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts compared with one centre that may be linked without the centre's own links saying so.
+def _through_centres(marks: DataFrame) -> DataFrame:
+    """Pairs (x, m, slack) of texts compared with one centre that may be linked though x is not linked to the centre; less slack is likelier.
 
     Let d be the entries in which a text differs from the centre and o those that x and m share; x and m
     then differ in d(x) + d(m) - 2 o shingles, and a link asks 185 * that <= 15 * (n(x) + n(m)). One of the two, x, is not
-    linked to the centre, which is why that needs more than about half of m's entries. So x shares one of m's first d(m) - need + 1 entries, in whatever
-    order, and the order is from the rarest: most entries stand in one text alone and meet nobody.
+    linked to the centre, which is why that needs more than about half of m's entries. So x shares one of m's first
+    d(m) - need + 1 entries, in whatever order, and the order is from the rarest: most entries stand in one text alone and meet
+    nobody. Of the pairs that meet, those go whose masks show that m has more than d(m) - need entries that x lacks.
     """
-    marks = marks.where("zone").join(roots, marks["b"] == roots["node"], "left").withColumn("root", F.coalesce("root", "b")).drop("node")
-    marks = marks.join(marks.where(~F.col("linked")).select("a").distinct(), "a", "left_semi")
-    d = F.col("n_lost") + F.col("n_added")
-    entries = marks.select("a", "b", "n", "linked", "root", d.alias("d"), F.abs(F.col("n_lost") - F.col("n_added")).alias("g"), F.explode(F.concat("lost", "added")).alias("entry"))
+    marks = marks.where("differ is not null")
+    marks = marks.join(marks.where("not linked").select("a").distinct(), "a", "left_semi")
+    entries = marks.select("a", "b", F.explode("differ").alias("entry"))
     common = entries.groupBy("a", "entry").agg(F.count("*").alias("often")).where("often > 1")
-    entries = materialize(entries.join(common, ["a", "entry"]), "near-entries")
-    of_text = Window.partitionBy("a", "b")
-    ranked = entries.withColumn("rank", F.row_number().over(of_text.orderBy("often", "entry")) + F.col("d") - F.count("*").over(of_text))
-    m = ranked.where(F.col("rank") <= F.col("d") / 2 + F.col("g") / 20 + 2).select("a", "entry", "rank", *[F.col(c).alias(f"m_{c}") for c in ("b", "n", "d", "root")])
-    x = entries.where(~F.col("linked")).select("a", "entry", *[F.col(c).alias(f"x_{c}") for c in ("b", "n", "d", "root")])
+    shared = entries.join(common, ["a", "entry"]).groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct(F.col("often").cast("int").alias("often"), "entry"))).alias("shared"))
+    facts = ["n", (F.col("n_lost") + F.col("n_added")).alias("d"), F.abs(F.col("n_lost") - F.col("n_added")).alias("g"), "linked", "mask"]
+    shared = materialize(marks.select("a", "b", *facts).join(shared, ["a", "b"]), "near-entries")
+
+    def side(df: DataFrame, name: str, *more) -> DataFrame:
+        return df.select("a", *more, *[F.col(c).alias(f"{name}_{c}") for c in ("b", "n", "d", "mask")])
+
+    alone = F.col("d") - F.size("shared")  # entries of this text only come first
+    few = F.floor(F.col("d") / 2 + F.col("g") / 20 + 2) - alone
+    m = side(shared.where(few > 0).select("*", F.posexplode(F.slice("shared", F.lit(1), few.cast("int"))).alias("at", "e")).withColumn("rank", F.col("at") + 1 + alone), "m", F.col("e.entry").alias("entry"), "rank")
+    x = side(shared.where("not linked").select("*", F.explode("shared").alias("e")), "x", F.col("e.entry").alias("entry"))
     need = F.ceil(((100 + LEAST) * (F.col("x_d") + F.col("m_d")) - (100 - LEAST) * (F.col("x_n") + F.col("m_n"))) / (2 * (100 + LEAST)))
-    pairs = x.join(m, ["a", "entry"]).where((F.col("rank") <= F.col("m_d") - need + 1) & (F.col("x_b") != F.col("m_b")) & (F.col("x_root") != F.col("m_root")))
-    return pairs.select(F.least("x_b", "m_b").alias("a"), F.greatest("x_b", "m_b").alias("b")).distinct()
+    lacks = sum((F.bit_count(F.get("m_mask", F.lit(k)).bitwiseAND(F.bitwise_not(F.get("x_mask", F.lit(k))))) for k in range(1, 4)), F.bit_count(F.get("m_mask", F.lit(0)).bitwiseAND(F.bitwise_not(F.get("x_mask", F.lit(0))))))
+    pairs = x.join(m, ["a", "entry"]).where((F.col("rank") <= F.col("m_d") - need + 1) & (F.col("x_b") != F.col("m_b")) & (lacks <= F.col("m_d") - need))
+    pairs = pairs.groupBy(F.col("x_b").alias("x"), F.col("m_b").alias("m")).agg(F.min(lacks - F.col("m_d") + need).alias("slack"))
+    return materialize(pairs, "near-through")
 
 
 def _roots(links: DataFrame) -> DataFrame:
     return materialize(connected_components(links), "near-roots")
 
 
-def text_links(buckets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, node, n) -> links (a, b) that span the components of the texts that share a bucket.
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select("a", "b")
+
+
+def _with_likely(links: DataFrame, likely: DataFrame, texts: DataFrame) -> DataFrame:
+    """``links`` and those among the likely pairs, as far as components need them: each text's likeliest pair first, then all
+    pairs whose ends are still apart."""
+    best = likely.groupBy(F.col("x").alias("a")).agg(F.min_by("m", F.struct("slack", "m")).alias("b"))
+    links = materialize(links.unionByName(_links(compare(best, texts, False))), "near-links")
+    if not likely.head(1):
+        return links
+    roots = _roots(links)
+    for end in ("x", "m"):
+        likely = likely.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", end))
+    apart = likely.where("x_root <> m_root").select(F.least("x", "m").alias("a"), F.greatest("x", "m").alias("b")).distinct()
+    return materialize(links.unionByName(_links(compare(apart, texts, False))), "near-links")
+
+
+def text_links(buckets: DataFrame, texts: DataFrame, rest: int = REST) -> DataFrame:
+    """(key, node, n), a written table -> links (a, b) that span the components of the texts that share a bucket.
 
     Each round takes one centre a bucket, later four, sixteen and so on: first the text that shares most
-    buckets with others, then any. A bucket is done when all that remains of it is one component.
+    buckets with others, then any. A bucket is done when all that remains of it is one component; a remainder of at
+    most ``rest`` texts is compared text by text.
     """
     counts = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    active = materialize(buckets.join(counts, "key"), "near-buckets")
+    active = buckets.join(counts, "key")
     shared = active.groupBy("node").agg(F.sum("size").alias("shared"))
-    active = active.join(shared, "node").select("key", "node", "n", "shared")
-    spread, links, roots = 0, None, None
-    while True:
-        active = materialize(active, "near-active")
-        if not active.head(1):
-            return links if links is not None else buckets.sparkSession.createDataFrame([], "a string, b string")
+    active = materialize(active.join(shared, "node").select("key", "node", "n", "shared"), "near-active")
+    spread, links = 0, buckets.sparkSession.createDataFrame([], "a long, b long")
+    while active.head(1):
         if not spread:
             centres = active.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("shared", "node")).alias("centre"))
         else:
-            sizes = active.groupBy("key").agg(F.ceil(F.count("*") / 4**spread).alias("every"))
-            drawn = active.join(sizes, "key").where(F.pmod(F.xxhash64("node", F.lit(spread)), F.col("every")) == 0)
+            sizes = active.groupBy("key").agg(F.count("*").alias("size"))
+            sized = active.join(sizes, "key")
+            small = sized.where(F.col("size") <= rest).select("key", "node", "n", "root")
+            other = small.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
+            pairs = small.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("root") != F.col("b_root")) & (100 * F.least("n", "b_n") >= LEAST * F.greatest("n", "b_n")))
+            links = materialize(links.unionByName(_links(compare(pairs.select(F.col("node").alias("a"), "b").distinct(), texts, False))), "near-links")
+            active = materialize(sized.where(F.col("size") > rest), "near-active")
+            if not active.head(1):
+                return links
+            drawn = active.where(F.pmod(F.xxhash64("node", F.lit(spread)), F.ceil(F.col("size") / 4**spread)) == 0)
             centres = drawn.select("key", F.struct("node", "n").alias("centre"))
         centres = materialize(centres.select("key", F.col("centre.node").alias("c"), F.col("centre.n").alias("c_n")), "near-centres")
-        zone = 200 - NEAR - 100 - (100 - LEAST)  # least similarity, in hundredths, at which sets are kept
+        zone = LEAST - NEAR  # least similarity, in hundredths, at which differences are kept
         apart = active.join(centres, "key").where((F.col("node") != F.col("c")) & (100 * F.least("n", "c_n") >= zone * F.greatest("n", "c_n")))
         marks = compare(apart.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), texts, True)
-        found = marks.where("linked").select("a", "b")
-        links = materialize(found if links is None else links.unionByName(found), "near-links")
-        roots = _roots(links)
-        more = materialize(_through_centres(marks, roots), "near-through")
-        if more.head(1):
-            links = materialize(links.unionByName(compare(more, texts, False).where("linked").select("a", "b")), "near-links")
-            roots = _roots(links)
+        links = _with_likely(links.unionByName(_links(marks)), _through_centres(marks), texts)
         done = apart.join(marks.where("near").select(F.col("a").alias("c"), F.col("b").alias("node")), ["c", "node"]).select("key", "node")
         done = done.unionByName(centres.select("key", F.col("c").alias("node"))).distinct()
-        active = active.join(done, ["key", "node"], "left_anti")
-        rooted = active.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-        open_keys = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        active, spread = active.join(open_keys, "key", "left_semi"), spread + 1
+        left = active.select("key", "node", "n").join(done, ["key", "node"], "left_anti").join(_roots(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        left = materialize(left, "near-left")
+        open_keys = left.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        active, spread = materialize(left.join(open_keys, "key", "left_semi"), "near-active"), spread + 1
+    return links
 
 
 def minhash_groups(docs: DataFrame) -> DataFrame:
@@ -233,18 +267,18 @@ def minhash_groups(docs: DataFrame) -> DataFrame:
     are read whole; other columns play no part.
     """
     sketched = materialize(docs.select("doc_id", "text", sketch_udf("text").alias("s")).select("doc_id", "text", "s.*"), "sketches")
-    nodes = sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes, "near-nodes")
+    nodes = sketched.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     buckets = nodes.select(F.explode("bands").alias("key"), "node", "n")
-    shared = buckets.groupBy("key").count().where("count > 1")
-    candidates = materialize(buckets.join(shared, "key").select("node").distinct(), "near-candidates")
-    texts = sketched.select("node", "text").join(candidates, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    roots = _roots(text_links(buckets.join(candidates, "node", "left_semi"), materialize(texts, "near-texts")))
-    rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    rooted = materialize(rooted, "near-rooted")
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
+    several = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    buckets = materialize(buckets.join(several, "key"), "near-buckets")
+    candidates = nodes.select("set", "node").join(buckets.select("node").distinct(), "node")
+    texts = sketched.select("set", "text").join(candidates, "set").groupBy("node").agg(F.first("text").alias("text"))
+    roots = _roots(text_links(buckets, materialize(texts, "near-texts")))
+    rooted = materialize(nodes.select("set", "node", "least").join(roots, "node", "left").select("set", "least", F.coalesce("root", "node").alias("root")), "near-rooted")
+    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set", "component_id")
     alone = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = sketched.where("n > 0").select("doc_id", "node", F.col("n").alias("n_shingles")).join(classes, "node").select("doc_id", "n_shingles", "component_id")
+    out = sketched.where("n > 0").select("doc_id", "set", F.col("n").alias("n_shingles")).join(classes, "set").select("doc_id", "n_shingles", "component_id")
     return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
