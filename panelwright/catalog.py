@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import decisions, exits, metrics, nulls, pairs, quality, records, requests, states, statistics, streams, studies, zones
+from panelwright.plans import decisions, exits, grids, metrics, nulls, pairs, quality, records, requests, states, statistics, streams, studies, zones
 
-MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies, records, nulls, decisions, exits, pairs)
+MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies, records, nulls, decisions, exits, pairs, grids)
 
 
 def queries() -> dict:
