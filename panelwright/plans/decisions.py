@@ -17,6 +17,7 @@ from panelwright.plans.records import low_intervals
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import DIMS, dim_scores, low_range, nested, streak_steps, text_dates
 from panelwright.plans.statistics import rounded, two_states
+from panelwright.sources.scratch import written
 
 QS, BASE, FLOOR, FALLBACK, YEAR_SHARE = [0.1, 0.2, 0.3, 0.4], 0.2, 5, 0.001, 0.9
 STATES = ["s1", "s2", "s3", "s4"]
@@ -28,8 +29,8 @@ def days(spark, d: str) -> DataFrame:
 
 
 def yearly(spark, d: str) -> DataFrame:
-    """Kept, as profile, envelopes and shares read it again (some rows a vector and year)."""
-    return D.yearly_counts(days(spark, d), DIMS).persist()
+    """Written, as profile, envelopes and shares read it again (some rows a vector and year)."""
+    return written(D.yearly_counts(days(spark, d), DIMS), "yearly-counts")
 
 
 def profile(y: DataFrame) -> DataFrame:

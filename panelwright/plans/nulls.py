@@ -14,6 +14,7 @@ from panelwright.operators import statistics as A
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import DIMS, dim_scores, text_dates
 from panelwright.plans.statistics import rounded
+from panelwright.sources.scratch import written
 
 #: Weakest q of the layers, longest pause inside a block, confirmation, replicates, seed.
 Q, GAP, K, B, SEED = 0.3, 31, 2, 2000, 20
@@ -32,8 +33,8 @@ def layers(spark, d: str) -> DataFrame:
 
 
 def arrays(spark, d: str) -> DataFrame:
-    """Blocks, kept (a row for each entity and year or so) as every test reads them again."""
-    return N.block_arrays(layers(spark, d), [*DIMS, *STATES[:3]], GAP).persist()
+    """Blocks, written (a row for each entity and year or so) as every test reads them again."""
+    return written(N.block_arrays(layers(spark, d), [*DIMS, *STATES[:3]], GAP), "blocks")
 
 
 def nested_replicates(a: DataFrame) -> DataFrame:

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 from panelwright.plans.sql import query
 from panelwright.plans.states import spine
+from panelwright.sources.scratch import shared_folder
 from panelwright.streaming.confirm import replay
 
 
-def shared_folder(spark) -> str:
-    """A folder that all executors share; a local session without a checkpoint folder gets a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set")
-        root = tempfile.mkdtemp(prefix="panelwright-")
-    return f"{root}/streams/{uuid.uuid4().hex}"
-
-
 def _confirm(spark, d: str) -> DataFrame:
-    return replay(spine(spark, d), shared_folder(spark), 2)
+    return replay(spine(spark, d), f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}", 2)
 
 
 def queries() -> dict:

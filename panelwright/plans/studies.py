@@ -158,7 +158,7 @@ def queries() -> dict:
         "ez12_zone_profile": _zone_profile,
         "dq23_observation": _observation,
         "dy07_contract_checks": _checks,
-        "dq32_price_counts_by_month": lambda s, d: prices(s, d).groupBy(F.date_format("trading_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_rows"), F.countDistinct("security_id").alias("n_entities"), F.count_if("suspension_flag").alias("n_suspended")),
+        "dq34_price_counts_by_month": lambda s, d: prices(s, d).groupBy(F.date_format("trading_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_rows"), F.countDistinct("security_id").alias("n_entities"), F.count_if("suspension_flag").alias("n_suspended")),
     }
 
 
@@ -192,5 +192,5 @@ def oracle_sql() -> dict[str, str]:
         "ez12_zone_profile": query("select status, count(*) as n_zones, round(avg(days), 6) as mean_days, max(days) filter (i = ceil(0.95 * n)) as q95_days, max(n_components) as max_components, sum(n_bridges)::bigint as n_bridges from (select *, row_number() over (partition by status order by days) as i, count(*) over (partition by status) as n from (select *, (datediff('day', start_date, end_date) + 1)::double as days from zb_zone)) group by 1"),
         "dq23_observation": query("select s.security_id, cast(s.trading_date as varchar) as trading_date, trading_status, case when adj_factor is null then 'neutral_factor' else 'source' end as policy, round(adjusted_close * coalesce(adj_factor, 1.0), 9) as close, case when up_limit is not null then adjusted_close >= up_limit end as at_up_limit, case when down_limit is not null then adjusted_close <= down_limit end as at_down_limit, case when trading_status = 'suspended' then 'suspended' when adjusted_close is null then 'no_price' else 'none' end as exclusion from srcst s left join pday using (security_id, trading_date) left join evid using (security_id, trading_date) left join lims using (security_id, trading_date)"),
         "dy07_contract_checks": query("select unnest(['repeated_keys', 'broken_sequence', 'valid_without_state']) as metric, unnest([a, b, c])::double as value, case when unnest([a, b, c]) = 0 then 'pass' else 'fail' end as status from (select count(*) - count(distinct (security_id, trading_date)) as a, count(*) filter (st <> 1) as b, count(*) filter (validity_status = 'valid' and raw_state is null) as c from (select *, observation_sequence - lag(observation_sequence) over (partition by security_id order by trading_date) as st from uspine))"),
-        "dq32_price_counts_by_month": query("select strftime(trading_date, '%Y-%m') as month, count(*) as n_rows, count(distinct security_id) as n_entities, count(*) filter (suspension_flag) as n_suspended from pday group by 1"),
+        "dq34_price_counts_by_month": query("select strftime(trading_date, '%Y-%m') as month, count(*) as n_rows, count(distinct security_id) as n_entities, count(*) filter (suspension_flag) as n_suspended from pday group by 1"),
     }
