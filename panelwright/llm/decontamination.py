@@ -303,7 +303,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, any_length: bool = Fal
     ``distance`` is the least word edit distance of a window to the item, ``first_word`` the first
     such window's place; windows have the item's length, or ``any_length``. Null and empty texts, and items
     without words, match nothing; a null doc_id or item_id stays null. Repeated documents and items give a
-    row each, equal items the same distance. Very long texts are read whole. Empty tables give no rows.
+    row each, equal items the same distance. Very long texts are read whole. Empty tables give no rows;
+    other columns play no part.
     """
     out = None
     for index in benchmark_slices(benchmark):

@@ -68,7 +68,8 @@ def _repeat_words(grams: Column) -> Column:
 def ledger(docs: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """documents -> doc_id, measurements, and ``failed``, the bitmask of the rules that a document fails.
 
-    Null and empty texts have no words and fail ``few_words``. Every row is measured by itself.
+    Null and empty texts have no words and fail ``few_words``. Every row is measured by itself, repeated ones
+    too; texts are measured whole, however long. An empty table gives no rows; other columns play no part.
     """
     text = F.coalesce("text", F.lit(""))
     out = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("words"))

@@ -167,7 +167,8 @@ def simhash_groups(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHAR
 
     Null and word-free texts share fingerprint 0 and one component. Rows with the same text or id
     are each returned. A null doc_id gets the component of its fingerprint's group, and null where
-    no member of the group has an id. An empty table gives an empty result; texts are read whole.
+    no member of the group has an id. An empty table gives an empty result; texts are read whole; other columns play
+    no part.
     """
     prints = materialize(docs.select("doc_id", fingerprint_udf("text").alias("fp")), "fingerprints")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))

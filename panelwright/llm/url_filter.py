@@ -51,7 +51,8 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     The longest domain with an active entry decides; at equal length ``allow`` overrules ``block``.
     Captures without an active entry, host or date are allowed and have a null domain and list.
-    Repeated captures are each returned.
+    Repeated captures are each returned. URLs are read whole, however long; an empty table of captures gives no rows,
+    one of entries allows all. Other columns play no part, whatever their names.
     """
     captures = captures.withColumn("host", host_of(F.col("url")))
     month = lambda day: F.year(day) * 12 + F.month(day)
