@@ -50,17 +50,6 @@ def tail_bucket(word: bytes) -> int:
     return 1 + OWN + zlib.crc32(word[-2:]) % TAIL
 
 
-class Buckets(dict):
-    """word -> bucket; what the tail's words get is kept for a while."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > FLUSH:
-            for w in [w for w, b in self.items() if b > OWN]:
-                del self[w]
-        self[word] = at = tail_bucket(word)
-        return at
-
-
 class Room(dict):
     """Memory that the windows of a run share by name: fresh arrays of this size cost more in page faults than their sums."""
 
@@ -250,7 +239,7 @@ def train(model: Model, texts: list[np.ndarray], rate: float, lanes: int = LANES
     model, grad = with_weights(model, flat), np.zeros_like(flat)
     first, second, grads = np.zeros_like(flat), np.zeros_like(flat), _views(model, grad)
     size, room = model.urz.shape[0], Room()
-    h, columns, one = np.zeros((size, lanes), np.float32), np.arange(3 * size), np.float32(1)
+    h, one = np.zeros((size, lanes), np.float32), np.float32(1)
     for count, at in enumerate(range(0, len(x), window), 1):
         steps = min(window, len(x) - at)
         cuts = [stays[t] if starts[t] else None for t in range(at, at + steps)]
@@ -280,8 +269,11 @@ def train(model: Model, texts: list[np.ndarray], rate: float, lanes: int = LANES
                 d *= cuts[t]
         grads["un"] += np.matmul(held, gates[:, 2 * size :].transpose(0, 2, 1)).sum(0)
         grads["urz"] += np.matmul(prev, gates[:, : 2 * size].transpose(0, 2, 1)).sum(0)
-        cells = np.add(x[at : at + steps].reshape(-1, 1) * (3 * size), columns, out=room("cells", steps * lanes, 3 * size, dtype=np.int64))
-        np.add.at(grads["wx"].reshape(-1), cells.ravel(), _rows(gates, room).ravel())
+        held_words = x[at : at + steps].ravel()
+        by_word = np.argsort(held_words.astype(np.int16), kind="stable")
+        begun = np.flatnonzero(np.diff(held_words[by_word], prepend=-1))
+        sorted_rows = np.take(_rows(gates, room), by_word, axis=0, out=room("by word", steps * lanes, 3 * size), mode="clip")
+        grads["wx"][held_words[by_word[begun]]] += np.add.reduceat(sorted_rows, begun, axis=0)
         step, root = room("step", len(flat)), room("root", len(flat))
         first += np.multiply(np.subtract(grad, first, out=step), np.float32(0.1), out=step)
         second += np.multiply(np.subtract(np.multiply(grad, grad, out=step), second, out=step), np.float32(0.001), out=step)
@@ -425,7 +417,8 @@ def _tail_mass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"bucket": held, "mass": mass[held]})
 
 
-def fit(docs: DataFrame, counts: DataFrame, corpus: Corpus) -> Model:
+def base_model(counts: DataFrame, corpus: Corpus) -> Model:
+    """The untrained model: own words are the most frequent ones, all other words keep their counts in buckets."""
     known = counts.where("first and c > 0").select("token", "c")
     top = known.orderBy(F.desc("c"), "token").limit(OWN).collect()
     own = {bytes(r["token"]): 1 + i for i, r in enumerate(top)}
@@ -437,17 +430,7 @@ def fit(docs: DataFrame, counts: DataFrame, corpus: Corpus) -> Model:
         word = bytes(r["token"])
         mass[own[word]] += r["c"]
         mass[tail_bucket(word)] -= r["c"] + 1
-    return fit_network(new_model(own, mass), docs, corpus)
-
-
-def _code_batches(own: dict[bytes, int]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket = Buckets(own).__getitem__
-        for batch in batches:
-            codes = [np.array([*map(bucket, tokens(text)), 0], np.int16).tobytes() for text in batch["text"]]
-            yield pd.DataFrame({"place": batch["place"], "codes": codes})
-
-    return run
+    return new_model(own, mass)
 
 
 def _unit_batches(model: Model, rate: float):
@@ -479,24 +462,25 @@ def _summed(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"group": [part["group"].iloc[0]], "n": [part["n"].sum()], "weights": [total.tobytes()]})
 
 
-def fit_network(model: Model, docs: DataFrame, corpus: Corpus) -> Model:
+def shape_of(corpus: Corpus) -> tuple[int, int]:
+    """Slices, and units of each."""
+    slices = max(1, min(SLICES, -(-corpus.n // UNIT_TOKENS)))
+    return slices, max(1, -(-corpus.n // (slices * UNIT_TOKENS)))
+
+
+def fit_network(model: Model, coded: DataFrame, corpus: Corpus) -> Model:
     """The model after all training documents: in each pass, every text is in one slice and one unit of it.
 
-    Slices and units are dealt by a hash of the row, so neither depends on partitions. Sums of weights
+    ``coded`` stands in a folder for each slice, which reads its own alone. Slices and units are dealt by a hash of the row
+    and, for rows that are equal, of their number within a chunk, so equal rows spread over units. Sums of weights
     meet in groups, as many as the root of the units' number.
     """
     if not corpus.n_docs:
         return model
-    slices = min(SLICES, -(-corpus.n // UNIT_TOKENS))
-    units = -(-corpus.n // (slices * UNIT_TOKENS))
+    slices, units = shape_of(corpus)
     passes = min(EPOCHS, -(-PASS_TOKENS // corpus.n))
-    codes = docs.where(~F.col("held_out")).select(F.xxhash64("doc_id", "text").alias("place"), "text")
-    codes = codes.mapInPandas(_code_batches(model.own), "place long, codes binary")
-    deal = F.pmod(F.col("place"), F.lit(slices * units))
-    codes = codes.select("place", "codes", (deal % slices).alias("slice"), F.floor(deal / slices).alias("unit"))
-    codes = materialize(codes, "codes", ["slice"])  # a slice reads its own folder alone
     for k in range(passes * slices):
-        part = codes.where(F.col("slice") == k % slices).repartition(4 * units, "unit").sortWithinPartitions("unit", "place")
+        part = coded.where(F.col("slice") == k % slices).select("unit", "place", "codes").repartition(4 * units, "unit").sortWithinPartitions("unit", "place")
         rate = 0.006 * 0.6 ** (EPOCHS * k / (passes * slices))
         trained = part.select("unit", "codes").mapInPandas(_unit_batches(model, rate), "unit long, n long, weights binary")
         grouped = trained.withColumn("group", F.pmod(F.xxhash64("unit"), F.lit(int(units**0.5) + 1))).groupBy("group")
@@ -507,7 +491,12 @@ def fit_network(model: Model, docs: DataFrame, corpus: Corpus) -> Model:
     return model
 
 
-def _score_chunk(model: Model, corpus: Corpus):
+CODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, place long, codes binary"
+
+
+def _code_chunk(model: Model, corpus: Corpus):
+    """Texts of a chunk and the counts of its tokens -> everything that a text's score needs besides the network, and its buckets."""
+
     def run(docs: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         words = counts["token"].tolist()
         place = dict(zip(words, range(len(words))))
@@ -517,38 +506,62 @@ def _score_chunk(model: Model, corpus: Corpus):
         tails = np.flatnonzero(~own).tolist()
         bucket[tails] = [tail_bucket(words[i]) for i in tails]
         share = np.where(own, 0.0, np.log(seen + 1) - np.log(model.mass[bucket])) if len(words) else np.empty(0)
-        log_seen, texts, out = np.log10(seen + 1), [], []
+        log_seen, known, bucket, out = np.log10(seen + 1), seen > 0, bucket.astype(np.int16), []
         each = np.log10(corpus.n + corpus.distinct + 1)
-        for doc_id, held_out, text in zip(docs["doc_id"].astype(object), docs["held_out"], docs["text"]):
+        again: Counter = Counter()
+        for doc_id, held_out, hashed, text in zip(docs["doc_id"].astype(object), docs["held_out"], docs["place"], docs["text"]):
             at = np.array([*map(place.__getitem__, tokens(text))], np.int64)
-            texts.append(np.append(bucket[at], 0))
             base = log_seen[at].sum() + np.log10(corpus.n_docs + 1) - (len(at) + 1) * each
-            inner = share[at].sum()
-            out.append((doc_id, held_out, len(at) + 1, int((seen[at] > 0).sum()) + (corpus.n_docs > 0), corpus.n, base, inner))
-        out = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-        out["score"] = (out["score"] + score_texts(model, texts)) / np.log(10)
+            dealt = zlib.crc32(b"%d %d" % (hashed, again[hashed]))
+            again[hashed] += 1
+            out.append((doc_id, held_out, len(at) + 1, int(known[at].sum()) + (corpus.n_docs > 0), base, share[at].sum(), dealt, np.append(bucket[at], np.int16(0)).tobytes()))
+        out = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "inner", "place", "codes"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         return out
 
     return run
 
 
+def code_documents(docs: DataFrame, chunks: int, counts: DataFrame, model: Model, corpus: Corpus) -> DataFrame:
+    """Chunked documents -> written rows of CODED with their slice (-1: held out) and unit; texts are cut to tokens here for the last time."""
+    # several partitions for each chunk: few partitions get more than one or two chunks by chance
+    of_chunk = counts.select("chunk", "token", "c").repartition(4 * chunks, "chunk")
+    docs = docs.withColumn("place", F.xxhash64("doc_id", "text")).repartition(4 * chunks, "chunk")
+    coded = docs.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInPandas(_code_chunk(model, corpus), CODED)
+    slices, units = shape_of(corpus)
+    deal = F.col("place") % (slices * units)
+    coded = coded.withColumns({"slice": F.when(F.col("held_out"), F.lit(-1)).otherwise(deal % slices).cast("int"), "unit": F.floor(deal / slices)})
+    return materialize(coded, "codes", ["slice"])
+
+
+def _score_batches(model: Model):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes = [np.frombuffer(c, np.int16) for c in batch["codes"]]
+            upto = np.cumsum([len(c) for c in codes]) // CHUNK_CHARS  # so many tokens at a time
+            cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(codes)]
+            scores = np.concatenate([score_texts(model, codes[a:b]) for a, b in zip(cuts, cuts[1:])])
+            yield batch.drop(columns=["codes", "inner"]).assign(score=(batch["inner"].to_numpy() + scores) / np.log(10))
+
+    return run
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A null or empty text is its end mark alone. Rows that repeat an id or a text are each scored (and
-    counted, where they are training rows). An empty table gives no rows. Texts are scored whole.
+    counted, where they are training rows). An empty table gives no rows. Texts are scored whole. A corpus of fewer than PASS_TOKENS
+    tokens is gone through several times, a larger one once, in at most SLICES rounds of units.
     """
     docs, chunks = _chunked(docs.select("doc_id", "text"))
     docs = docs.withColumn("held_out", crc_mod(F.col("doc_id"), 7) == HELD_OUT)
     counts, corpus = count_tokens(docs)
-    model = fit(docs, counts, corpus)
-    # several partitions for each chunk: few partitions get more than one or two chunks by chance
-    of_chunk, docs = counts.select("chunk", "token", "c").repartition(4 * chunks, "chunk"), docs.repartition(4 * chunks, "chunk")
-    return docs.groupBy("chunk").cogroup(of_chunk.groupBy("chunk")).applyInPandas(
-        _score_chunk(model, corpus),
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-    )
+    model = base_model(counts, corpus)
+    coded = code_documents(docs, chunks, counts, model, corpus)
+    model = fit_network(model, coded, corpus)
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"]
+    rows = coded.select(*columns[:4], F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "inner", "codes")
+    return rows.mapInPandas(_score_batches(model), ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in columns) + ", score double")
 
 
 op3 = score_documents
