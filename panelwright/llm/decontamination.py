@@ -271,14 +271,17 @@ def leaks(texts: list[str | None], index: Index, any_length: bool = False) -> li
     return [[(item, *best) for item, best in one.items()] for one in found]
 
 
-def benchmark_slices(benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> Iterator[Index]:
-    """Indexes over slices of the benchmark, each of a bounded size."""
-    rows = benchmark.select("item_id", "text")
-    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+def benchmark_slices(benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> Iterator[tuple[Index, list[str]]]:
+    """Indexes over slices of the benchmark's different texts, each of a bounded size, and those texts.
+
+    An index's ids are places in the list. Equal rows are grouped in Spark first, so however often a row repeats, it comes once.
+    """
+    texts = benchmark.select("text").where("text is not null").distinct()
+    size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     slices = max(1, -(-size["n"] // items_at_once), -(-size["chars"] // CHARS_AT_ONCE))
     for k in range(slices):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
-        yield build_index(sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")))
+        part = sorted(r["text"] for r in texts.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == k).collect())
+        yield build_index(list(enumerate(part))), part
 
 
 LEAK_TYPE = "array<struct<item_row:int,distance:int,first_word:long>>"
@@ -307,12 +310,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, any_length: bool = Fal
     other columns play no part.
     """
     out = None
-    for index in benchmark_slices(benchmark):
+    for index, texts in benchmark_slices(benchmark):
         found = docs.select("doc_id", F.explode(leaks_udf(index, any_length)("text")).alias("leak"))
         found = found.select("doc_id", F.col("leak.item_row").alias("item_row"), F.col("leak.distance").alias("distance"), F.col("leak.first_word").alias("first_word"))
-        # a slice has at most ITEMS_AT_ONCE rows
-        known = docs.sparkSession.createDataFrame([(row, i) for row, ids in enumerate(index.ids) for i in ids], "item_row int, item_id long")
-        part = found.join(F.broadcast(known), "item_row").select("doc_id", "item_id", "distance", "first_word")
+        # a slice has at most ITEMS_AT_ONCE different texts; the rows of a text, however many, meet its leaks in Spark
+        known = docs.sparkSession.createDataFrame([(row, texts[i]) for row, held in enumerate(index.ids) for i in held], "item_row int, item_text string")
+        known = benchmark.select("item_id", F.col("text").alias("item_text")).join(F.broadcast(known), "item_text")
+        part = found.join(known, "item_row").select("doc_id", "item_id", "distance", "first_word")
         out = part if out is None else out.union(part)
     return out
 
@@ -323,7 +327,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, any_length: bool =
     Decided by each row's text alone: null and empty texts stay, rows that repeat an id or a text are judged each
     by itself. Without items nothing goes; an empty table stays empty.
     """
-    for index in benchmark_slices(benchmark):
+    for index, _ in benchmark_slices(benchmark):
         docs = docs.where(F.size(leaks_udf(index, any_length)("text")) == 0)
     return docs
 

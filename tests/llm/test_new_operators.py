@@ -268,3 +268,18 @@ def test_label_totals_by_either_join(spark):
     coded = spark.createDataFrame([(k, None if k % 3 else k % 4, f"{k:02x}", k) for k in range(50)], "vec_id long, label int, code string, error long")
     some, many = (sorted(map(tuple, V.with_label_error(coded, n).select("vec_id", "label_error").collect())) for n in (100, 0))
     assert some == many and len(some) == 50
+
+
+def test_a_benchmark_row_that_repeats_is_searched_once(spark):
+    from panelwright.llm import decontamination
+
+    item = "the quick brown fox jumps over the lazy dog and then sleeps"
+    rows = [(i % 40, item) for i in range(400)] + [(None, item), (900, item.upper()), (901, "one two three four five six seven"), (902, None), (903, "")]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    (index, texts), = decontamination.benchmark_slices(benchmark)
+    assert len(texts) == 4 and len(index.items) == 2
+    docs = spark.createDataFrame([(1, "so " + item + " well"), (2, "nothing here"), (None, item), (4, None)], "doc_id long, text string")
+    got = decontamination.contaminations(docs, benchmark, any_length=True).collect()
+    assert len(got) == 2 * 402 and {r.distance for r in got} == {0}
+    assert sum(r.item_id is None for r in got) == 2 and sum(r.item_id == 7 for r in got) == 20 and {r.first_word for r in got if r.doc_id == 1} == {1}
+    assert {r.doc_id for r in decontamination.drop_contaminated(docs, benchmark).collect()} == {2, 4}
