@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelwright.plans import decisions, exits, grids, metrics, nulls, pairs, price_checks, quality, records, requests, stability, states, statistics, streams, studies, zones
+from panelwright.plans import decisions, exits, grids, metrics, nulls, pairs, price_checks, profiles, quality, records, requests, stability, states, statistics, streams, studies, zones
 
-MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies, records, nulls, decisions, exits, pairs, grids, price_checks, stability)
+MODULES = (metrics, states, quality, zones, statistics, requests, streams, studies, records, nulls, decisions, exits, pairs, grids, price_checks, stability, profiles)
 
 
 def queries() -> dict:
