@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import ratio
@@ -21,6 +21,29 @@ def multiset_diff(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return out.where("n_left <> n_right")
 
 
+def multiset_counts(a: DataFrame, b: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
+    """(metric, value): rows of both sides, rows that one side lacks with their repeats, and rows that repeat a key on its side.
+
+    Both sides are counted before they meet, so a row that repeats without end is one row of the shuffle's result.
+    """
+    sides = a.select(*columns, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*columns, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    each = sides.groupBy(*columns).agg(F.sum("_a").alias("a"), F.sum("_b").alias("b"))
+    keys = each.groupBy(*key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    over = lambda x, y: F.greatest(F.col(x) - F.col(y), F.lit(0))
+    rows = each.agg(total("a").alias("n_left"), total("b").alias("n_right"), total(over("b", "a")).alias("n_missing"), total(over("a", "b")).alias("n_unexpected"))
+    repeats = keys.agg(*[total(F.greatest(F.col(c) - 1, F.lit(0))).alias(f"n_repeats_{n}") for c, n in (("a", "left"), ("b", "right"))])
+    return rows.unpivot([], rows.columns, "metric", "value").unionByName(repeats.unpivot([], repeats.columns, "metric", "value"))
+
+
+def first_differences(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], n: int = 20) -> DataFrame:
+    """(kind, place, keys): the first ``n`` keys, in order, of each kind of difference. Every task keeps its own first ones before they meet."""
+    both = a.select(*keys, F.struct(*values).alias("x"), F.lit(True).alias("_x")).join(b.select(*keys, F.struct(*values).alias("y"), F.lit(True).alias("_y")), keys, "full")
+    kind = F.when(F.col("_y").isNull(), "left_only").when(F.col("_x").isNull(), "right_only").when(~F.col("x").eqNullSafe(F.col("y")), "mismatched")
+    found = both.select(*keys, kind.alias("kind")).where("kind is not null")
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*keys))).where(F.col("place") <= n)
+
+
 def keyed_diff(a: DataFrame, b: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Keys of one side alone, keys with unequal values, and unequal values by column, as (metric, value)."""
     x = a.select(*keys, F.struct(*values).alias("x"), F.lit(True).alias("_x"))

@@ -128,6 +128,12 @@ def transitions(found: DataFrame, assigned: DataFrame, keys: list[str]) -> DataF
     return out.withColumns({"ordinal": F.row_number().over(w), "previous_event": F.lag("event").over(w)})
 
 
+def transition_counts(ledger: DataFrame, keys: list[str]) -> DataFrame:
+    """The ledger by what came before and what follows: transitions, entities, and the share of all that leave the same event."""
+    out = ledger.groupBy("previous_event", "event").agg(F.count("*").alias("n"), F.countDistinct(*keys).alias("n_entities"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("previous_event")))  # a row for each pair of events
+
+
 def strict_core(primary: DataFrame, strict: DataFrame, keys: list[str]) -> DataFrame:
     """Days shared by two membership tables, and days of the strict one that the primary lacks."""
     a, b = primary.select(*keys, TIME).distinct(), strict.select(*keys, TIME).distinct()

@@ -2,7 +2,7 @@
 
 import datetime
 
-from panelwright.operators import profiles
+from panelwright.operators import profiles, reconcile, zones
 
 DAY = datetime.date(2001, 12, 30)
 
@@ -47,3 +47,22 @@ def test_windows_count_usable_rows(spark):
         near = lambda n, out: sum(j not in out for j in range(max(0, i - n + 1), i + 1))
         assert (r["price_15"], r["price_80"], r["participation_20"], r["trend_60"]) == (near(15, (5, 7, 11)), near(80, (5, 7, 11)), near(20, (9,)), near(60, (7,)))
         assert r["capacity"] == "insufficient_history"
+
+
+def test_multisets_and_first_differences(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, None), (2, "y"), (None, "z")], "k long, v string")
+    b = spark.createDataFrame([(1, "x"), (1, None), (1, None), (3, "y"), (None, "z")], "k long, v string")
+    got = {r["metric"]: r["value"] for r in reconcile.multiset_counts(a, b, ["k", "v"], ["k"]).collect()}
+    assert got == {"n_left": 5, "n_right": 5, "n_missing": 2, "n_unexpected": 2, "n_repeats_left": 2, "n_repeats_right": 2}
+    none = {r["metric"]: r["value"] for r in reconcile.multiset_counts(a.where("false"), b.where("false"), ["k", "v"], ["k"]).collect()}
+    assert set(none.values()) == {0}
+    x = spark.createDataFrame([(i, float(i)) for i in range(60)], "k long, v double")
+    y = spark.createDataFrame([(i, float(i) + (i % 2) if i % 10 else None) for i in range(30, 90)], "k long, v double")
+    rows = sorted((r["kind"], r["place"], r["k"]) for r in reconcile.first_differences(x, y, ["k"], ["v"], 4).collect())
+    assert rows == [("left_only", i + 1, i) for i in range(4)] + [("mismatched", i + 1, k) for i, k in enumerate((30, 31, 33, 35))] + [("right_only", i + 1, 60 + i) for i in range(4)]
+
+
+def test_transitions_are_counted_by_their_ends(spark):
+    ledger = spark.createDataFrame([(1, None, "a"), (1, "a", "b"), (2, "a", "b"), (2, "a", "c"), (2, "a", "b")], "security_id long, previous_event string, event string")
+    got = {(r["previous_event"], r["event"]): (r["n"], r["n_entities"], r["share"]) for r in zones.transition_counts(ledger, ["security_id"]).collect()}
+    assert got == {(None, "a"): (1, 1, 1.0), ("a", "b"): (3, 2, 0.75), ("a", "c"): (1, 1, 0.25)}
