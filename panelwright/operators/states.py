@@ -27,9 +27,11 @@ def dimension_states(scores: DataFrame, qs: list[float], delta: float = WEAK_DEL
     return out.withColumn("active", weak_state(F.col("q"), delta))
 
 
-def weak_state(q: Column, delta: float = WEAK_DELTA) -> Column:
-    ready = (F.col("validity_status") == "valid") & finite(F.col("score_mean")) & finite(F.col("score_min"))
-    return F.when(ready, meets(F.col("score_mean"), 1 - q) & meets(F.col("score_min"), 1 - q - delta))
+def weak_state(q: Column, delta: float = WEAK_DELTA, of: str = "") -> Column:
+    """``of``: the name, with a point, of the struct that holds the score; none for columns."""
+    mean, least = F.col(f"{of}score_mean"), F.col(f"{of}score_min")
+    ready = (F.col(f"{of}validity_status") == "valid") & finite(mean) & finite(least)
+    return F.when(ready, meets(mean, 1 - q) & meets(least, 1 - q - delta))
 
 
 def dimension_wide(states: DataFrame, dimensions: list[str], keys: list[str]) -> DataFrame:
