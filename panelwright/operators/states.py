@@ -17,8 +17,13 @@ WEAK_DELTA = 0.10
 def indicator_states(scores: DataFrame, qs: list[float]) -> DataFrame:
     """A row for each score and q: active where score >= 1 - q; null where the score is not valid or not finite."""
     out = scores.withColumn("q", F.explode(F.array(*map(F.lit, qs))))
-    active = F.when((F.col("validity_status") == "valid") & finite(F.col("score")), meets(F.col("score"), 1 - F.col("q")))
-    return out.withColumn("active", active)
+    return out.withColumn("active", active_state(F.col("q")))
+
+
+def active_state(q: Column, of: str = "") -> Column:
+    """``of``: the name, with a point, of the struct that holds the score; none for columns."""
+    score = F.col(f"{of}score")
+    return F.when((F.col(f"{of}validity_status") == "valid") & finite(score), meets(score, 1 - q))
 
 
 def dimension_states(scores: DataFrame, qs: list[float], delta: float = WEAK_DELTA) -> DataFrame:

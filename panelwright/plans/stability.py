@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from panelwright.operators import pairs as P
 from panelwright.operators import stability as Y
 from panelwright.operators import states as ST
+from panelwright.plans.metrics import DIMENSIONS, wide_dims
 from panelwright.plans.sql import query, step
-from panelwright.plans.states import DIMS, QS, dim_scores, nested
+from panelwright.plans.states import DIMS, QS, nested
 from panelwright.plans.statistics import _ASSOC, rounded
 
 LAGS = [1, 3, 5, 10, 20]
@@ -34,8 +35,8 @@ def _lags(spark, d: str) -> DataFrame:
 
 
 def _crosstab(spark, d: str) -> DataFrame:
-    scores = dim_scores(spark, d).where(F.col("dimension") == DIMS[0])
-    levels = scores.select("security_id", "trading_date", *[ST.weak_state(F.lit(q)).alias(n) for n, q in LEVELS.items()])
+    scores = wide_dims(spark, d, {DIMS[0]: DIMENSIONS[DIMS[0]]})
+    levels = scores.select("security_id", "trading_date", *[ST.weak_state(F.lit(q), of=f"{DIMS[0]}.").alias(n) for n, q in LEVELS.items()])
     return Y.transition_crosstab(levels, NEXT)
 
 

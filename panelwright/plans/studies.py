@@ -12,7 +12,7 @@ from panelwright.operators import statistics as A
 from panelwright.operators import zones as Z
 from panelwright.operators.selection import quantiles
 from panelwright.plans import quality as PQ
-from panelwright.plans.metrics import long_scores, prices
+from panelwright.plans.metrics import DIMENSIONS, long_scores, prices, wide_scores
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import nested, spine, spine_confirmed, text_dates
 from panelwright.plans.statistics import _ASSOC, _COUNTS, _spread_sql, nine_sql, rounded, two_states
@@ -22,8 +22,8 @@ from panelwright.sources.scratch import written
 
 def score_states(spark, d: str) -> DataFrame:
     """Two indicators of one dimension as states at q = 0.2."""
-    rows = ST.indicator_states(long_scores(spark, d).where("dimension = 'C'"), [0.2])
-    return rows.groupBy("security_id", "trading_date").agg(*[F.bool_or(F.when(F.col("indicator") == i, F.col("active"))).alias(n) for i, n in (("ma_spread", "a"), ("vwap_spread", "b"))])
+    wide = wide_scores(spark, d, indicators=list(DIMENSIONS["C"]))
+    return wide.select("security_id", "trading_date", *[ST.active_state(F.lit(0.2), f"{i}.").alias(n) for i, n in (("ma_spread", "a"), ("vwap_spread", "b"))])
 
 
 step("cst", "select security_id, trading_date, bool_or(act) filter (indicator = 'ma_spread') as a, bool_or(act) filter (indicator = 'vwap_spread') as b from (select *, case when validity_status = 'valid' then score + 1e-12 >= 1 - 0.2::double end as act from scores_long where dimension = 'C') group by 1, 2")
@@ -31,7 +31,7 @@ step("cst", "select security_id, trading_date, bool_or(act) filter (indicator =
 
 def _tail_overlap(spark, d: str) -> DataFrame:
     """Overlap of the top fifths of two scores by the discrete quantile: the n-th value in order, n = ceil(0.8 count)."""
-    wide = long_scores(spark, d).where("dimension = 'C' and score is not null").groupBy("security_id", "trading_date").agg(F.max(F.when(F.col("indicator") == "ma_spread", F.col("score"))).alias("a"), F.max(F.when(F.col("indicator") == "vwap_spread", F.col("score"))).alias("b")).where("a is not null and b is not null")
+    wide = wide_scores(spark, d, indicators=list(DIMENSIONS["C"])).select("security_id", "trading_date", F.col("ma_spread.score").alias("a"), F.col("vwap_spread.score").alias("b")).where("a is not null and b is not null")
     wide = written(wide, "tail-scores")
     long = wide.unpivot([], ["a", "b"], "side", "value")
     ends = quantiles(long, ["side"], "value", {"q": 0.8}, "nearest").groupBy().agg(*[F.max(F.when(F.col("side") == c, F.col("q"))).alias(f"{c}_end") for c in ("a", "b")])

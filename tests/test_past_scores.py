@@ -39,3 +39,13 @@ def test_scores_are_dealt_once_and_gather_no_series(spark):
     for rows in (metrics.long_scores(spark, TESTDATA), states.dim_scores(spark, TESTDATA), states.nested(spark, TESTDATA)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") + plan.count("Exchange REPARTITION") <= 1 and "collect_list" not in plan
+
+
+def test_reasons_are_counted_in_one_pass_without_values(spark):
+    from panelwright.operators.statistics import reason_profile
+    from panelwright.plans import statistics
+
+    plan = statistics.queries()["as06_reason_profile"](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "avg(" not in plan and "regr" not in plan
+    rows = spark.createDataFrame([(["a", "b"],), (["a"],), ([],), (None,)], "reason_codes array<string>")
+    assert {tuple(r) for r in reason_profile(rows).collect()} == {("a", 2, 0.5, 2 / 3), ("b", 1, 0.25, 1 / 3)}
