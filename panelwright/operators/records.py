@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import PANEL, Panel, ratio, reason_list, worst_status
+from panelwright.operators.states import weak_state
 
 KEYS = ["security_id", "trading_date"]
 
@@ -45,12 +46,8 @@ def repair_rollup(candidates: DataFrame, by: list[str]) -> DataFrame:
 
 
 def common_wide(rows: DataFrame, indicators: list[str]) -> DataFrame:
-    """A row for each security and day on which every indicator has a valid value, a column for each.
-
-    Days that lack one of them, or hold only invalid or null values of it, have no row; of repeated rows the largest value stands.
-    """
-    valid = F.when(F.col("validity_status") == "valid", F.col("value"))
-    wide = rows.groupBy(*KEYS).agg(*[F.max(F.when(F.col("indicator") == n, valid)).alias(n) for n in indicators])
+    """Days on which every indicator, a struct of value and validity_status beside the others, has a valid value; a column for each."""
+    wide = rows.select(*KEYS, *[F.when(F.col(f"{n}.validity_status") == "valid", F.col(f"{n}.value")).alias(n) for n in indicators])
     return wide.dropna(subset=indicators)
 
 
@@ -199,15 +196,14 @@ def nested_keys(states: DataFrame, keys: list[str]) -> DataFrame:
     return out.groupBy("q").agg(F.count_if("active").alias("n_active"), F.count_if(F.col("active") & (F.col("_next") == F.lit(False))).alias("n_violations"))
 
 
-def dimension_flags(states: DataFrame, dimensions: list[str]) -> DataFrame:
-    """One row a day with valid, active and raw (null kept) for each dimension."""
+def dimension_flags(wide: DataFrame, dimensions: list[str], q: float) -> DataFrame:
+    """One row a day with valid, active and raw (null kept) for each dimension, from the structs of their scores."""
+    wide = wide.withColumns({f"_raw_{d}": weak_state(F.lit(q), of=f"{d}.") for d in dimensions})
     cols = []
     for d in dimensions:
-        of = F.col("dimension") == d
-        valid = F.coalesce(F.bool_or(of & (F.col("validity_status") == "valid")), F.lit(False))
-        raw = F.bool_or(F.when(of, F.col("active")))
+        valid, raw = F.coalesce(F.col(f"{d}.validity_status") == "valid", F.lit(False)), F.col(f"_raw_{d}")
         cols += [valid.alias(f"valid_{d}"), F.coalesce(raw, F.lit(False)).alias(f"active_{d}"), raw.alias(f"raw_{d}")]
-    return states.groupBy(*KEYS).agg(*cols)
+    return wide.select(*KEYS, *cols)
 
 
 def layer_steps(wide: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.conventions import chain_and, finite, islands, meets
+from panelwright.functions.conventions import chain_and, finite, meets
 
 WEAK_DELTA = 0.10
 
@@ -69,17 +69,19 @@ def nesting_violations(n: int) -> Column:
 
 
 def streaks(df: DataFrame, keys: list[str], state: str = "raw_state", time: str = "trading_date", ready: Column | None = None) -> DataFrame:
-    """Run length of ready, true rows (0 where false, null where not ready), with the run's number and first date."""
+    """Run length of ready, true rows (0 where false, null where not ready), with the run's number and first date; all over one sort."""
     ready = F.col(state).isNotNull() if ready is None else ready & F.col(state).isNotNull()
-    df = df.withColumn("_on", ready & F.col(state))
-    df = islands(df, "_on", keys, time)
-    run = Window.partitionBy(*keys, "run")
-    length = F.row_number().over(run.orderBy(time))
+    kept, w = df.columns, Window.partitionBy(*keys).orderBy(time)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumns({"_ready": ready, "_on": F.coalesce(ready & F.col(state), F.lit(False))})
+    df = df.withColumns({"_begins": F.col("_on") & ~F.coalesce(F.lag("_on").over(w), F.lit(False)), "_at": F.row_number().over(w)})
+    begins = lambda c: F.when(F.col("_begins"), F.col(c))
+    df = df.withColumns({"_run": F.count(begins("_at")).over(upto), "_first": F.max(begins("_at")).over(upto), "_start": F.max(begins(time)).over(upto)})
+    on = F.col("_on")
     return df.select(
-        *[c for c in df.columns if c != "_on"],
-        F.when(F.col("run").isNotNull(), length).when(ready, F.lit(0)).alias("streak"),
-        F.when(F.col("run").isNotNull(), F.min(time).over(run)).alias("run_start"),
-    )
+        *kept, F.when(on, F.col("_run")).alias("run"), F.when(on, F.col("_at") - F.col("_first") + 1).when(F.col("_ready"), F.lit(0)).alias("streak"),
+        F.when(on, F.col("_start")).alias("run_start"),
+    )
 
 
 def confirm(df: DataFrame, ks: list[int], keys: list[str], time: str = "trading_date") -> DataFrame:
@@ -116,6 +118,38 @@ def intervals(df: DataFrame, keys: list[str], state: str = "raw_state", time: st
     )
 
 
+def wide_intervals(df: DataFrame, series: dict[str, tuple[str, str, int]], label: str, entity: str = "security_id", time: str = "trading_date") -> DataFrame:
+    """``intervals`` of several series that stand side by side: ``series`` gives each one's columns of state and status, and its k.
+
+    All run over one sort of the entities' days; a day is opened to its series only where a confirmed run ends, so no series is dealt or sorted again.
+    """
+    w = Window.partitionBy(entity).orderBy(time)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells, edges, runs, met, found = {}, {}, {}, {}, []
+    for i, (name, (state, status, k)) in enumerate(series.items()):
+        on, begins, first = F.col(f"_on{i}"), F.col(f"_begins{i}"), F.col(f"_first{i}")
+        why = F.when(F.col(status) != "valid", F.concat(F.lit("state_"), F.col(status))).when(F.col(state) == F.lit(False), "state_false").otherwise("state_unknown")
+        cells |= {f"_on{i}": F.coalesce(F.col(state), F.lit(False)), f"_why{i}": why}
+        edges |= {f"_begins{i}": on & ~F.coalesce(F.lag(on).over(w), F.lit(False)), f"_ends{i}": on & ~F.coalesce(F.lead(on).over(w), F.lit(False)), f"_then{i}": F.lead(f"_why{i}").over(w)}
+        runs |= {f"_first{i}": F.max(F.when(begins, F.col("_place"))).over(upto), f"_start{i}": F.max(F.when(begins, F.col(time))).over(upto)}
+        length = F.col("_place") - first + 1
+        met |= {f"_met{i}": F.max(F.when(on & (length == k), F.col(time))).over(upto)}
+        end = F.struct(
+            F.lit(name).alias(label), F.col(f"_start{i}").alias("raw_start_date"), F.col(f"_met{i}").alias("confirmation_date"), length.cast("long").alias("duration_raw_days"),
+            (length - k + 1).cast("long").alias("duration_confirmed_days"), F.coalesce(F.col(f"_then{i}"), F.lit("end_of_input_open")).alias("termination_reason"),
+        )
+        found.append(F.when(F.col(f"_ends{i}") & (length >= k), end))
+    df = df.select(entity, time, *[c.alias(n) for n, c in cells.items()])
+    df = df.withColumns({"_place": F.row_number().over(w), "_next": F.lead(time).over(w), **edges}).withColumns(runs).withColumns(met)
+    rows = df.select(entity, time, "_next", F.explode(F.array_compact(F.array(*found))).alias("r"))
+    following = F.col("_next")
+    return rows.select(
+        entity, f"r.{label}", F.row_number().over(Window.partitionBy(entity, f"r.{label}").orderBy("r.raw_start_date")).alias("interval_no"),
+        "r.raw_start_date", "r.confirmation_date", F.when(following.isNotNull(), F.col(time)).alias("interval_end_date"), F.coalesce(following, F.col(time)).alias("last_observed_date"),
+        "r.duration_raw_days", "r.duration_confirmed_days", following.isNull().alias("is_open"), "r.termination_reason",
+    )
+
+
 def parameter_grid(spark: SparkSession, windows: list[int], qs: list[float], ks: list[int]) -> DataFrame:
     """All combinations of the parameters with an id and a content hash."""
     rows = []

@@ -15,7 +15,7 @@ from panelwright.operators import statistics as A
 from panelwright.operators import zones as Z
 from panelwright.operators.selection import quantiles
 from panelwright.plans import quality as PQ
-from panelwright.plans.metrics import DIMENSIONS, long_metrics, prices, score_step, steady
+from panelwright.plans.metrics import DIMENSIONS, prices, score_step, steady, wide_dims, wide_metrics
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import DIMS, dim_scores, low_range, spine, spine_confirmed, streak_steps, text_dates
 from panelwright.plans.statistics import KS_LAG, rounded, two_states
@@ -71,7 +71,7 @@ def low_intervals(spark, d: str) -> DataFrame:
 
 
 def flags(spark, d: str) -> DataFrame:
-    return R.dimension_flags(ST.dimension_states(dim_scores(spark, d), [0.2]), DIMS)
+    return R.dimension_flags(wide_dims(spark, d), DIMS, 0.2)
 
 
 def _members(spark, d: str) -> DataFrame:
@@ -368,7 +368,7 @@ def _repairs(spark, d: str) -> DataFrame:
 
 
 def _common_wide(spark, d: str) -> DataFrame:
-    wide = R.common_wide(long_metrics(spark, d), INDICATORS)
+    wide = R.common_wide(wide_metrics(spark, d), INDICATORS)
     return text_dates(wide.select("security_id", "trading_date", *[F.round(n, 6).alias(n) for n in INDICATORS]))
 
 

@@ -49,3 +49,37 @@ def test_reasons_are_counted_in_one_pass_without_values(spark):
     assert plan.count("FileScan") == 1 and "avg(" not in plan and "regr" not in plan
     rows = spark.createDataFrame([(["a", "b"],), (["a"],), ([],), (None,)], "reason_codes array<string>")
     assert {tuple(r) for r in reason_profile(rows).collect()} == {("a", 2, 0.5, 2 / 3), ("b", 1, 0.25, 1 / 3)}
+
+
+def test_intervals_side_by_side_equal_those_of_each_series(spark):
+    from panelwright.operators import states as ST
+
+    rng = random.Random(7)
+    rows = [(e, i, *[rng.choices([True, False, None], [6, 3, 1])[0] for _ in "ab"], rng.choice(["valid", "valid", "blocked"])) for e in range(8) for i in range(rng.randrange(1, 50))]
+    frame = spark.createDataFrame(rows, "security_id long, i int, a boolean, b boolean, validity_status string").withColumn("trading_date", F.date_add(F.lit("2020-01-01").cast("date"), F.col("i")))
+    series = {"one": ("a", "validity_status", 2), "two": ("b", "validity_status", 3), "three": ("a", "validity_status", 1)}
+    wide = ST.wide_intervals(frame, series, "name")
+    got = sorted(map(tuple, wide.collect()), key=str)
+    want = []
+    for name, (state, _, k) in series.items():
+        one = frame.withColumn("raw_state", F.col(state)).select("security_id", "trading_date", "raw_state", "validity_status")
+        found = ST.intervals(ST.confirm(ST.streaks(one, ["security_id"]), [k], ["security_id"]), ["security_id"]).withColumn("name", F.lit(name))
+        want += map(tuple, found.select(*wide.columns).collect())
+    assert got == sorted(want, key=str) and len({r[1] for r in got}) == 3
+    assert wide._jdf.queryExecution().executedPlan().toString().split("Window")[-1].count("Exchange") == 1
+
+
+def test_streaks_equal_a_plain_count(spark):
+    from panelwright.operators import states as ST
+
+    rng = random.Random(9)
+    rows = [(e, i, rng.choices([True, False, None], [6, 3, 1])[0]) for e in range(6) for i in range(rng.randrange(1, 40))]
+    got = {(r.security_id, r.trading_date): (r.run, r.streak, r.run_start) for r in ST.streaks(spark.createDataFrame(rows, "security_id long, trading_date int, raw_state boolean"), ["security_id"]).collect()}
+    run = length = 0
+    for e, i, on in rows:
+        if i == 0:
+            run = length = 0
+        run, length = (run + (length == 0), length + 1) if on else (run, 0)
+        assert got[e, i] == ((run, length, i - length + 1) if on else (None, None if on is None else 0, None))
+    plan = ST.streaks(spark.createDataFrame(rows, "security_id long, trading_date int, raw_state boolean"), ["security_id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1
