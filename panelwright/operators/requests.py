@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import finite, ratio, severity, worst_status
-from panelwright.operators.states import WEAK_DELTA, intervals, streaks, weak_state
+from panelwright.operators.states import WEAK_DELTA, intervals, streaks, weak_state, wide_intervals
 
 TIME = "trading_date"
 
@@ -32,28 +33,50 @@ def dimension_states(scores: DataFrame, requests: DataFrame) -> DataFrame:
     A valid score that is missing or not finite gives no state and a reason of its own.
     """
     out = scores.join(F.broadcast(requests), "dimension")  # a few rows a request
-    ready = F.col("validity_status") == "valid"
-    lacking = F.col("score_mean").isNull() | F.col("score_min").isNull()
-    whole = finite(F.col("score_mean")) & finite(F.col("score_min"))
+    return out.withColumns({"dimension_state": weak_state(F.col("q_bp") / 10_000), "reasons": _reasons(F.col("dimension"))})
+
+
+def _reasons(dimension: Column, of: str = "") -> Column:
+    """Why a dimension has no state, each reason under its name; ``of``: the name, with a point, of the struct that holds the score."""
+    mean, least = F.col(f"{of}score_mean"), F.col(f"{of}score_min")
     codes = (
-        F.when(~ready, F.col("reason_codes")).when(lacking, F.array(F.lit("score_missing"))).when(~whole, F.array(F.lit("score_non_finite")))
-        .otherwise(F.array().cast("array<string>"))
+        F.when(F.col(f"{of}validity_status") != "valid", F.col(f"{of}reason_codes")).when(mean.isNull() | least.isNull(), F.array(F.lit("score_missing")))
+        .when(~(finite(mean) & finite(least)), F.array(F.lit("score_non_finite"))).otherwise(F.array().cast("array<string>"))
     )
-    reasons = F.transform(codes, lambda r: F.concat(F.col("dimension"), F.lit("_"), r))
-    return out.withColumns({"dimension_state": weak_state(F.col("q_bp") / 10_000), "reasons": F.array_sort(F.array_distinct(reasons))})
+    return F.array_sort(F.array_distinct(F.transform(codes, lambda r: F.concat(dimension, F.lit("_"), r))))
 
 
-def joint(states: DataFrame) -> DataFrame:
+def joint_columns(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]]) -> DataFrame:
+    """``joint`` with the requests side by side: columns <request>_state, _status and _reasons of each day.
+
+    ``wide`` has a row for each day with a struct of each dimension's scores, so a day's dimensions meet without a shuffle.
+    """
+    cells, named = {}, {}
+    for d in sorted({d for thresholds, _ in requests.values() for d in thresholds}):
+        cells |= {f"_{d}_reasons": _reasons(F.lit(d), f"{d}."), f"_{d}_rank": severity(F.col(f"{d}.validity_status"))}
+    for name, (thresholds, _) in requests.items():
+        named |= {(d, q): f"_{d}_{q}" for d, q in thresholds.items()}
+    rows = wide.withColumns(cells | {c: weak_state(F.lit(q) / 10_000, of=f"{d}.") for (d, q), c in named.items()})
+    out = {}
+    for name, (thresholds, _) in requests.items():
+        order = sorted(thresholds.items())
+        states, ranks = [F.col(named[x]) for x in order], [F.col(f"_{d}_rank") for d in sorted(thresholds)]
+        known = reduce(Column.__and__, [x.isNotNull() for x in states])
+        out |= {
+            f"{name}_state": F.when(known, reduce(Column.__and__, states)), f"{name}_status": worst_status(F.greatest(*ranks) if len(ranks) > 1 else ranks[0]),
+            f"{name}_reasons": F.concat(*[F.col(f"_{d}_reasons") for d in sorted(thresholds)]),
+        }
+    return rows.select("security_id", TIME, *[c.alias(name) for name, c in out.items()])
+
+
+def joint(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]]) -> DataFrame:
     """All dimensions of a request together: true only if all are, null if some are unknown, worst status, ordered reasons."""
-    out = states.groupBy("request_id", "k", "security_id", TIME).agg(
-        F.count("dimension_state").alias("_known"), F.max("n_dimensions").alias("_n"), F.bool_and("dimension_state").alias("_all"),
-        F.max(severity(F.col("validity_status"))).alias("_rank"), F.sort_array(F.collect_list(F.struct("dimension", "reasons"))).alias("_reasons"),
-    )
-    reasons = F.flatten(F.transform("_reasons", lambda x: x["reasons"]))
-    return out.select(
-        "request_id", "k", "security_id", TIME, F.when(F.col("_known") == F.col("_n"), F.col("_all")).alias("raw_state"),
-        worst_status(F.col("_rank")).alias("validity_status"), reasons.alias("reason_codes"),
-    )
+    days = [
+        F.struct(F.lit(name).alias("request_id"), F.lit(k).alias("k"), F.col(f"{name}_state").alias("raw_state"), F.col(f"{name}_status").alias("validity_status"), F.col(f"{name}_reasons").alias("reason_codes"))
+        for name, (_, k) in requests.items()
+    ]
+    rows = joint_columns(wide, requests).select("security_id", TIME, F.explode(F.array(*days)).alias("r"))
+    return rows.select("r.request_id", "r.k", "security_id", TIME, "r.raw_state", "r.validity_status", "r.reason_codes")
 
 
 def joint_confirm(states: DataFrame) -> DataFrame:
@@ -68,6 +91,12 @@ def joint_intervals(daily: DataFrame) -> DataFrame:
     return intervals(daily, ["request_id", "security_id"])
 
 
+def request_intervals(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]]) -> DataFrame:
+    """``joint_intervals`` from the days' scores: the requests stay side by side until a confirmed run ends."""
+    found = wide_intervals(joint_columns(wide, requests), {name: (f"{name}_state", f"{name}_status", k) for name, (_, k) in requests.items()}, "request_id")
+    return found.select("request_id", *[c for c in found.columns if c != "request_id"])
+
+
 def path_metrics(anchors: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
     """From each anchor day: return after h rows, and best and worst excursion on the way, by forward windows."""
     w = Window.partitionBy("security_id").orderBy(TIME)
@@ -81,13 +110,10 @@ def path_metrics(anchors: DataFrame, prices: DataFrame, horizons: tuple[int, ...
     return anchors.join(prices.withColumns(cols).select("security_id", TIME, *cols), ["security_id", TIME])
 
 
-def response_checks(daily: DataFrame, inner: str, outer: str) -> DataFrame:
-    """Days on which a stricter request holds though a looser one doesn't, and by how many days they differ."""
-    a = daily.where((F.col("request_id") == inner) & F.col("raw_state")).select("security_id", TIME)
-    b = daily.where((F.col("request_id") == outer) & F.col("raw_state")).select("security_id", TIME)
-    bad = a.join(b, ["security_id", TIME], "left_anti").agg(F.count("*").alias("n_violations"))
-    more = b.join(a, ["security_id", TIME], "left_anti").agg(F.count("*").alias("n_added"))
-    return bad.crossJoin(more)  # one row each
+def response_checks(days: DataFrame, inner: str, outer: str) -> DataFrame:
+    """Days (as ``joint_columns`` gives them) on which a stricter request holds though a looser one doesn't, and by how many days they differ."""
+    a, b = (F.coalesce(F.col(f"{name}_state"), F.lit(False)) for name in (inner, outer))
+    return days.agg(F.count_if(a & ~b).alias("n_violations"), F.count_if(b & ~a).alias("n_added"))
 
 
 def interval_structure(found: DataFrame, keys: list[str]) -> DataFrame:

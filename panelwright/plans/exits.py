@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from panelwright.operators import exits as X
 from panelwright.operators import requests as DY
 from panelwright.plans import requests as _requests  # noqa: F401  its SQL steps are built upon
+from panelwright.plans.metrics import DIMENSIONS, dimension_rows, wide_dims
 from panelwright.plans.sql import STEPS, query, step
-from panelwright.plans.states import dim_scores, streak_steps, text_dates
+from panelwright.plans.states import streak_steps, text_dates
 from panelwright.plans.statistics import rounded
 from panelwright.sources.scratch import written
 
@@ -26,8 +27,9 @@ class Chain:
 
     def __init__(self, spark, d: str) -> None:
         self.requests = DY.request_table(spark, CHAIN)
-        self.states = written(DY.dimension_states(dim_scores(spark, d), self.requests), "chain-states")
-        self.daily = written(DY.joint_confirm(DY.joint(self.states)), "chain-days")
+        scores = written(wide_dims(spark, d, {x: DIMENSIONS[x] for x in "PC"}), "chain-scores")
+        self.states = DY.dimension_states(dimension_rows(scores), self.requests)
+        self.daily = written(DY.joint_confirm(DY.joint(scores, CHAIN)), "chain-days")
 
     def intervals(self) -> DataFrame:
         return DY.joint_intervals(self.daily)
