@@ -22,15 +22,18 @@ def q_registry(spark: SparkSession, layers: list[str], qs: list[float], base: fl
     return spark.createDataFrame(rows, "vector_id string, changed_layer string, changed_q double, role string, " + ", ".join(f"q{c} double" for c in layers))
 
 
-def vector_days(scores: DataFrame, registry: DataFrame, layers: list[str], delta: float = WEAK_DELTA) -> DataFrame:
-    """A row for each day and vector with its nested states; ``scores`` holds a row for each day and dimension."""
+def vectors(layers: list[str], qs: list[float], base: float) -> dict[str, dict[str, float]]:
+    """Each vector of ``q_registry`` with its layers' q, the baseline first."""
+    cells = [(layers[0], base)] + [(c, q) for c in layers for q in qs if q != base]
+    each = [{c: q if c == layer else base for c in layers} for layer, q in cells]
+    return {"_".join(f"{c}{round(v * 100):02d}" for c, v in one.items()): one for one in each}
+
+
+def vector_days(wide: DataFrame, registry: DataFrame, layers: list[str], delta: float = WEAK_DELTA) -> DataFrame:
+    """A row for each day and vector with its nested states; ``wide`` holds a row for each day with a struct of each dimension's scores."""
     keys = ["security_id", "trading_date"]
-    row = F.struct("score_mean", "score_min", "validity_status")
-    wide = scores.groupBy(*keys).agg(*[F.max(F.when(F.col("dimension") == c, row)).alias(f"_{c}") for c in layers])
     out = wide.crossJoin(F.broadcast(registry))  # some rows a layer
-    for c in layers:
-        out = out.withColumns({n: F.col(f"_{c}.{n}") for n in ("score_mean", "score_min", "validity_status")}).withColumn(c, weak_state(F.col(f"q{c}"), delta))
-    out = nested_states(out, layers)
+    out = nested_states(out.select(*keys, *registry.columns, *[weak_state(F.col(f"q{c}"), delta, f"{c}.").alias(c) for c in layers]), layers)
     return out.select(*keys, *registry.columns, *layers, *[f"s{k + 1}" for k in range(len(layers))])
 
 

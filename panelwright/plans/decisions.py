@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.functions.conventions import ratio
+from panelwright.functions.conventions import chain_and, ratio
 from panelwright.operators import decisions as D
 from panelwright.operators import records as R
 from panelwright.operators import states as ST
 from panelwright.operators import statistics as A
-from panelwright.plans.metrics import long_scores
+from panelwright.plans.metrics import DIMENSIONS, wide_dims, wide_scores
 from panelwright.plans.records import low_intervals
 from panelwright.plans.sql import query, step
-from panelwright.plans.states import DIMS, dim_scores, low_range, nested, streak_steps, text_dates
+from panelwright.plans.states import DIMS, low_range, nested, nested_of, streak_steps, text_dates
 from panelwright.plans.statistics import rounded, two_states
 from panelwright.sources.scratch import written
 
@@ -25,7 +23,7 @@ PAIR = ("log_range20", "ma_spread")
 
 
 def days(spark, d: str) -> DataFrame:
-    return D.vector_days(dim_scores(spark, d), D.q_registry(spark, DIMS, QS, BASE), DIMS)
+    return D.vector_days(wide_dims(spark, d), D.q_registry(spark, DIMS, QS, BASE), DIMS)
 
 
 def yearly(spark, d: str) -> DataFrame:
@@ -58,24 +56,31 @@ def handed(spark, d: str) -> DataFrame:
 
 
 def _vector_intervals(spark, d: str) -> DataFrame:
-    keys = ["security_id", "vector_id"]
-    rows = days(spark, d).select(*keys, "trading_date", F.col("s2").alias("raw_state")).withColumn("validity_status", F.when(F.col("raw_state").isNull(), "unknown").otherwise("valid"))
-    return text_dates(ST.intervals(ST.confirm(ST.streaks(rows, keys), [2], keys), keys))
+    """Confirmed intervals of every vector's second state; the vectors stand side by side."""
+    each, first = D.vectors(DIMS, QS, BASE), DIMS[:2]
+    weak = {f"{c}_{q}": ST.weak_state(F.lit(q), of=f"{c}.") for c in first for q in QS}
+    rows = wide_dims(spark, d, {c: DIMENSIONS[c] for c in first}).select("security_id", "trading_date", *[s.alias(n.replace(".", "_")) for n, s in weak.items()])
+    state = lambda v: chain_and(*[F.col(f"{c}_{v[c]}".replace(".", "_")) for c in first])
+    rows = rows.withColumns({f"{name}_state": state(v) for name, v in each.items()})
+    rows = rows.withColumns({f"{name}_status": F.when(F.col(f"{name}_state").isNull(), "unknown").otherwise("valid") for name in each})
+    return text_dates(ST.wide_intervals(rows, {name: (f"{name}_state", f"{name}_status", 2) for name in each}, "vector_id"))
 
 
 def _reconcile(spark, d: str) -> DataFrame:
     """States of the baseline vector, recomputed from scores, against the nested states as released."""
     keys = ["security_id", "trading_date"]
-    own = days(spark, d).where("role = 'baseline'").select(*keys, *[F.col(s).alias(f"own_{s}") for s in STATES])
-    both = own.join(nested(spark, d), keys, "full")
+    fields = ("score_mean", "score_min", "validity_status")
+    scores = written(wide_dims(spark, d).select(*keys, *[F.struct(*[f"{c}.{x}" for x in fields]).alias(c) for c in DIMS]), "reconciled-scores")
+    own = D.vector_days(scores, D.q_registry(spark, DIMS, QS, BASE), DIMS).where("role = 'baseline'").select(*keys, *[F.col(s).alias(f"own_{s}") for s in STATES])
+    both = own.join(nested_of(scores), keys, "full")
     row = both.agg(*[F.count_if(~F.col(f"own_{s}").eqNullSafe(F.col(s))).alias(s) for s in STATES], F.count("*").alias("n_rows"))
     return row.unpivot(["n_rows"], STATES, "state", "n_differ")
 
 
 def pair_wide(spark, d: str) -> DataFrame:
     a, b = PAIR
-    rows = long_scores(spark, d).where(F.col("indicator").isin(*PAIR)).groupBy("security_id", "trading_date").agg(F.max(F.when(F.col("indicator") == a, F.col("score"))).alias("a"), F.max(F.when(F.col("indicator") == b, F.col("score"))).alias("b"))
-    return rows.withColumn("period", F.year("trading_date"))
+    rows = wide_scores(spark, d, indicators=list(PAIR))
+    return rows.select("security_id", "trading_date", F.col(f"{a}.score").alias("a"), F.col(f"{b}.score").alias("b"), F.year("trading_date").alias("period"))
 
 
 def _stability(spark, d: str) -> DataFrame:
@@ -139,9 +144,12 @@ def _denominators(spark, d: str) -> DataFrame:
     n = nested(spark, d)
     sets = {"pair": "P is not null and C is not null", "three": "P is not null and C is not null and T is not null", "all": "P is not null and C is not null and T is not null and V is not null"}
     cells = {"n11": "P and C", "n10": "P and not C", "n01": "not P and C", "n00": "not P and not C"}
-    parts = [n.where(c).agg(F.lit(name).alias("denominator"), F.count("*").alias("n"), *[F.count_if(F.expr(x)).alias(k) for k, x in cells.items()], F.lit(0).alias("z")).drop("z") for name, c in sets.items()]
-    explained = n.where("P is not null and C is not null").agg(F.count_if(F.col("T").isNull()).alias("lost_to_t"), F.count_if(F.col("T").isNotNull() & F.col("V").isNull()).alias("lost_to_v"))
-    return reduce(DataFrame.unionByName, parts).crossJoin(F.broadcast(explained))  # one row
+    n = n.withColumns({f"_in_{name}": F.expr(c) for name, c in sets.items()})
+    own = {f"{name}_{k}": F.count_if(F.col(f"_in_{name}") & F.coalesce(F.expr(x), F.lit(False))) for name in sets for k, x in {"n": "true", **cells}.items()}
+    explained = {"lost_to_t": F.count_if(F.col("_in_pair") & F.col("T").isNull()), "lost_to_v": F.count_if(F.col("_in_three") & F.col("V").isNull())}
+    row = n.agg(*[c.alias(name) for name, c in (own | explained).items()])  # all sets from one pass
+    rows = [F.struct(F.lit(name).alias("denominator"), *[F.col(f"{name}_{k}").alias(k) for k in ("n", *cells)]) for name in sets]
+    return row.select(F.explode(F.array(*rows)).alias("r"), *explained).select("r.*", *explained)
 
 
 _INVARIANTS = {

@@ -83,3 +83,13 @@ def test_streaks_equal_a_plain_count(spark):
         assert got[e, i] == ((run, length, i - length + 1) if on else (None, None if on is None else 0, None))
     plan = ST.streaks(spark.createDataFrame(rows, "security_id long, trading_date int, raw_state boolean"), ["security_id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1
+
+
+def test_requests_flags_and_vectors_gather_no_days(spark):
+    from panelwright.plans import decisions, records, requests
+
+    for queries, name, most in (
+        (requests, "dy03_joint_states", 1), (requests, "dy10_response_checks", 2), (records, "as08_dimension_flags", 1), (records, "as26_common_wide", 1), (decisions, "as32_ablation", 2), (decisions, "as35_denominators", 2),
+    ):
+        plan = queries.queries()[name](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") <= most and plan.count("FileScan") == 1 and "collect_list" not in plan, name
