@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import ratio
@@ -10,10 +12,11 @@ from panelwright.operators import reconcile as R
 from panelwright.operators import states as ST
 from panelwright.operators import statistics as A
 from panelwright.operators.metrics import side_by_side
-from panelwright.plans.metrics import DIMENSIONS, INDICATORS, long_metrics, long_scores, prices, wide_scores
+from panelwright.plans.metrics import DIMENSIONS, INDICATORS, long_metrics, long_scores, prices, wide_metrics, wide_scores
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import nested, spine, spine_confirmed
 from panelwright.sources.panels import scan
+from panelwright.sources.scratch import written
 
 KS_LAG = [1, 3, 5]
 
@@ -116,13 +119,13 @@ def _multiset(spark, d: str) -> DataFrame:
 
 
 def _extremes(spark, d: str, n: int = 5) -> DataFrame:
-    rows = metric_rows(spark, d).where("value is not null")
-    # a limit on one row number is kept by every task before the rows of a metric meet
-    ends = []
-    for order in (F.asc("value"), F.desc("value")):
-        place = F.row_number().over(Window.partitionBy("metric").orderBy(order, "security_id", "trading_date"))
-        ends.append(rows.withColumn("place", place).where(F.col("place") <= n).select("metric", "security_id", "trading_date", "value"))
-    return rounded(ends[0].union(ends[1]).distinct())
+    wide = wide_metrics(spark, d, fields=("value",))
+    wide = written(wide.select("security_id", "trading_date", *[F.col(f"{m}.value").alias(m) for m in INDICATORS]), "extremes")
+    ends = []  # every task keeps the n first rows of an order; nothing is sorted whole or dealt
+    for m in INDICATORS:
+        rows = wide.where(F.col(m).isNotNull()).select(F.lit(m).alias("metric"), "security_id", "trading_date", F.col(m).alias("value"))
+        ends += [rows.orderBy(order, "security_id", "trading_date").limit(n) for order in (F.asc("value"), F.desc("value"))]
+    return rounded(reduce(DataFrame.union, ends).distinct())
 
 
 def _corr(spark, d: str, by: list[str]) -> DataFrame:

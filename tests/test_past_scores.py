@@ -93,3 +93,11 @@ def test_requests_flags_and_vectors_gather_no_days(spark):
     ):
         plan = queries.queries()[name](spark, TESTDATA)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") <= most and plan.count("FileScan") == 1 and "collect_list" not in plan, name
+
+
+def test_extremes_are_kept_by_limits_over_one_table(spark):
+    from panelwright.plans import statistics
+
+    out = statistics.queries()["as31_extremes"](spark, TESTDATA)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan and out.count() == 80
