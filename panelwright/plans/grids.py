@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.operators import layers as L
 from panelwright.operators import scores as S
 from panelwright.operators import states as ST
-from panelwright.plans.metrics import DIMENSIONS, long_metrics, score_step
+from panelwright.plans.metrics import DIMENSIONS, INDICATORS, dimension_rows, score_step, wide_metrics
 from panelwright.plans.sql import STEPS, query, step
 from panelwright.plans.states import DIMS, KS, QS, QVEC, dim_scores, streak_steps, text_dates
 from panelwright.sources.scratch import written
@@ -37,12 +37,10 @@ def _layers(spark, d: str) -> DataFrame:
 
 def grid(spark, d: str) -> DataFrame:
     """Confirmed days of the 27 configurations and all states of the chain."""
-    metrics = written(long_metrics(spark, d), "grid-metrics")
-    of = F.create_map(*[F.lit(x) for dimension, names in DIMENSIONS.items() for n in names for x in (n, dimension)])
+    metrics = written(wide_metrics(spark, d, fields=("value", "validity_status", "reason_codes")), "grid-metrics")
     out = None
     for w in WINDOWS:
-        one = S.strict_past_percentile(metrics, w, keys=("indicator",)).withColumn("dimension", of[F.col("indicator")])
-        one = S.dimension_scores(one).withColumn("window", F.lit(w))
+        one = dimension_rows(S.dimension_columns(S.past_scores(metrics, INDICATORS, w), DIMENSIONS)).withColumn("window", F.lit(w))
         out = one if out is None else out.unionByName(one)
     return L.grid_confirmed(L.grid_states(out, DIMS, QS, [*DAY, "window"]), KS, SERIES)
 

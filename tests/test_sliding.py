@@ -46,3 +46,10 @@ def test_score_step_has_no_sliding_frame_and_methods_that_are_compiled(spark):
             assert not re.search(r"RowFrame, -\d+, currentrow\$|avg\(|regr_", plan.toString().replace("_rolled", ""))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_grid_ranks_days_and_averages_dimensions_without_dealing_long_rows(spark):
+    from panelwright.plans import grids
+
+    plan = grids.grid(spark, TESTDATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "avg(score" not in plan and "indicator" not in plan
