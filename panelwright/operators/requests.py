@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import finite, ratio, severity, worst_status
-from panelwright.operators.states import WEAK_DELTA, intervals, streaks, weak_state, wide_intervals
+from panelwright.operators.states import WEAK_DELTA, intervals, streaks, weak_state, wide_intervals, wide_streaks
 
 TIME = "trading_date"
+#: What the paths of a day's prices are made of.
+PRICES = ("adjusted_close", "adjusted_high", "adjusted_low")
 
 
 def canonical_request(thresholds: dict[str, int], k: int) -> tuple[str, str]:
@@ -46,10 +48,10 @@ def _reasons(dimension: Column, of: str = "") -> Column:
     return F.array_sort(F.array_distinct(F.transform(codes, lambda r: F.concat(dimension, F.lit("_"), r))))
 
 
-def joint_columns(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]]) -> DataFrame:
-    """``joint`` with the requests side by side: columns <request>_state, _status and _reasons of each day.
+def joint_columns(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]], more: tuple[str, ...] = ()) -> DataFrame:
+    """``joint`` with the requests side by side: columns <request>_state, _status, _reasons and _failed (its false dimensions) of each day.
 
-    ``wide`` has a row for each day with a struct of each dimension's scores, so a day's dimensions meet without a shuffle.
+    Columns ``more`` stay. ``wide`` has a row for each day with a struct of each dimension's scores, so a day's dimensions meet without a shuffle.
     """
     cells, named = {}, {}
     for d in sorted({d for thresholds, _ in requests.values() for d in thresholds}):
@@ -65,8 +67,9 @@ def joint_columns(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int
         out |= {
             f"{name}_state": F.when(known, reduce(Column.__and__, states)), f"{name}_status": worst_status(F.greatest(*ranks) if len(ranks) > 1 else ranks[0]),
             f"{name}_reasons": F.concat(*[F.col(f"_{d}_reasons") for d in sorted(thresholds)]),
+            f"{name}_failed": F.concat_ws("+", *[F.when(~F.col(named[d, q]), F.lit(d)) for d, q in order]),
         }
-    return rows.select("security_id", TIME, *[c.alias(name) for name, c in out.items()])
+    return rows.select("security_id", TIME, *more, *[c.alias(name) for name, c in out.items()])
 
 
 def joint(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]]) -> DataFrame:
@@ -97,8 +100,16 @@ def request_intervals(wide: DataFrame, requests: dict[str, tuple[dict[str, int],
     return found.select("request_id", *[c for c in found.columns if c != "request_id"])
 
 
-def path_metrics(anchors: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
-    """From each anchor day: return after h rows, and best and worst excursion on the way, by forward windows."""
+def request_days(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]]) -> DataFrame:
+    """States, streaks and confirmation of ``joint_confirm``, without reasons: the requests are told apart after one pass over the days' scores."""
+    rows = wide_streaks(joint_columns(wide, requests), {name: f"{name}_state" for name in requests})
+    days = [F.struct(F.lit(name).alias("request_id"), F.lit(k).alias("k"), F.col(f"{name}_state").alias("raw_state"), F.col(f"{name}_streak").alias("streak")) for name, (_, k) in requests.items()]
+    rows = rows.select("security_id", TIME, F.explode(F.array(*days)).alias("r")).select("r.request_id", "security_id", TIME, "r.raw_state", "r.k", "r.streak")
+    return rows.withColumns({"confirmed": F.col("streak") >= F.col("k"), "confirmation_event": F.coalesce(F.col("streak") == F.col("k"), F.lit(False))})
+
+
+def path_columns(horizons: tuple[int, ...]) -> dict[str, Column]:
+    """Return after h rows, and best and worst excursion on the way, by forward windows."""
     w = Window.partitionBy("security_id").orderBy(TIME)
     close, cols = F.col("adjusted_close"), {}
     for h in horizons:
@@ -107,9 +118,30 @@ def path_metrics(anchors: DataFrame, prices: DataFrame, horizons: tuple[int, ...
         cols[f"return_{h}"] = F.when(whole, ratio(F.lead("adjusted_close", h).over(w), close) - 1)
         cols[f"mfe_{h}"] = F.when(whole, ratio(F.max("adjusted_high").over(ahead), close) - 1)
         cols[f"mae_{h}"] = F.when(whole, ratio(F.min("adjusted_low").over(ahead), close) - 1)
+    return cols
+
+
+def path_metrics(anchors: DataFrame, prices: DataFrame, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """``path_columns`` from each anchor day."""
+    cols = path_columns(horizons)
     return anchors.join(prices.withColumns(cols).select("security_id", TIME, *cols), ["security_id", TIME])
 
 
+def request_paths(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]], horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """``path_metrics`` from the day that confirms each interval of ``request_intervals``.
+
+    ``wide`` has the prices beside a day's scores, so paths and confirmations stand over one sort and no day meets another table;
+    as a run is confirmed once, the confirmations up to a day number its intervals.
+    """
+    cols, states = path_columns(horizons), {name: f"{name}_state" for name in requests}
+    rows = wide_streaks(joint_columns(wide, requests, PRICES), states, more=PRICES)
+    upto = Window.partitionBy("security_id").orderBy(TIME).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = {name: F.coalesce(F.col(f"{name}_state") & (F.col(f"{name}_streak") == k), F.lit(False)) for name, (_, k) in requests.items()}
+    rows = rows.withColumns(cols | {f"{name}_no": F.count(F.when(c, 1)).over(upto).cast("int") for name, c in met.items()})
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(name).alias("request_id"), F.col(f"{name}_no").alias("interval_no"))) for name, c in met.items()]))
+    return rows.select("security_id", TIME, F.explode(found).alias("r"), *cols).select("r.request_id", "security_id", "r.interval_no", TIME, *cols)
+
+
 def response_checks(days: DataFrame, inner: str, outer: str) -> DataFrame:
     """Days (as ``joint_columns`` gives them) on which a stricter request holds though a looser one doesn't, and by how many days they differ."""
     a, b = (F.coalesce(F.col(f"{name}_state"), F.lit(False)) for name in (inner, outer))
@@ -137,6 +169,14 @@ def exit_category(found: DataFrame, states: DataFrame) -> DataFrame:
     return out.select(*found.columns, category.alias("exit_category"))
 
 
+def request_exits(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]]) -> DataFrame:
+    """``exit_category`` of ``request_intervals``: a day's false dimensions stand beside its states, so no interval meets a second table of days."""
+    series = {name: (f"{name}_state", f"{name}_status", k) for name, (_, k) in requests.items()}
+    out = wide_intervals(joint_columns(wide, requests), series, "request_id", notes={name: f"{name}_failed" for name in requests})
+    category = F.when(F.col("is_open"), "right_censored").when(F.col("termination_reason") != "state_false", "quality").otherwise(F.concat(F.lit("false_"), F.col("note")))
+    return out.select("request_id", *[c for c in out.columns if c not in ("request_id", "note")], category.alias("exit_category"))
+
+
 def endpoint_margins(found: DataFrame, states: DataFrame) -> DataFrame:
     """Distance of each dimension's mean and least score to its thresholds on the last day of an interval."""
     q = F.col("q_bp") / 10_000

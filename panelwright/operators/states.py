@@ -118,9 +118,20 @@ def intervals(df: DataFrame, keys: list[str], state: str = "raw_state", time: st
     )
 
 
-def wide_intervals(df: DataFrame, series: dict[str, tuple[str, str, int]], label: str, entity: str = "security_id", time: str = "trading_date") -> DataFrame:
+def wide_streaks(df: DataFrame, series: dict[str, str], entity: str = "security_id", time: str = "trading_date", more: tuple[str, ...] = ()) -> DataFrame:
+    """``streaks`` of several series that stand side by side: <name>_streak of each, from one sort of the entities' days that carries the states and ``more`` alone."""
+    w = Window.partitionBy(entity).orderBy(time)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.select(entity, time, *more, *dict.fromkeys(series.values())).withColumn("_place", F.row_number().over(w))
+    before = {f"_off{i}": F.max(F.when(~F.coalesce(F.col(state), F.lit(False)), F.col("_place"))).over(upto) for i, state in enumerate(series.values())}
+    out = {f"{name}_streak": F.when(F.col(state).isNotNull(), F.col("_place") - F.coalesce(F.col(f"_off{i}"), F.lit(0))) for i, (name, state) in enumerate(series.items())}
+    return df.withColumns(before).withColumns(out).drop(*before)
+
+
+def wide_intervals(df: DataFrame, series: dict[str, tuple[str, str, int]], label: str, entity: str = "security_id", time: str = "trading_date", notes: dict[str, str] | None = None) -> DataFrame:
     """``intervals`` of several series that stand side by side: ``series`` gives each one's columns of state and status, and its k.
 
+    ``notes`` names a column of each series whose value on the day after an interval stands in ``note``.
     All run over one sort of the entities' days; a day is opened to its series only where a confirmed run ends, so no series is dealt or sorted again.
     """
     w = Window.partitionBy(entity).orderBy(time)
@@ -131,12 +142,15 @@ def wide_intervals(df: DataFrame, series: dict[str, tuple[str, str, int]], label
         why = F.when(F.col(status) != "valid", F.concat(F.lit("state_"), F.col(status))).when(F.col(state) == F.lit(False), "state_false").otherwise("state_unknown")
         cells |= {f"_on{i}": F.coalesce(F.col(state), F.lit(False)), f"_why{i}": why}
         edges |= {f"_begins{i}": on & ~F.coalesce(F.lag(on).over(w), F.lit(False)), f"_ends{i}": on & ~F.coalesce(F.lead(on).over(w), F.lit(False)), f"_then{i}": F.lead(f"_why{i}").over(w)}
+        if notes:
+            cells[f"_note{i}"], edges[f"_told{i}"] = F.col(notes[name]), F.lead(f"_note{i}").over(w)
         runs |= {f"_first{i}": F.max(F.when(begins, F.col("_place"))).over(upto), f"_start{i}": F.max(F.when(begins, F.col(time))).over(upto)}
         length = F.col("_place") - first + 1
         met |= {f"_met{i}": F.max(F.when(on & (length == k), F.col(time))).over(upto)}
         end = F.struct(
             F.lit(name).alias(label), F.col(f"_start{i}").alias("raw_start_date"), F.col(f"_met{i}").alias("confirmation_date"), length.cast("long").alias("duration_raw_days"),
             (length - k + 1).cast("long").alias("duration_confirmed_days"), F.coalesce(F.col(f"_then{i}"), F.lit("end_of_input_open")).alias("termination_reason"),
+            *([F.col(f"_told{i}").alias("note")] if notes else []),
         )
         found.append(F.when(F.col(f"_ends{i}") & (length >= k), end))
     df = df.select(entity, time, *[c.alias(n) for n, c in cells.items()])
@@ -146,7 +160,7 @@ def wide_intervals(df: DataFrame, series: dict[str, tuple[str, str, int]], label
     return rows.select(
         entity, f"r.{label}", F.row_number().over(Window.partitionBy(entity, f"r.{label}").orderBy("r.raw_start_date")).alias("interval_no"),
         "r.raw_start_date", "r.confirmation_date", F.when(following.isNotNull(), F.col(time)).alias("interval_end_date"), F.coalesce(following, F.col(time)).alias("last_observed_date"),
-        "r.duration_raw_days", "r.duration_confirmed_days", following.isNull().alias("is_open"), "r.termination_reason",
+        "r.duration_raw_days", "r.duration_confirmed_days", following.isNull().alias("is_open"), "r.termination_reason", *(["r.note"] if notes else []),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.operators import requests as DY
-from panelwright.plans.metrics import DIMENSIONS, prices, wide_dims
+from panelwright.plans.metrics import DIMENSIONS, wide_dims
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import dim_scores, streak_steps, text_dates
 from panelwright.plans.statistics import rounded
@@ -18,9 +18,9 @@ def states(spark, d: str) -> DataFrame:
     return DY.dimension_states(dim_scores(spark, d), DY.request_table(spark, REQUESTS))
 
 
-def scores(spark, d: str) -> DataFrame:
-    """The dimensions that requests name, side by side."""
-    return wide_dims(spark, d, {x: names for x, names in DIMENSIONS.items() if any(x in thresholds for thresholds, _ in REQUESTS.values())})
+def scores(spark, d: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """The dimensions that requests name, side by side, and columns ``more`` of the prices."""
+    return wide_dims(spark, d, {x: names for x, names in DIMENSIONS.items() if any(x in thresholds for thresholds, _ in REQUESTS.values())}, more)
 
 
 def joint(spark, d: str) -> DataFrame:
@@ -32,7 +32,7 @@ def found(spark, d: str) -> DataFrame:
 
 
 def daily(spark, d: str) -> DataFrame:
-    return DY.joint_confirm(joint(spark, d))
+    return DY.request_days(scores(spark, d), REQUESTS)
 
 
 _rows = ", ".join(f"('{r}', '{x}', {q}, {k}, {len(t)})" for r, (t, k) in REQUESTS.items() for x, q in sorted(t.items()))
@@ -56,11 +56,6 @@ _D = "cast(trading_date as varchar) as trading_date"
 _I = "interval_no, cast(raw_start_date as varchar) as raw_start_date, cast(confirmation_date as varchar) as confirmation_date, cast(interval_end_date as varchar) as interval_end_date, cast(last_observed_date as varchar) as last_observed_date, duration_raw_days, duration_confirmed_days, is_open, termination_reason"
 
 
-def _paths(spark, d: str) -> DataFrame:
-    anchors = found(spark, d).select("request_id", "security_id", "interval_no", F.col("confirmation_date").alias("trading_date"))
-    return rounded(DY.path_metrics(anchors, prices(spark, d)))
-
-
 def queries() -> dict:
     return {
         "dy02_dimension_states": lambda s, d: text_dates(states(s, d).select("request_id", "dimension", "security_id", "trading_date", "dimension_state", F.array_join("reasons", ",").alias("reasons"))),
@@ -68,11 +63,11 @@ def queries() -> dict:
         "dy04_joint_confirmation": lambda s, d: text_dates(daily(s, d).select("request_id", "security_id", "trading_date", "streak", "confirmed", "confirmation_event")),
         "dy05_joint_intervals": lambda s, d: text_dates(found(s, d)),
         "dy08_request_metrics": lambda s, d: daily(s, d).groupBy("request_id").agg(F.count_if("raw_state").alias("n_true"), F.count_if("confirmed").alias("n_confirmed"), F.count_if("confirmation_event").alias("n_events"), F.count_if(F.col("raw_state").isNull()).alias("n_unknown")),
-        "dy09_path_metrics": _paths,
+        "dy09_path_metrics": lambda s, d: rounded(DY.request_paths(scores(s, d, DY.PRICES), REQUESTS)),
         "dy10_response_checks": lambda s, d: DY.response_checks(DY.joint_columns(scores(s, d), REQUESTS), "pc_strict", "pc"),
         "dy11_interval_structure": lambda s, d: rounded(DY.interval_structure(found(s, d), ["request_id"])),
         "dy13_hash_sample": lambda s, d: text_dates(DY.hash_sample(found(s, d), ["request_id"], ["security_id", "interval_no"], 5).select("request_id", "security_id", "interval_no", "sample_no", "sample_hash")),
-        "ex01_exit_category": lambda s, d: DY.exit_category(found(s, d), states(s, d)).groupBy("request_id", "exit_category").agg(F.count("*").alias("n")),
+        "ex01_exit_category": lambda s, d: DY.request_exits(scores(s, d), REQUESTS).groupBy("request_id", "exit_category").agg(F.count("*").alias("n")),
         "ex02_endpoint_margins": lambda s, d: text_dates(DY.endpoint_margins(found(s, d), states(s, d))),
         "ex03_reentries": lambda s, d: text_dates(DY.reentries(found(s, d), daily(s, d), (5, 20))),
     }
