@@ -51,6 +51,23 @@ def grid_confirmed(spark, d: str) -> DataFrame:
     return out.withColumn("config_id", F.format_string("W%d_q%d_K%d", "window", F.round(F.col("q") * 10_000).cast("int"), "k"))
 
 
+def grid_counts(spark, d: str) -> DataFrame:
+    """Days of each configuration in numbers: scores of all windows and states of all q stand side by side, so no day is dealt by configuration."""
+    names, (windows, qs, ks) = {w: f"w{w}" for w in GRID[0]}, GRID
+    rows = wide_metrics(spark, d, ["log_range20"], ("value", "validity_status", "reason_codes"), ("_place",))
+    rows = rows.select(*R.KEYS, "_place", *[F.col("log_range20").alias(n) for n in names.values()])
+    rows = S.past_scores(rows, [*names.values()], {n: w for w, n in names.items()})
+    states = {f"{n}_q{round(q * 10_000)}": ST.active_state(F.lit(q), of=f"{n}.") for n in names.values() for q in qs}
+    days = ST.wide_streaks(rows.select(*R.KEYS, *[c.alias(x) for x, c in states.items()]), {x: x for x in states})
+    sums = {f"{x}_{name}": F.count_if(c) for x in states for name, c in (("true", F.col(x)), ("null", F.col(x).isNull()), *[(f"K{k}", F.col(f"{x}_streak") >= k) for k in ks])}
+    row = days.groupBy().agg(F.count("*").alias("n_rows"), *[c.alias(n) for n, c in sums.items()])
+    cells = [
+        F.struct(F.lit(f"W{w}_q{round(q * 10_000)}_K{k}").alias("config_id"), "n_rows", F.col(f"{x}_true").alias("n_true"), F.col(f"{x}_K{k}").alias("n_confirmed"), F.col(f"{x}_null").alias("n_unknown"))
+        for w, n in names.items() for q in qs for x in [f"{n}_q{round(q * 10_000)}"] for k in ks
+    ]
+    return row.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("n_rows > 0")
+
+
 for _w in (250, 500):
     score_step(f"sc{_w}_log_range20", "log_range20", _w)
 step("gr_scores", "select 120 as win, * from sc_log_range20 union all select 250, * from sc250_log_range20 union all select 500, * from sc500_log_range20")
@@ -395,7 +412,7 @@ def queries() -> dict:
         "dq47_status_coverage": _status_coverage,
         "rm12_price_reasons": lambda s, d: text_dates(R.price_reasons(_price_rows(s, d)).withColumn("reasons", F.array_join("reasons", ","))),
         "rm13_readiness": _readiness,
-        "gr01_grid_daily_full": lambda s, d: grid_confirmed(s, d).groupBy("config_id").agg(F.count("*").alias("n_rows"), F.count_if("raw_state").alias("n_true"), F.count_if("confirmed").alias("n_confirmed"), F.count_if(F.col("confirmed").isNull()).alias("n_unknown")),
+        "gr01_grid_daily_full": grid_counts,
         "gr03_grid_intervals": lambda s, d: text_dates(ST.intervals(grid_confirmed(s, d), ["security_id", "config_id"])),
         "cf07_normal_intervals": lambda s, d: text_dates(R.normalise_intervals(user_intervals(s, d), WORDS).select("security_id", "k", "interval_no", "end_reason", "violations")),
         "pr08_year_rows": _years,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import requests as DY
 from panelwright.operators import states as ST
+from panelwright.plans import records
 from panelwright.plans import requests as PR
 from panelwright.sources import panels
 
@@ -94,3 +95,13 @@ def test_requests_deal_lines_once_and_days_once(spark, name):
     by_day = [kinds for kinds in exchanges(df) if "date" in kinds]
     assert len(by_day) <= 2 and not any("array<string>" in kinds for kinds in by_day)
     assert not re.search("SortMergeJoin|HashJoin", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_grid_counts_equal_days_dealt_by_configuration(spark):
+    want = records.grid_confirmed(spark, TESTDATA).groupBy("config_id").agg(
+        F.count("*").alias("n_rows"), F.count_if("raw_state").alias("n_true"), F.count_if("confirmed").alias("n_confirmed"), F.count_if(F.col("confirmed").isNull()).alias("n_unknown")
+    )
+    got = records.queries()["gr01_grid_daily_full"](spark, TESTDATA)
+    assert rows_of(got, want.columns) == rows_of(want, want.columns) and got.count() == 27
+    by_configuration = [re.search(r"hashpartitioning\(security_id#\w+, window", x._jdf.queryExecution().executedPlan().toString()) for x in (got, want)]
+    assert by_configuration[1] and not by_configuration[0] and sum("date" in kinds for kinds in exchanges(got)) == 2
