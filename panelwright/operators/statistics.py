@@ -128,14 +128,22 @@ def value_ranks(df: DataFrame, column: str, by: list[str] = [], name: str | None
     return counts.join(sums, same).select(*by, column, (upto + (F.col("_n") + 1) / 2).alias(name or f"{column}_rank"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation of two columns over the rows that have both: NaN where a side doesn't vary (``corr`` fails there by a division by zero), null over no rows."""
+    there = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = (F.when(there, F.col(c).cast("double")) for c in (a, b))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / spread)
+
+
 def correlations(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Pearson and Spearman (average ranks within the group) correlation of two columns."""
+    """Pearson and Spearman (average ranks within the group) correlation of two columns; NaN where one of them is constant in its group."""
     known = written(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b), "known")
     ranked = known
     for c in (a, b):
         ranked = ranked.join(value_ranks(known, c, by), [*by, c])
     out = ranked.groupBy(*by) if by else ranked.groupBy()
-    return out.agg(F.count("*").alias("n"), F.corr(a, b).alias("pearson"), F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"))
+    return out.agg(F.count("*").alias("n"), correlation(a, b).alias("pearson"), correlation(f"{a}_rank", f"{b}_rank").alias("spearman"))
 
 
 def reason_profile(df: DataFrame) -> DataFrame:
