@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.operators import grids as G
 from panelwright.operators import layers as L
 from panelwright.operators import scores as S
 from panelwright.operators import states as ST
@@ -36,7 +37,7 @@ def _layers(spark, d: str) -> DataFrame:
 
 
 def grid(spark, d: str) -> DataFrame:
-    """Confirmed days of the 27 configurations and all states of the chain."""
+    """Confirmed days of the 27 configurations and all states of the chain, a row for each: what the queries count where the days lie, told at length."""
     metrics = written(wide_metrics(spark, d, fields=("value", "validity_status", "reason_codes")), "grid-metrics")
     out = None
     for w in WINDOWS:
@@ -45,23 +46,23 @@ def grid(spark, d: str) -> DataFrame:
     return L.grid_confirmed(L.grid_states(out, DIMS, QS, [*DAY, "window"]), KS, SERIES)
 
 
-def _named(df: DataFrame) -> DataFrame:
-    return df.withColumn("config_id", L.config_id(F.col("window"), F.col("q"), F.col("k")))
+GRID = G.Grid(WINDOWS, QS, KS, DIMENSIONS)
+
+
+def metrics(spark, d: str) -> DataFrame:
+    """All metrics of a day side by side, with its place; the whole grid is made of them where they lie."""
+    return wide_metrics(spark, d, more=("_place",))
 
 
 def _days(spark, d: str) -> DataFrame:
     """The grid in numbers, with each configuration's hash and whether it is the baseline."""
-    rows = _named(grid(spark, d)).groupBy("config_id", "state_name").agg(
-        F.count("*").alias("n_days"), F.count_if(F.col("validity_status") == "valid").alias("n_valid"), F.count_if("raw_state").alias("n_true"), F.count_if(F.col("raw_state").isNull()).alias("n_null"),
-        F.count_if("confirmed").alias("n_confirmed"), F.count_if(F.col("streak") == F.col("k")).alias("n_intervals"), F.count_distinct(F.when(F.col("confirmed"), F.col("security_id"))).alias("n_entities"),
-    )
     registry = ST.parameter_grid(spark, WINDOWS, QS, KS)
     baseline = (F.col("window") == 120) & (F.col("q") == 0.2) & (F.col("k") == 3)
-    return rows.join(F.broadcast(registry.select("config_id", "config_hash", baseline.alias("is_baseline"))), "config_id")
+    return G.grid_counts(metrics(spark, d), GRID).join(F.broadcast(registry.select("config_id", "config_hash", baseline.alias("is_baseline"))), "config_id")
 
 
 def _intervals(spark, d: str) -> DataFrame:
-    return text_dates(_named(L.grid_intervals(grid(spark, d), SERIES)).drop("window", "q", "k"))
+    return text_dates(G.grid_runs(metrics(spark, d), GRID))
 
 
 def queries() -> dict:
