@@ -198,9 +198,36 @@ def reentries(found: DataFrame, daily: DataFrame, thresholds: tuple[int, ...]) -
     )
     ends = found.where("termination_reason = 'state_false'").select("request_id", "security_id", "interval_no", F.col("last_observed_date").alias(TIME))
     out = ends.join(rows.select("request_id", "security_id", TIME, "_true", "_quality", "_left"), ["request_id", "security_id", TIME])
+    return _judged(out, thresholds)
+
+
+def _judged(out: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
+    """What became of each exit within each horizon, from the rows until the state is true (``_true``) or unknown (``_quality``) and those left."""
     out = out.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     t = F.col("threshold")
     soon, broken = F.coalesce(F.col("_true") <= t, F.lit(False)), F.coalesce(F.col("_quality") <= t, F.lit(False))
     first = F.coalesce(F.col("_true") < F.col("_quality"), F.col("_true").isNotNull())
     outcome = F.when(soon & first, "re_entered").when(broken, "interrupted").when(F.col("_left") < t, "insufficient").otherwise("none")
     return out.select("request_id", "security_id", "interval_no", "threshold", F.col("_true").alias("reentry_lag"), F.col("_quality").alias("quality_lag"), outcome.alias("outcome"))
+
+
+def request_reentries(wide: DataFrame, requests: dict[str, tuple[dict[str, int], int]], thresholds: tuple[int, ...]) -> DataFrame:
+    """``reentries`` of ``request_intervals`` from the days' scores: requests stay side by side, and no exit meets a second table of days.
+
+    A day after a confirmed run on which the state is false is an exit; confirmations up to it number the interval. What follows is seen
+    from the end of the same days, so frames only grow.
+    """
+    w = Window.partitionBy("security_id").orderBy(TIME)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("security_id").orderBy(F.desc(TIME)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = wide_streaks(joint_columns(wide, requests), {name: f"{name}_state" for name in requests})
+    seen, after, found = {}, {"_left": F.count(F.lit(1)).over(ahead)}, []
+    for i, (name, (_, k)) in enumerate(requests.items()):
+        state, streak = F.col(f"{name}_state"), F.col(f"{name}_streak")
+        seen |= {f"_exit{i}": F.coalesce((state == F.lit(False)) & (F.lag(streak).over(w) >= k), F.lit(False)), f"_no{i}": F.count(F.when(streak == k, 1)).over(upto).cast("int")}
+        after |= {f"_true{i}": F.min(F.when(state, F.col("_place"))).over(ahead), f"_null{i}": F.min(F.when(state.isNull(), F.col("_place"))).over(ahead)}
+        lag = lambda c: (F.col(c) - F.col("_place")).cast("int")
+        found.append(F.when(F.col(f"_exit{i}"), F.struct(F.lit(name).alias("request_id"), F.col(f"_no{i}").alias("interval_no"), lag(f"_true{i}").alias("_true"), lag(f"_null{i}").alias("_quality"))))
+    rows = rows.withColumns(seen).withColumns(after)
+    out = rows.select("security_id", "_left", F.explode(F.array_compact(F.array(*found))).alias("r")).select("security_id", "_left", "r.*")
+    return _judged(out, thresholds)

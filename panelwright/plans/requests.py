@@ -69,7 +69,7 @@ def queries() -> dict:
         "dy13_hash_sample": lambda s, d: text_dates(DY.hash_sample(found(s, d), ["request_id"], ["security_id", "interval_no"], 5).select("request_id", "security_id", "interval_no", "sample_no", "sample_hash")),
         "ex01_exit_category": lambda s, d: DY.request_exits(scores(s, d), REQUESTS).groupBy("request_id", "exit_category").agg(F.count("*").alias("n")),
         "ex02_endpoint_margins": lambda s, d: text_dates(DY.endpoint_margins(found(s, d), states(s, d))),
-        "ex03_reentries": lambda s, d: text_dates(DY.reentries(found(s, d), daily(s, d), (5, 20))),
+        "ex03_reentries": lambda s, d: text_dates(DY.request_reentries(scores(s, d), REQUESTS, (5, 20))),
     }
 
 
