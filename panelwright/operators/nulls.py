@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.conventions import ratio
-from panelwright.operators.statistics import blocks, block_offset
+from panelwright.operators.statistics import block_begins, block_offset, blocks
 
 BLOCK = ["security_id", "block"]
 
@@ -35,6 +35,21 @@ def turned(values: Column, length: Column, offset: Column) -> Column:
     return F.concat(F.slice(values, length - offset + 1, offset), F.slice(values, F.lit(1), length - offset))
 
 
+def turned_days(days: DataFrame, layer: str, gap_days: int, n: int, seed: int) -> DataFrame:
+    """(security_id, trading_date, block, pos, replicate, shifted) of replicates from 0: each day with the layer's state of its block turned round.
+
+    A block's days and states are two arrays that replicates turn where they lie, so a day is dealt once and meets no other table.
+    """
+    w = Window.partitionBy("security_id").orderBy("trading_date")
+    held = days.select("security_id", "trading_date", layer, block_begins("trading_date", gap_days).alias("_begins"))
+    held = held.withColumn("block", F.sum(F.col("_begins").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = held.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(F.struct("trading_date", layer))).alias("rows"))
+    rows = rows.select(*BLOCK, F.size("rows").alias("len"), F.col("rows.trading_date").alias("_days"), F.col(f"rows.{layer}").alias("_states"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("replicate"))
+    rows = rows.withColumn("_states", turned(F.col("_states"), F.col("len"), block_offset(seed, "len", "replicate")))
+    rows = rows.select(*BLOCK, "replicate", F.posexplode(F.arrays_zip(F.col("_days").alias("trading_date"), F.col("_states").alias("shifted"))).alias("pos", "x"))
+    return rows.select("security_id", "x.trading_date", "block", "pos", "replicate", "x.shifted")
+
+
 def true_places(values: Column) -> Column:
     return F.filter(F.transform(values, lambda x, i: F.when(x, i)), lambda p: p.isNotNull())
 

@@ -249,12 +249,16 @@ def gates(metrics: DataFrame, registry: DataFrame) -> DataFrame:
     return out.withColumn("passed", F.coalesce(held, F.lit(False)))
 
 
+def block_begins(time: str, gap_days: int) -> Column:
+    """Whether a day is the first of its entity, of a year, or after a gap of more than ``gap_days``."""
+    before = F.lag(time).over(Window.partitionBy("security_id").orderBy(time))
+    return before.isNull() | (F.year(time) != F.year(before)) | (F.datediff(time, before) > gap_days)
+
+
 def blocks(df: DataFrame, gap_days: int = 7) -> DataFrame:
     """Continuous blocks of an entity: split at a year's end and at gaps of more than ``gap_days``."""
     w = Window.partitionBy("security_id").orderBy("trading_date")
-    before = F.lag("trading_date").over(w)
-    begins = before.isNull() | (F.year("trading_date") != F.year(before)) | (F.datediff("trading_date", before) > gap_days)
-    df = df.withColumn("block", F.sum(begins.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    df = df.withColumn("block", F.sum(block_begins("trading_date", gap_days).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     b = Window.partitionBy("security_id", "block")
     return df.withColumns({"pos": F.row_number().over(b.orderBy("trading_date")) - 1, "len": F.count("*").over(b)})
 

@@ -11,6 +11,7 @@ from panelwright.functions.conventions import ratio
 from panelwright.operators import nulls as N
 from panelwright.operators import states as ST
 from panelwright.operators import statistics as A
+from panelwright.plans.metrics import DIMENSIONS, wide_dims
 from panelwright.plans.sql import query, step
 from panelwright.plans.states import DIMS, dim_scores, text_dates
 from panelwright.plans.statistics import rounded
@@ -72,8 +73,9 @@ def _offsets(spark, d: str) -> DataFrame:
 
 
 def _shifted(spark, d: str) -> DataFrame:
-    placed = A.blocks(layers(spark, d), GAP)
-    out = A.shifted(placed, "C", 3, SEED).join(placed.select(*N.BLOCK, "pos", "trading_date"), [*N.BLOCK, "pos"])
+    """The second layer turned round; only its own metrics are computed."""
+    own = wide_dims(spark, d, {"C": DIMENSIONS["C"]}).select("security_id", "trading_date", ST.weak_state(F.lit(Q), of="C.").alias("C"))
+    out = N.turned_days(own, "C", GAP, 3, SEED)
     return text_dates(out.select("security_id", "trading_date", "block", "pos", F.col("replicate").cast("long").alias("replicate"), "shifted"))
 
 
